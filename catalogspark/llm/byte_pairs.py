@@ -173,6 +173,29 @@ class RankSynchronous:
         return symbols[order], np.bincount(owner, minlength=len(lengths)).astype(np.int64)
 
 
+class Hasher:
+    """64-bit hashes of stretches of a byte array, from one running sum."""
+
+    def __init__(self, seed: int):
+        self.table = np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64)
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(data)
+        if len(self.power) < n + 1:
+            size = max(n + 1, 2 * len(self.power))
+            steps = np.full(size, BASE, np.uint64)
+            steps[0] = 1
+            self.power = np.cumprod(steps, dtype=np.uint64)
+            steps[1:] = INVERSE
+            self.inverse = np.cumprod(steps, dtype=np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[data] * self.power[:n], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverse[starts]
+        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return np.maximum(h ^ (h >> np.uint64(32)), np.uint64(1))
+
+
 class Names:
     """64-bit names to slots 0, 1, ... in order of arrival: an open-addressing table that is probed for many names at once."""
 
@@ -223,30 +246,13 @@ class Encoder:
 
     def __init__(self, path: str, most_known: int = 400_000):
         self.bpe, self.most_known = RankSynchronous(path), most_known
-        rng = np.random.default_rng(7)
-        self.table = rng.integers(0, 2**64, 256, np.uint64)
-        self.power = self.inverse = np.ones(1, np.uint64)
+        self.hasher = Hasher(7)
         self.forget()
 
     def forget(self) -> None:
         self.known = Names()
         self.first, self.count, self.flat, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(data)
-        if len(self.power) < n + 1:
-            size = max(n + 1, 2 * len(self.power))
-            steps = np.full(size, BASE, np.uint64)
-            steps[0] = 1
-            self.power = np.cumprod(steps, dtype=np.uint64)
-            steps[1:] = INVERSE
-            self.inverse = np.cumprod(steps, dtype=np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.power[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.inverse[starts]
-        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return np.maximum(h ^ (h >> np.uint64(32)), np.uint64(1))
-
     def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray) -> None:
         lengths = ends - starts
         flat, counts = self.bpe.merge(data[ragged(starts, lengths)], lengths)
@@ -289,7 +295,7 @@ class Encoder:
         for a, b in inside:
             starts = starts[(starts <= a) | (starts >= b)]
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        codes, names = pd.factorize(self.hashes(data, starts, ends))
+        codes, names = pd.factorize(self.hasher.hashes(data, starts, ends))
         slot = self.known.find(names)
         new = np.flatnonzero(slot < 0)
         if len(new):
