@@ -16,8 +16,7 @@ to its size. Every step is a written table or a plain join or aggregate.
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; fewer words than n are one
 shingle of the whole sequence; repeated rows and repeated keys are separate rows of one class; component_id is the
 smallest key that is not null (null if all are null); no rows give no rows; input columns other than key and text are
-not read, so they cannot clash. The input must give the same rows in the same partitions each time it is read, as
-stored tables do. Classes and shingles are named by 64-bit hashes.
+not read, so they cannot clash (only a column `_rid` would). Classes and shingles are named by 64-bit hashes.
 """
 
 import hashlib
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalogspark.functions.session import ship_package, written
+from catalogspark.functions.session import ship_package, with_row_ids, written
 from catalogspark.llm import byte_pairs, shingles
 from catalogspark.llm.components import components
 
@@ -117,8 +116,8 @@ def each_set(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """(rid, key, n_shingles, class, band parity) of every row of (rid, key, text); class is null for empty sets."""
-    kind = dict(docs.dtypes)["key"]
+    """(rid, key, n_shingles, class) of every row of (rid, key, text); class is null for empty sets."""
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +125,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
             sizes, classes = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("key"), sizes, classes], ["rid", "key", "n_shingles", "class"])
 
-    return docs.mapInArrow(run, f"rid long, key {kind}, n_shingles long, class long")
+    return docs.mapInArrow(run, f"rid {kinds['rid']}, key {kinds['key']}, n_shingles long, class long")
 
 
 def shared_signatures(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -273,9 +272,9 @@ def links(docs: DataFrame, described_: DataFrame, n: int, num: int, den: int) ->
 
 
 def placed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """(rid, key, n_shingles, root) of every row; rid numbers the rows of docs as monotonically_increasing_id does."""
+    """(rid, key, n_shingles, root) of every row; docs has row ids as `_rid`."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col("_rid").alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
     known = written(described(rows, n), "described")
     roots = links(rows.select("rid", "text"), known, n, num, den)
     if roots is None:
@@ -285,17 +284,18 @@ def placed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(rid, key, n_shingles, component_id) of every row."""
-    rows = placed(docs, key, text, n, num, den)
+    rows = placed(with_row_ids(docs, "_rid"), key, text, n, num, den)
     least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("least"))
     return rows.join(least, "root", "left").select("rid", "key", "n_shingles", F.coalesce("least", "key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of docs without all but the first row (by key, nulls last, then place) of each linked group; rows with an empty set stay."""
-    rows = placed(docs, key, text, n, num, den).filter("root IS NOT NULL")
+    named = with_row_ids(docs, "_rid")
+    rows = placed(named, key, text, n, num, den).filter("root IS NOT NULL")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "rid")).alias("first"))
     drop = rows.join(first, "root").filter("rid <> first.rid").select(F.col("rid").alias("_rid"))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(drop, "_rid", "left_anti").select(*docs.columns)
+    return named.join(drop, "_rid", "left_anti").select(*docs.columns)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
