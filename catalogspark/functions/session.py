@@ -5,7 +5,9 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,6 +33,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_ids(df: DataFrame, name: str) -> DataFrame:
+    """Adds a struct that names each row: its file (64-bit hash of the path) and its place there.
+
+    Unlike a number from partitions, it stays the same when a stored table is read again in other splits, as happens
+    after executors are lost. A DataFrame that is not read from Parquet is written to the shared folder first.
+    """
+    rid = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name)
+    try:
+        return df.select("*", rid)
+    except AnalysisException:
+        return written(df, "rows").select("*", rid)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to Python workers, whatever their PYTHONPATH; once a SparkContext."""
     sc = spark.sparkContext
