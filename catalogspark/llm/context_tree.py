@@ -259,8 +259,8 @@ def one_up(rows: DataFrame, level: int) -> DataFrame:
         second = pa.table({"kind": pa.array(np.ones(len(up), np.int32)), "key": up, "n": total, "x": _lists(weighted), "y": _lists(weighted)})
         return pa.concat_tables([first, second])
 
-    group = F.shiftright("key", 8 * level) if level > 1 else F.lit(0)
-    return rows.groupBy(group).applyInArrow(run, "kind int, key long, n double, x array<double>, y array<double>")
+    # level 2 meets by its nearest context byte, level 1 as a whole (at most 65,536 rows)
+    return rows.withColumn("near", F.shiftright("key", 16)).groupBy("near").applyInArrow(run, "kind int, key long, n double, x array<double>, y array<double>")
 
 
 def string_scores(blobs: DataFrame, parts: int) -> DataFrame:
