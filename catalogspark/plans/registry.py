@@ -2,13 +2,14 @@
 
 from collections.abc import Callable
 
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
+from catalogspark.plans import catalogue, records, streams
+
+MODULES = (catalogue, records, streams)
 
 
 def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
