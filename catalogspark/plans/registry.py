@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from catalogspark.plans import catalogue, records, streams
+from catalogspark.plans import catalogue, editing, records, streams
 
-MODULES = (catalogue, records, streams)
+MODULES = (catalogue, records, editing, streams)
 
 
 def queries() -> dict[str, Callable]:
