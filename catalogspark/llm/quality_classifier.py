@@ -223,7 +223,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, fit: Fit) ->
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit: Fit | None = None, threshold: float = 0.5) -> DataFrame:
-    """(key, text_score, meta_score, score, keep) of every document."""
+    """(key, text_score, meta_score, score, kept) of every document."""
     spark = docs.sparkSession
     ship_package(spark)
     model = fitted(docs, labels, key, text, fit or Fit())
@@ -250,7 +250,7 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     out = rows.mapInArrow(run, f"key {kind}, text_score double, meta_score double, score double")
-    return out.withColumn("keep", F.col("score") >= threshold).withColumnRenamed("key", key)
+    return out.withColumn("kept", F.col("score") >= threshold).withColumnRenamed("key", key)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

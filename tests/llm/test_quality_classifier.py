@@ -41,7 +41,7 @@ def test_rows_without_label_are_told_apart(spark, tmp_path):
     ids = [i for i in want if i % 2]
     good = np.array([want[i] for i in ids])
     assert auc(np.array([got[i].score for i in ids]), good) > 0.97
-    assert np.mean([got[i].keep == want[i] for i in ids]) > 0.9
+    assert np.mean([got[i].kept == want[i] for i in ids]) > 0.9
     assert auc(np.array([got[i].meta_score for i in ids]), good) > 0.65
     again = {r.doc_id: r.score for r in qc.op2_quality_classifier(spark, str(tmp_path)).collect()}
     assert again == {i: r.score for i, r in got.items()}
