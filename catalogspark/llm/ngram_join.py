@@ -9,9 +9,11 @@ allocation is by cost: each set leaves out its `slack` most frequent segments, a
 searching the one-deletion neighbourhood. Candidates are verified exactly on the texts.
 
 Scale: equal sets are one class and meet only once. A signature travels as 16 bytes inside packed blocks, dealt by its
-own hash; only signatures with two classes or more become rows. A bucket's classes are compared with one hub, components
-are contracted, and only what is still apart is compared further, so a large group of copies costs rows in proportion
-to its size. Every step is a written table or a plain join or aggregate.
+own hash; only signatures with two classes or more become rows. A bucket's classes are compared with one hub and
+components are contracted. Classes of buckets that are still apart then meet on their rarest elements alone: by the
+prefix principle two linked sets share one of them, with room for the overlap they need, while copies that are too far
+apart differ in just these; 512-bit sketches refuse most of the rest before any text is fetched. So a large group of copies costs rows in proportion to its size, linked or not. Every step
+is a written table or a plain join or aggregate.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; fewer words than n are one
 shingle of the whole sequence; repeated rows and repeated keys are separate rows of one class; component_id is the
@@ -39,7 +41,8 @@ HELD = 2_000_000
 WIDTH = 1.4
 #: Kinds of signature, in the low bits of its name: a segment, the first segment, its one-deletion neighbourhood.
 PLAIN, FIRST, SHORTER = range(3)
-STAR_ROUNDS = 3
+#: 64-bit words of a sketch.
+WORDS = 8
 
 
 class Bands:
@@ -202,16 +205,15 @@ def allocated(shared: DataFrame, bands: Bands) -> DataFrame:
     return kept.groupBy("name", "class").agg(F.max("searches").alias("searches"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets have den * |intersection| >= num * |union|, checked on the texts."""
+def compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sets have den * |intersection| >= num * |union|, found from the texts."""
     t = texts.select("class", "text")
     rows = pairs.join(t.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, known = None, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            linked = []
+            a, linked = batch.column("a").to_pylist(), []
             for i in range(len(batch)):
                 if a[i] != hub:
                     hub, known = a[i], next(each_set(batch.column("text_a").slice(i, 1), n))
@@ -224,6 +226,51 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(class, size, b0, ...): parities of the elements that fall on each of 512 bits. Sets differ in at least as many elements as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = [], []
+            for s in each_set(batch.column("text"), n):
+                odd = (np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(bool)
+                sizes.append(len(s))
+                bits.append(np.packbits(odd).view(np.int64))
+            table = np.array(bits, np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sizes, pa.int64()), *(pa.array(table[:, i]) for i in range(WORDS))], ["class", "size", *(f"b{i}" for i in range(WORDS))])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, size long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
+
+
+def near_enough(x: str, y: str, num: int, den: int):
+    """Whether two sketched sets (columns size_x, b0_x, ...) may be linked: sizes and bits within what a link allows."""
+    both = F.col(f"size_{x}") + F.col(f"size_{y}")
+    bits = sum((F.bit_count(F.col(f"b{i}_{x}").bitwiseXOR(F.col(f"b{i}_{y}"))) for i in range(WORDS)), F.lit(0))
+    length = (F.col(f"size_{x}") * den >= F.col(f"size_{y}") * num) & (F.col(f"size_{y}") * den >= F.col(f"size_{x}") * num)
+    return length & (bits <= both - 2 * F.ceil(both * num / (num + den)))
+
+
+def rare_elements(classes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(e, class, size, place, indexed): the prefix of each class's set under the order from rare to frequent elements.
+
+    Frequencies are those among the given classes. Of a linked pair, the smaller set has a shared element among its
+    first |x| - ceil(2t / (1 + t) |x|) + 1 (`indexed`), the larger one has it among its first |y| - ceil(t |y|) + 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for s in each_set(batch.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "size", "elements"])
+
+    sets = texts.join(classes.select("class"), "class", "left_semi").select("class", "text").mapInArrow(run, "class long, size long, elements array<long>")
+    rows = written(sets, "sets").select("class", "size", F.explode("elements").alias("e"))
+    met = rows.groupBy("e").agg(F.count("*").alias("met"))
+    placed = rows.join(met, "e").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("met", "e")))
+    whole = F.col("size") - F.ceil(F.col("size") * num / den) + 1
+    short = F.col("size") - F.ceil(F.col("size") * (2 * num) / (num + den)) + 1
+    return placed.filter((F.col("place") <= whole) & (F.col("met") > 1)).withColumn("indexed", F.col("place") <= short).drop("met")
+
+
 def links(docs: DataFrame, described_: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
     """(node, root) of classes that are linked with another class; docs has (rid, text). None if no candidates exist."""
     bands = Bands(num, den)
@@ -244,31 +291,43 @@ def links(docs: DataFrame, described_: DataFrame, n: int, num: int, den: int) ->
     own = own.withColumn("k", F.when(F.col("own") % 2 == (F.col("odd") / 4).cast("int"), F.col("own")).otherwise(F.col("own") + 1))
     members = written(allocated(own.join(band.select("k", "slack"), "k"), bands), "members")
 
+    sketch = written(sketches(texts, n), "sketches")
+    drawn = lambda v: sketch.select(F.col("class").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in sketch.columns if c != "class"])
+
     def checked(pairs: DataFrame, seen: DataFrame | None, found: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        new = written(verified(pairs, texts, n, num, den), "links")
+        fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+        fresh = fresh.join(drawn("a"), "a").join(drawn("b"), "b").filter(near_enough("a", "b", num, den))
+        pairs = written(fresh.select("a", "b"), "pairs")
+        new = written(compared(pairs, texts, n, num, den), "links")
         found = new if found is None else found.unionByName(new)
         return pairs if seen is None else seen.unionByName(pairs), found, written(components(found), "roots")
 
-    seen = found = None
-    rest = members.withColumn("root", F.col("class"))
-    for step in range(STAR_ROUNDS):
+    def starred(rest: DataFrame, seen, found) -> tuple:
+        """Compares each bucket's classes with the bucket's smallest class."""
         hubs = rest.groupBy("name").agg(F.min(F.struct("class", "root", "searches")).alias("hub"))
         met = rest.join(hubs, "name").filter("class <> hub.class AND root <> hub.root AND (searches OR hub.searches)")
-        seen, found, roots = checked(met.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct(), seen, found)
-        # what remains: buckets whose classes, without this round's hub, are still apart
-        left = rest.join(hubs, "name").filter("class <> hub.class").drop("hub", "root")
-        left = left.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        apart = left.groupBy("name").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("searches").alias("s")).filter("r0 <> r1 AND s").select("name")
-        rest = written(left.join(apart, "name", "left_semi").select("name", "class", "searches", "root"), "rest")
-        rows, pairs = rest.groupBy("name").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.expr("count * (count - 1) / 2")), F.lit(0))).first()
-        if not rows:
-            return roots
-        if pairs <= 4 * rows:
-            break
-    x, y = (rest.select("name", F.col("class").alias(c), F.col("root").alias(f"root_{c}"), F.col("searches").alias(f"searches_{c}")) for c in "ab")
-    met = x.join(y, "name").filter("a < b AND root_a <> root_b AND (searches_a OR searches_b)")
-    return checked(met.select("a", "b").distinct(), seen, found)[2]
+        return hubs, *checked(met.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct(), seen, found)
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.drop("root").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+    hubs, seen, found, roots = starred(members.withColumn("root", F.col("class")), None, None)
+    # what remains: buckets whose classes, without their hub, are still apart
+    left = rooted(members.join(hubs.select("name", F.col("hub.class").alias("hub")), "name").filter("class <> hub"), roots)
+    apart = left.groupBy("name").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("searches").alias("s")).filter("r0 <> r1 AND s").select("name")
+    rest = written(left.join(apart, "name", "left_semi").select("class", "root").distinct(), "rest")
+    if rest.isEmpty():
+        return roots
+    rare = written(rare_elements(rest, texts, n, num, den).withColumnRenamed("e", "name"), "rare")
+    _, seen, found, roots = starred(rooted(rare, roots).withColumn("searches", F.lit(True)), seen, found)
+    drawn_rare = rooted(rare, roots).drop("size").join(sketch, "class")
+    x, y = (drawn_rare.select("name", *[F.col(c).alias(f"{c}_{v}") for c in drawn_rare.columns if c != "name"]) for v in "xy")
+    least = F.ceil((F.col("size_x") + F.col("size_y")) * num / (num + den))
+    room = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
+    smaller = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("class_x") < F.col("class_y")))
+    # the first shared element of a linked pair leaves room for the overlap it needs
+    met = x.filter("indexed").join(y, "name").filter(smaller & (F.col("root_x") != F.col("root_y")) & (room >= least) & near_enough("x", "y", num, den))
+    return checked(met.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct(), seen, found)[2]
 
 
 def placed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
