@@ -36,7 +36,7 @@ DEPTH = 4
 END = 10
 CHUNK = 1 << 20
 HELD = 2_000_000
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 WORDS, STRINGS = 0, 1
 END_WORD = np.uint64(0x51AFD7ED558CCD25)
 LN2 = float(np.log(2.0))
@@ -116,11 +116,12 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
             rows = []
             for kind, found in held.items():
                 if found:
-                    rows += packed(kind, *summed(*(np.concatenate(x) for x in zip(*found, strict=True))), parts)
+                    names, n = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    rows += packed(kind, names, n.astype(np.int32), parts)
                 found.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "names", "counts"])
 
-        size = 0
+        size = total = 0
         for batch in batches:
             data, at = byte_pairs.buffers(batch.column("text"))
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
@@ -131,17 +132,19 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
                 held[WORDS].append((name.view(np.int64), n))
                 held[STRINGS].append(summed(strings, np.repeat(train[a:b], np.diff(s_at)).astype(np.int64)))
                 size += len(name) + len(held[STRINGS][-1][0])
-                if size > HELD:
+                total += len(strings)
+                if size > HELD or total > 1 << 30:  # counts travel as 32-bit numbers
                     yield passed_on()
-                    size = 0
+                    size = total = 0
         if size:
             yield passed_on()
 
     return docs.mapInArrow(run, "kind int, part int, names binary, counts binary")
 
 
-def gathered(batches: Iterator[pa.RecordBatch], *columns: str) -> list[tuple]:
-    return [tuple(np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in columns) for batch in batches for i in range(len(batch))]
+def gathered(batches: Iterator[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Names and counts of all packed rows."""
+    return [(np.frombuffer(batch.column("names")[i].as_buffer(), np.int64), np.frombuffer(batch.column("counts")[i].as_buffer(), np.int32).astype(np.int64)) for batch in batches for i in range(len(batch))]
 
 
 # -- the trees ------------------------------------------------------------------------------------------------------
@@ -227,7 +230,7 @@ def deepest(blobs: DataFrame, parts: int) -> DataFrame:
     """Level DEPTH to 2: (level DEPTH rows: key, p) and (level 2 rows: key, count, w)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(batches, "names", "counts")
+        found = gathered(batches)
         if not found:
             return
         keys, counts = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -289,7 +292,7 @@ def word_counts(blobs: DataFrame, parts: int) -> DataFrame:
     """(key, value): training count of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(batches, "names", "counts")
+        found = gathered(batches)
         if found:
             names, counts = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
             for k in range(0, len(names), 200_000):
