@@ -1,13 +1,13 @@
 """The opN_<name> queries of this subpackage and their DuckDB twins, found in the modules listed here."""
 
-import importlib.util
+import importlib
 from collections.abc import Callable
 
 MODULES = ("token_counts", "quality_classifier", "media_columns", "context_tree", "suffix_dedup", "packing", "ngram_join", "quality_rules", "url_filters", "mixing")
 
 
 def _modules():
-    return [importlib.import_module(f"catalogspark.llm.{m}") for m in MODULES if importlib.util.find_spec(f"catalogspark.llm.{m}")]
+    return [importlib.import_module(f"catalogspark.llm.{m}") for m in MODULES]
 
 
 def queries() -> dict[str, Callable]:
