@@ -271,6 +271,17 @@ def rare_elements(classes: DataFrame, texts: DataFrame, n: int, num: int, den: i
     return placed.filter((F.col("place") <= whole) & (F.col("met") > 1)).withColumn("indexed", F.col("place") <= short).drop("met")
 
 
+def sifted(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose column may be among the keys: all that are, and few others, found in a map of 2^24 bits.
+
+    The map is a table of at most 2^18 words, so broadcasting it is bounded whatever the keys; it spares the exact join
+    after it the shuffle of most rows while keys are fewer than bits, and costs little beyond.
+    """
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(column)).withColumn("_w", F.expr(f"shiftright(_h, 6) & {(1 << 18) - 1}"))
+    words = hashed(keys.select(column)).groupBy("_w").agg(F.expr("bit_or(shiftleft(1L, CAST(_h & 63 AS INT)))").alias("_bits"))
+    return hashed(rows).join(F.broadcast(words), "_w").filter("_bits & shiftleft(1L, CAST(_h & 63 AS INT)) <> 0").drop("_h", "_w", "_bits")
+
+
 def links(docs: DataFrame, described_: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
     """(node, root) of classes that are linked with another class; docs has (rid, text). None if no candidates exist."""
     bands = Bands(num, den)
@@ -279,7 +290,7 @@ def links(docs: DataFrame, described_: DataFrame, n: int, num: int, den: int) ->
     if shared.isEmpty():
         return None
     wanted = written(reps.join(shared.select("class").distinct(), "class", "left_semi"), "classes")
-    texts = written(docs.select("rid", "text").join(wanted.select("rid", "class"), "rid").select("class", "text"), "texts")
+    texts = written(sifted(docs.select("rid", "text"), wanted, "rid").join(wanted.select("rid", "class"), "rid").select("class", "text"), "texts")
 
     # slack and band parity follow from the size; they are expressions over a table of bands
     top = wanted.agg(F.max("n_shingles")).first()[0]
