@@ -32,8 +32,10 @@ from catalogspark.functions.session import ship_package, with_row_ids, written
 from catalogspark.llm import byte_pairs, shingles
 from catalogspark.llm.byte_pairs import ragged
 
-DEPTH = 4
+DEPTH = 7  # with the byte itself, all that a 64-bit name holds; the sign bit is part of the nearest byte
 END = 10
+MIDDLE = 4
+SLAB = 100_000
 CHUNK = 1 << 20
 HELD = 2_000_000
 BLOCK_ROWS = 4096
@@ -234,12 +236,25 @@ def deepest(blobs: DataFrame, parts: int) -> DataFrame:
         if not found:
             return
         keys, counts = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        _, zeros, ones = nodes(keys, counts.astype(np.float64))
-        up, total, weighted, a, b = climb(keys, counts.astype(np.float64), None, DEPTH - 2, DEPTH)
-        p = a + b * (ones + 0.5) / (zeros + ones + 1.0)
+        # slabs of whole subtrees up to level MIDDLE, so that memory does not hold the deep levels of a part at once
+        heads = keys >> (8 * (DEPTH + 1 - MIDDLE))
+        starts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
+        slabs = starts[np.concatenate([[True], starts[1:] // SLAB != starts[:-1] // SLAB])]
+        ends = [*slabs[1:].tolist(), len(keys)]
+        middle, p = [], np.empty((len(keys), 8), np.float32)
+        for i, j in zip(slabs.tolist(), ends, strict=True):
+            n = counts[i:j].astype(np.float64)
+            _, zeros, ones = nodes(keys[i:j], n)
+            *rest, a, b = climb(keys[i:j], n, None, DEPTH - MIDDLE, DEPTH)
+            middle.append(rest)
+            p[i:j] = a + b * (ones + 0.5) / (zeros + ones + 1.0)
+        mid, n, weighted = (np.concatenate(x) for x in zip(*middle, strict=True))
+        up, total, weighted, a, b = climb(mid, n, weighted, MIDDLE - 2, MIDDLE)
+        up &= 0xFFFFFF  # two context bytes and the byte, without the sign's copies
         for k in range(0, len(keys), 50_000):
             x = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[x]), DEPTH, np.int32)), pa.array(keys[x]), pa.array(counts[x].astype(np.float64)), _lists(p[x])], ["level", "key", "n", "x"])
+            at = np.searchsorted(mid, keys[x] >> (8 * (DEPTH + 1 - MIDDLE)) << 8 | (keys[x] & 0xFF))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[x]), DEPTH, np.int32)), pa.array(keys[x]), pa.array(counts[x].astype(np.float64)), _lists(a[at] + b[at] * p[x])], ["level", "key", "n", "x"])
         for k in range(0, len(up), 50_000):
             x = slice(k, k + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(up[x]), 2, np.int32)), pa.array(up[x]), pa.array(total[x]), _lists(weighted[x])], ["level", "key", "n", "x"])
@@ -275,7 +290,7 @@ def string_scores(blobs: DataFrame, parts: int) -> DataFrame:
     roots = one.filter("kind = 0").select(F.col("key").alias("key1"), F.col("x").alias("a1"), F.col("y").alias("b1"))  # at most 65,536 rows
     tops = tops.withColumn("key1", F.shiftright("key", 16) * 256 + F.col("key") % 256).join(F.broadcast(roots), "key1").drop("key1").withColumnRenamed("key", "key2")
     strings = low.filter(F.col("level") == DEPTH).select("key", F.col("x").alias("p"))
-    near = (F.shiftright("key", 8 * (DEPTH - 1)) * 256 + F.col("key") % 256).alias("key2")
+    near = (F.shiftright("key", 8 * (DEPTH - 1)).bitwiseAND(0xFFFF) * 256 + F.col("key").bitwiseAND(0xFF)).alias("key2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from catalogspark.llm import context_tree as ct
 
@@ -84,3 +85,28 @@ def test_log_gamma():
 
 def test_no_rows(spark):
     assert ct.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_beats_the_unigram_base_on_held_out_rows(spark):
+    """Each half of a word follows from bytes that lie six places back, and each word mostly from the one before."""
+    rng = np.random.default_rng(7)
+    parts = ["".join(p) for p in zip(*(rng.choice(list("bcdefghijk"), 600) for _ in range(2)), strict=True)]
+    parts = list(dict.fromkeys(parts))[:60]
+    words = [f"{parts[i]}aaaa{parts[i * 7 % 60]}aaaa{parts[i * 11 % 60]}" for i in range(60)]
+    texts = []
+    for _ in range(300):
+        at, text = int(rng.integers(60)), []
+        for _ in range(30):
+            text.append(words[at])
+            at = at * 13 % 60 if rng.random() < 0.5 else int(rng.integers(60))
+        texts.append(" ".join(text))
+    rows = ct.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("held_out").collect()
+    assert len(rows) > 20 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_names_with_high_nearest_bytes(spark):
+    """Bytes above 127 reach the sign of a 64-bit name."""
+    texts = ["é漢ñ é漢ñ", "漢漢漢漢漢漢漢", "éa ñb", "ññññññññññ é"] * 3
+    got = {r.doc_id: r.score for r in ct.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), out=F.col("doc_id") >= 8).collect()}
+    want = brute(texts, [i < 8 for i in range(len(texts))])
+    assert all(math.isclose(got[i], want[i][0], rel_tol=1e-4, abs_tol=1e-4) for i in range(len(texts)))
