@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogspark.functions import text as T
-from catalogspark.operators import bulk, facts, findings, quality
+from catalogspark.operators import bulk, facts, findings, quality, relations
 from catalogspark.operators.schema import CATEGORY_FIELDS
 from catalogspark.plans import catalogue
 from catalogspark.plans.views import LONG_DUCK, PRODUCTS_DUCK, clean_duck, products, table
@@ -173,9 +173,8 @@ def data_signatures(spark, d):
 
 def routine_mates(spark, d):
     k = F.col("product_id")
-    p = products(spark, d).filter("cat = 'cos'").select("product_id", (k % 3).alias("step"), F.split(F.when(k % 4 == 0, "").otherwise(F.concat("producto", F.lit(" rostro"))), " ").alias("zone"))
-    words = p.select("product_id", "step", F.explode(F.filter("zone", lambda w: (F.length(w) > 3) & (w != "rostro"))).alias("w")).distinct()
-    return words.alias("a").join(words.alias("b"), "w").filter("a.step <> b.step").groupBy(F.col("a.product_id").alias("product_id")).agg(F.count_distinct("b.product_id").alias("mates"))
+    p = products(spark, d).filter("cat = 'cos'").select("product_id", (k % 3).alias("step"), F.when(k % 4 == 0, "").otherwise(F.concat("producto", F.lit(" rostro"))).alias("zone"))
+    return relations.routine_mates(p, "product_id", "step", "zone")
 
 
 def mine_replace_rules(spark, d):
