@@ -198,7 +198,7 @@ def _dictionary(spark, d):
 
 def dictionary_fuzzy(spark, d):
     values = table(spark, d, "part").select(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "s").otherwise("")).alias("value"))
-    entries = _dictionary(spark, d).filter("length(alias) > 6").groupBy("alias").agg(F.min("canon").alias("canon"))
+    entries = _dictionary(spark, d).groupBy("alias").agg(F.min("canon").alias("canon"))
     return dictionary.fuzzy(values, "value", entries).select("value", "alias", "score", "exact", F.col("rank").cast("long").alias("rank"))
 
 
