@@ -6,7 +6,7 @@ import uuid
 import zipfile
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -15,10 +15,12 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the cluster shares (spark.checkpoint.dir).
 
-    Where the setting is absent (tests on one machine) a folder of this session is made.
+    Where the setting is absent, a local master (tests on one machine) gets a folder of this session; a cluster fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -33,17 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_ids(df: DataFrame, name: str) -> DataFrame:
-    """Adds a struct that names each row: its file (64-bit hash of the path) and its place there.
+def row_named(df: DataFrame, *columns: Column) -> DataFrame:
+    """`rid`, a struct that names each row by its file (64-bit hash of the path) and its place there, and the columns.
 
     Unlike a number from partitions, it stays the same when a stored table is read again in other splits, as happens
-    after executors are lost. A DataFrame that is not read from Parquet is written to the shared folder first.
+    after executors are lost. A DataFrame that is not read from Parquet is written to the shared folder first. Columns
+    of df cannot clash with `rid`, since only the given ones are taken.
     """
-    rid = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name)
+    rid = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("rid")
     try:
-        return df.select("*", rid)
+        return df.select(rid, *columns)
     except AnalysisException:
-        return written(df, "rows").select("*", rid)
+        return written(df, "rows").select(rid, *columns)
 
 
 def ship_package(spark: SparkSession) -> None:
