@@ -1,11 +1,13 @@
 """Byte-pair encoding over numpy arrays: whole blocks of texts are cut into pre-tokens and merged together.
 
 Nothing here loops over characters or texts. A block of texts is one byte array. Pre-token starts come from comparing
-neighbouring character classes, a rolling hash names each pre-token, and only pre-tokens that were not met before are
-merged, all at once, by `RankSynchronous`. The cache of met pre-tokens is bounded and starts anew when it is full.
+neighbouring character classes, a hash names each pre-token, and only pre-tokens that were not met before are merged,
+all at once, by `RankSynchronous`. The cache of met pre-tokens is bounded and starts anew when it is full. A name only
+finds the cached pre-token: its bytes are compared at every hit, and a pre-token that merely shares a name is merged too.
 """
 
 import functools
+import hashlib
 import json
 
 import numpy as np
@@ -15,8 +17,6 @@ import pyarrow.compute as pc
 NONE = np.int32(2**31 - 1)
 #: Character classes.
 OTHER, LETTER, NUMBER, SPACE = range(4)
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 2**64)
 
 
 def path_of(name: str) -> str:
@@ -173,27 +173,61 @@ class RankSynchronous:
         return symbols[order], np.bincount(owner, minlength=len(lengths)).astype(np.int64)
 
 
-class Hasher:
-    """64-bit hashes of stretches of a byte array, from one running sum."""
-
-    def __init__(self, seed: int):
-        self.table = np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64)
-        self.power = self.inverse = np.ones(1, np.uint64)
-
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(data)
-        if len(self.power) < n + 1:
-            size = max(n + 1, 2 * len(self.power))
-            steps = np.full(size, BASE, np.uint64)
-            steps[0] = 1
-            self.power = np.cumprod(steps, dtype=np.uint64)
-            steps[1:] = INVERSE
-            self.inverse = np.cumprod(steps, dtype=np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.power[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.inverse[starts]
-        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return np.maximum(h ^ (h >> np.uint64(32)), np.uint64(1))
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of every place spread over all places."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, for places 0 to len(data); bytes past the end are 0."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+#: The lowest k bytes of a number, for k = 0 to 8.
+LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are named by a cryptographic hash.
+LONG = 64
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, long: int = LONG) -> np.ndarray:
+    """64-bit names of words, none of them 0: eight bytes at a time are mixed in, after the length.
+
+    Each step is a bijection of the eight bytes, so words of up to eight bytes and equal length never share a name.
+    Words of more than `long` bytes are named by blake2b.
+    """
+    size, view = ends - starts, eights(data)
+    h = mixed(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+    live = np.arange(len(size))
+    live = live[size <= long]
+    for k in range(0, long, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        h[live] = mixed(h[live] ^ (view[starts[live] + k] & LOWEST[np.minimum(size[live] - k, 8)]))
+    for i in np.flatnonzero(size > long).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return np.maximum(h, np.uint64(1))
+
+
+def differing(view: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which words (of `eights` view) are not, byte for byte, the words (other, at, sizes)."""
+    size = ends - starts
+    wrong = size != sizes
+    live, k = np.flatnonzero(~wrong), 0
+    while len(live := live[size[live] > k]) > 16 or (len(live) and k < LONG):
+        mask = LOWEST[np.minimum(size[live] - k, 8)]
+        wrong[live] |= ((view[starts[live] + k] ^ other[at[live] + k]) & mask) != 0
+        k += 8
+    for i in live.tolist():  # a few long words
+        step = np.arange(k, size[i] - size[i] % 8, 8)
+        rest = LOWEST[size[i] % 8]
+        last = int(size[i] - size[i] % 8)
+        wrong[i] |= bool((view[starts[i] + step] != other[at[i] + step]).any()) or bool((view[starts[i] + last] ^ other[at[i] + last]) & rest)
+    return wrong
 
 
 class Names:
@@ -246,16 +280,17 @@ class Encoder:
 
     def __init__(self, path: str, most_known: int = 400_000):
         self.bpe, self.most_known = RankSynchronous(path), most_known
-        self.hasher = Hasher(7)
         self.forget()
 
     def forget(self) -> None:
         self.known = Names()
         self.first, self.count, self.flat, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
+        self.text, self.written, self.text_at, self.size = np.zeros(1 << 16, np.uint8), 0, np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray) -> None:
         lengths = ends - starts
-        flat, counts = self.bpe.merge(data[ragged(starts, lengths)], lengths)
+        own = data[ragged(starts, lengths)]
+        flat, counts = self.bpe.merge(own, lengths)
         for text, i in self.bpe.special.items():
             for k in np.flatnonzero(lengths == len(text)).tolist():
                 if data[starts[k] : ends[k]].tobytes() == text:
@@ -264,13 +299,19 @@ class Encoder:
                     counts[k] = 1
         used, n = self.known.used, self.known.used + len(names)
         if n > len(self.count):
-            self.first, self.count = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.first, self.count))
+            self.first, self.count, self.text_at, self.size = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.first, self.count, self.text_at, self.size))
         if self.filled + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.int32)])
         self.flat[self.filled : self.filled + len(flat)] = flat
         self.count[used:n] = counts
         self.first[used:n] = self.filled + np.cumsum(counts) - counts
         self.filled += len(flat)
+        if self.written + len(own) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(len(self.text) + len(own), np.uint8)])
+        self.text[self.written : self.written + len(own)] = own
+        self.size[used:n] = lengths
+        self.text_at[used:n] = self.written + np.cumsum(lengths) - lengths
+        self.written += len(own)
         self.known.add(names)
 
     def slots(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +336,7 @@ class Encoder:
         for a, b in inside:
             starts = starts[(starts <= a) | (starts >= b)]
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        codes, names = pd.factorize(self.hasher.hashes(data, starts, ends))
+        codes, names = pd.factorize(word_names(data, starts, ends, 7))
         slot = self.known.find(names)
         new = np.flatnonzero(slot < 0)
         if len(new):
@@ -305,7 +346,22 @@ class Encoder:
             first = self.known.used
             self.learn(data, starts[at], ends[at], names[new])
             slot[new] = first + np.arange(len(new))
-        return slot[codes], np.searchsorted(starts, offsets)
+        slot = slot[codes]
+        known = np.ndarray(len(self.text) - 7, "<u8", self.text, strides=(1,))
+        other = np.flatnonzero(differing(eights(data), starts, ends, known, self.text_at[slot], self.size[slot]))
+        if len(other):  # another pre-token with a cached one's name: it gets an entry that no name finds
+            first = self.known.used
+            self.learn(data, starts[other], ends[other], self.unused(len(other)))
+            slot[other] = first + np.arange(len(other))
+        return slot, np.searchsorted(starts, offsets)
+
+    def unused(self, n: int) -> np.ndarray:
+        """n names that no pre-token in the cache has."""
+        out, number = np.zeros(0, np.uint64), self.known.used
+        while len(out) < n:
+            more = np.maximum(mixed(np.arange(number, number + n, dtype=np.uint64)), np.uint64(1))
+            out, number = np.unique(np.concatenate([out, more[self.known.find(more) < 0]])), number + n
+        return out[:n]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text of a block."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.functions.session import ship_package, with_row_ids, written
+from catalogspark.functions.session import row_named, ship_package, written
 from catalogspark.llm import byte_pairs, shingles
 from catalogspark.llm.byte_pairs import ragged
 
@@ -61,7 +61,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends, at = shingles.words(data, offsets)
     n, docs = len(starts), len(offsets) - 1
     count = np.diff(at)
-    name = shingles.mixed(shingles.word_hasher().hashes(data, starts, ends))
+    name = shingles.word_hashes(data, starts, ends)
     place = np.arange(n) + np.repeat(np.arange(docs), count)
     words = np.full(n + docs, END_WORD, np.uint64)
     words[place] = name
@@ -405,9 +405,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column
     """
     ship_package(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_row_ids(docs, "_rid").select(
-        F.col("_rid.file").alias("file"), F.floor(F.col("_rid.row") / BLOCK_ROWS).alias("block"), F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out(F.col(key)) if out is None else out, F.lit(False)).alias("held_out")
-    )
+    rows = row_named(docs, F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out(F.col(key)) if out is None else out, F.lit(False)).alias("held_out"))
+    rows = rows.select(F.col("rid.file").alias("file"), F.floor(F.col("rid.row") / BLOCK_ROWS).alias("block"), "key", "text", "held_out")
     blobs = written(counted(rows.select("text", "held_out"), parts), "counts")
     words = written(word_counts(blobs, parts), "words")
     train_tokens, distinct = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count("*")).first()

@@ -1,28 +1,36 @@
 """Exact Jaccard self-join of word n-gram sets by universe partitioning.
 
 Two sets of sizes a <= b with Jaccard >= t differ in at most D = (a + b)(1 - t)/(1 + t) elements. Sizes are cut into
-bands; in the band of the larger set with its largest D, all elements are dealt by hash into m = D + 1 + slack
-segments, so by the pigeonhole principle any choice of allowed differences d_i in {-1, 0, 1} with sum(d_i + 1) > D
-meets a linked set in some segment i with at most d_i differing elements. Indexed are each set's segment contents
-(d = 0) and, for the first segment, the contents less one element (its one-deletion neighbourhood, d = 1). The
-allocation is by cost: each set leaves out its `slack` most frequent segments, and one more if that is dearer than
-searching the one-deletion neighbourhood. Candidates are verified exactly on the texts.
-
-Scale: equal sets are one class and meet only once. A signature travels as 16 bytes inside packed blocks, dealt by its
-own hash; only signatures with two classes or more become rows. A bucket's classes are compared with one hub and
-components are contracted. Classes of buckets that are still apart then meet on their rarest elements alone: by the
-prefix principle two linked sets share one of them, with room for the overlap they need, while copies that are too far
-apart differ in just these; 512-bit sketches refuse most of the rest before any text is fetched. So a large group of copies costs rows in proportion to its size, linked or not. Every step
-is a written table or a plain join or aggregate.
+bands; in the band of the larger set with its largest D, all elements are dealt by hash into m > D segments. D differing
+elements touch at most D segments, so a linked pair has m - D equal ones, and by the pigeonhole principle the two sets
+share one of the first D + 1 segments of any order that both follow. The order is by cost: a segment content costs the
+classes that share it, so each set leaves out its m - D - 1 dearest segments (frequent passages, above all).
+
+A band may allow one difference in its first segment instead: contents of the first segment less one element (its
+one-deletion neighbourhood) are indexed too, and the other segments go down to the cheapest D - 1. A band does so if
+its neighbourhoods cost less than the two segments that it then leaves out.
+
+Candidates are compared in three steps: with the hub (smallest class) of each bucket; components are contracted; and the
+classes of buckets that are still apart without their hub are partitioned anew into the finest segments there are, of one
+element each, under the same order (this is where the pigeonhole becomes the prefix principle), with room for the overlap
+that a link needs. Pairs are refused by sizes and 512-bit parity sketches before any text is fetched; the rest are verified exactly on
+the texts.
+
+Scale: equal sets are one class and meet only once. A signature travels as 6 bytes inside packed blocks, dealt by its own
+hash (a clash of names only adds a candidate), and only contents that two classes share become rows. Texts are fetched
+for surviving pairs alone. Hubs with many partners are split over tasks, their text once in each. Joins on names and classes are
+inner joins, which adaptive execution splits where they are skewed. Every step is a written table or a plain join or
+aggregate.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; fewer words than n are one
-shingle of the whole sequence; repeated rows and repeated keys are separate rows of one class; component_id is the
-smallest key that is not null (null if all are null); no rows give no rows; input columns other than key and text are
-not read, so they cannot clash (only a column `_rid` would). Classes and shingles are named by 64-bit hashes.
+shingle of the whole sequence; texts of any length are compared whole; repeated rows and repeated keys are separate rows
+of one class; component_id is the smallest key that is not null (null if all are null); no rows give no rows; input columns
+other than key and text are not read, so they cannot clash. A document's shingles are counted by 64-bit names; whether
+sets are equal and how far they overlap is decided by 128 bits.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +38,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalogspark.functions.session import ship_package, with_row_ids, written
+from catalogspark.functions.session import row_named, ship_package, written
 from catalogspark.llm import byte_pairs, shingles
 from catalogspark.llm.components import components
 
 BLOCK = 1 << 20
 #: Signatures that a task gathers before it passes them on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Ratio of the largest to the smallest size in a band.
 WIDTH = 1.4
-#: Kinds of signature, in the low bits of its name: a segment, the first segment, its one-deletion neighbourhood.
-PLAIN, FIRST, SHORTER = range(3)
+#: Kinds of signature, in the low bits of its name: a segment, the first segment, its one-deletion neighbourhood, an empty segment.
+PLAIN, FIRST, SHORTER, EMPTY = range(4)
 #: 64-bit words of a sketch.
 WORDS = 8
+#: Bits of a name: 45 of hash, one for the parity of the band, two for the kind.
+NAME = np.uint64((1 << 48) - 1)
+#: Partners of a hub that one task compares.
+PARTNERS = 512
 
 
 class Bands:
@@ -66,180 +78,264 @@ class Bands:
             k += 1
         return k
 
-    def segments(self, k: int) -> tuple[int, int]:
-        """Number of segments of a band, and how many of them a set may leave out."""
-        hi = self.band(k)[1]
-        apart = 2 * hi * (self.den - self.num) // (self.den + self.num)
-        slack = (apart + 12) // 16
-        return apart + 1 + slack, slack
+    def segments(self, k: int) -> int:
+        """Segments of a band: one more than any pair differs in, and a sixteenth to leave out."""
+        apart = 2 * self.band(k)[1] * (self.den - self.num) // (self.den + self.num)
+        return apart + 1 + (apart + 12) // 16
+
+    def apart(self, size: int, k: int) -> int:
+        """Elements that a set of this size and a linked partner differ in at most, when the larger one is in band k."""
+        return (size + min(self.band(k)[1], size * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
 
     def searched(self, size: int) -> list[int]:
         """Bands of the larger set of a pair that a set of this size can be in."""
         k = self.of(size)
         return [k] + [k + 1] * (size * self.den >= self.num * self.band(k + 1)[0])
 
+    def prefix(self, size: int) -> int:
+        """Rarest elements of a set among which it meets any linked set."""
+        return size - -(-size * self.num // self.den) + 1
+
+    def index(self, size: int) -> int:
+        """The same if the partner is no smaller and searches by its whole prefix."""
+        return size - -(-size * 2 * self.num // (self.num + self.den)) + 1
+
+
+def signatures(elements: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """Names of a set's segment contents and one-deletion neighbourhoods, and for even and odd bands how many segments are named.
 
-def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """Names of a set's segment contents and one-deletion neighbourhoods; kind and parity of the band in the low 3 bits."""
-    out = []
+    Empty segments come last in the order, so they are named only where a set has too few others.
+    """
+    out, named = [], [0, 0]
     for k in bands.searched(len(elements)):
-        m, _ = bands.segments(k)
+        m = bands.segments(k)
         salt = np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
         h = shingles.mixed(elements ^ salt)
         place = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         value = shingles.mixed(h + salt)
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, place.astype(np.int64), value)
+        filled = np.bincount(place.astype(np.int64), minlength=m) > 0
+        filled[0] = True
+        full = np.flatnonzero(filled)
+        empty = np.flatnonzero(~filled)[: max(0, bands.apart(len(elements), k) + 1 - len(full))]
         shorter = sums[0] - value[place == 0]
-        places = np.concatenate([np.arange(m, dtype=np.uint64), np.zeros(len(shorter), np.uint64)])
-        names = shingles.mixed(np.concatenate([sums, shorter]) + shingles.mixed(places * np.uint64(2) + salt))
-        kind = np.full(len(names), PLAIN, np.uint64)
-        kind[0], kind[m:] = FIRST, SHORTER
-        out.append(names & ~np.uint64(7) | kind | np.uint64(4 * (k & 1)))
-    return np.concatenate(out)
+        places = np.concatenate([full, empty, np.zeros(len(shorter), np.int64)]).astype(np.uint64)
+        names = shingles.mixed(np.concatenate([sums[full], sums[empty], shorter]) + shingles.mixed(places * np.uint64(2) + salt))
+        kind = np.repeat(np.array([PLAIN, EMPTY, SHORTER], np.uint64), [len(full), len(empty), len(shorter)])
+        kind[0] = FIRST
+        out.append(names << np.uint64(3) & NAME | np.uint64(4 * (k & 1)) | kind)
+        named[k & 1] = len(full)
+    return np.concatenate(out), named
 
 
-def class_name(elements: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+def elements_alone(elements: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """Names of the finest segments: one element each."""
+    return shingles.mixed(elements) << np.uint64(3) & NAME, [len(elements), 0]
 
 
-def distinct_pairs(names: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (name, owner), sorted."""
-    name, owner = np.concatenate(names), np.concatenate(owners)
-    order = np.lexsort((owner, name))
-    name, owner = name[order], owner[order]
-    new = np.concatenate([[True], (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])])
-    return name[new], owner[new]
+def class_name(one: np.ndarray, two: np.ndarray) -> bytes:
+    return hashlib.blake2b(one.tobytes() + two.tobytes(), digest_size=16).digest()
 
 
-def each_set(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+def each_set(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data, at = byte_pairs.buffers(texts)
     for a, b in byte_pairs.blocks(at, BLOCK):
-        yield from shingles.sets(data[at[a] : at[b]], at[a : b + 1] - at[a], n)
+        yield from shingles.sets(data[at[a] : at[b]], at[a : b + 1] - at[a], n, wide=True)
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """(rid, key, n_shingles, class) of every row of (rid, key, text); class is null for empty sets."""
+    """(rid, key, class, size, b0, ...) of every row of (rid, key, text); class is null for empty sets.
+
+    b0, ... are the parities of the elements that fall on each of 512 bits: sets differ in at least as many elements as bits.
+    """
     kinds = dict(docs.dtypes)
+    names = ["rid", "key", "class", "size", *(f"b{i}" for i in range(WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), class_name(s) if len(s) else None) for s in each_set(batch.column("text"), n)]
-            sizes, classes = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("key"), sizes, classes], ["rid", "key", "n_shingles", "class"])
+            classes, sizes, bits = [], [], []
+            for one, two in each_set(batch.column("text"), n):
+                odd = (np.bincount((one & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(bool)
+                classes.append(class_name(one, two) if len(one) else None)
+                sizes.append(len(one))
+                bits.append(np.packbits(odd).view(np.int64))
+            table = np.array(bits, np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("key"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(table[:, i]) for i in range(WORDS))], names)
+
+    return docs.mapInArrow(run, f"rid {kinds['rid']}, key {kinds['key']}, class binary, size long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
 
-    return docs.mapInArrow(run, f"rid {kinds['rid']}, key {kinds['key']}, n_shingles long, class long")
 
+def shared_contents(docs: DataFrame, n: int, bands: Bands, segments: Callable) -> DataFrame:
+    """(name, kind, odd, class, size, named, cost, wide) of the contents that two or more classes of (text) share.
 
-def shared_signatures(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """Distinct (name, kind, odd, class, slack) of signatures that two or more classes have."""
+    cost: other classes with this content as a segment; wide: neighbourhoods included; named: segments of the class that are named at all.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, owners, held = [], [], 0
+        classes: dict[bytes, tuple[int, int, int]] = {}
+        names: list[np.ndarray] = []
+        held = 0
 
         def passed_on() -> pa.RecordBatch:
-            name, owner = distinct_pairs(names, owners)
-            part = ((name >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # name is sorted, so is this
+            name = np.concatenate(names)
+            owner = np.repeat(np.arange(len(names)), [len(x) for x in names])
+            ids = np.frombuffer(b"".join(classes), np.uint8).reshape(-1, 16)
+            facts = np.array(list(classes.values()), np.uint32)
+            part = ((name >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")  # owners stay in order
+            part, name, owner = part[order], name[order], owner[order]
             edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            own = [p for p in range(parts) if edges[p] < edges[p + 1]]
-            blobs = [name[edges[p] : edges[p + 1]].tobytes() + owner[edges[p] : edges[p + 1]].tobytes() for p in own]
+            own, blobs = [], []
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                x = slice(edges[p], edges[p + 1])
+                mine = owner[x]
+                first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                count = np.diff(np.append(first, len(mine))).astype(np.uint32)
+                who = mine[first]
+                short = np.ascontiguousarray(name[x].view(np.uint8).reshape(-1, 8)[:, :6])
+                own.append(p)
+                blobs.append(np.uint32(len(who)).tobytes() + ids[who].tobytes() + facts[who].tobytes() + count.tobytes() + short.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in batches:
-            for s in each_set(batch.column("text"), n):
-                if len(s):
-                    found = signatures(s, bands)
+            for one, two in each_set(batch.column("text"), n):
+                if len(one) and (c := class_name(one, two)) not in classes:
+                    found, named = segments(one, bands)
+                    classes[c] = (len(one), *named)
                     names.append(found)
-                    owners.append(np.full(len(found), class_name(s), np.int64))
                     held += len(found)
                     if held >= HELD:
                         yield passed_on()
-                        names, owners, held = [], [], 0
+                        classes, names, held = {}, [], 0
         if held:
             yield passed_on()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, owners = [], []
+        names, ids, facts, owners, many = [], [], [], [], 0
         for batch in batches:
             for blob in batch.column("blob"):
-                raw = np.frombuffer(blob.as_buffer(), np.uint64)
-                names.append(raw[: len(raw) // 2])
-                owners.append(raw[len(raw) // 2 :].view(np.int64))
+                raw = np.frombuffer(blob.as_buffer(), np.uint8)
+                k = int(raw[:4].view(np.uint32)[0])
+                a, b, c = 4 + 16 * k, 4 + 28 * k, 4 + 32 * k
+                ids.append(raw[4:a].reshape(-1, 16))
+                facts.append(raw[a:b].copy().view(np.uint32).reshape(-1, 3))
+                owners.append(many + np.repeat(np.arange(k), raw[b:c].copy().view(np.uint32)))
+                wide = np.zeros((len(raw[c:]) // 6, 8), np.uint8)
+                wide[:, :6] = raw[c:].reshape(-1, 6)
+                names.append(wide.view(np.uint64).ravel())
+                many += k
         if not names:
             return
-        name, owner = distinct_pairs(names, owners)
+        ids, facts = np.concatenate(ids), np.concatenate(facts)
+        two = np.ascontiguousarray(ids).view(np.uint64)
+        order = np.lexsort((two[:, 1], two[:, 0]))
+        new = np.concatenate([[True], (two[order][1:] != two[order][:-1]).any(1)])
+        same = np.empty(many, np.int64)
+        same[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        name, owner = np.concatenate(names), same[np.concatenate(owners)]
+        names.clear()
+        order = np.lexsort((owner, name))
+        name, owner = name[order], owner[order]
+        keep = np.concatenate([[True], (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])])
+        name, owner = name[keep], owner[keep]
         bare = name & ~np.uint64(3)
         first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
         count = np.diff(np.append(first, len(bare)))
-        low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
-        keep = np.repeat(low != high, count)
-        columns = bare[keep].view(np.int64), (name[keep] & np.uint64(3)).astype(np.int32), owner[keep]
-        for a in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], ["name", "kind", "class"])
-
-    return docs.select("text").mapInArrow(deal, "part int, blob binary").repartition(parts, "part").mapInArrow(meet, "name long, kind int, class long")
+        kind = (name & np.uint64(3)).astype(np.int32)
+        segment = np.add.reduceat((kind != SHORTER).astype(np.int64), first)
+        shared = np.repeat(count > 1, count)
+        cost, wide = (np.repeat(x, count)[shared] - 1 for x in (segment, count))
+        bare, kind, owner = bare[shared], kind[shared], owner[shared]
+        odd = ((bare >> np.uint64(2)) & np.uint64(1)).astype(np.int32)
+        columns = bare.view(np.int64), kind, odd, facts[owner, 0].astype(np.int64), facts[owner, 1 + odd].astype(np.int64), cost, wide
+        for a in range(0, len(bare), 50_000):
+            x = slice(a, a + 50_000)
+            classes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(owner[x]), [None, pa.py_buffer(np.ascontiguousarray(ids[owner[x]]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in columns), classes], ["name", "kind", "odd", "size", "named", "cost", "wide", "class"])
+
+    dealt = docs.select("text").mapInArrow(deal, "part int, blob binary").repartition(parts, "part")
+    return dealt.mapInArrow(meet, "name long, kind int, odd int, size long, named long, cost long, wide long, class binary")
+
+
+def ranked(shared: DataFrame) -> DataFrame:
+    """Adds `place`, the number of segments that come before this one in its set's order, and `inner`, the same without the first segment."""
+    own = Window.partitionBy("class", "odd")
+    segment = F.col("kind").isin(PLAIN, FIRST)
+    order = own.orderBy(F.when(segment, 0).otherwise(1), "cost", "name")
+    out = shared.withColumns({"rank": F.row_number().over(order), "present": F.count_if(segment).over(own)})
+    # segments that no other class shares come first
+    out = out.withColumn("place", F.col("named") - F.col("present") + F.col("rank") - 1)
+    first = F.max(F.when(F.col("kind") == FIRST, F.col("place"))).over(own)
+    inner = F.when(F.coalesce(first < F.col("place"), F.lit(True)), F.col("place") - 1).otherwise(F.col("place"))
+    return out.withColumn("inner", inner).drop("rank", "present", "named")
 
 
 def allocated(shared: DataFrame, bands: Bands) -> DataFrame:
-    """(name, class, searches): which signatures each class searches by, under the cost-based allocation.
+    """(name, class) by which each class searches, under the cost-based allocation."""
+    spark = shared.sparkSession
+    top = shared.agg(F.max("size")).first()[0]
+    table = [(k, *bands.band(k)) for k in range(bands.of(top) + 2)]  # logarithmic in the longest text
+    band = F.broadcast(spark.createDataFrame(table, "k int, lo long, hi long"))
+    sized = shared.join(band.select(F.col("k").alias("own"), "lo", F.col("hi").alias("up")), (F.col("size") >= F.col("lo")) & (F.col("size") <= F.col("up"))).drop("lo", "up")
+    sized = sized.withColumn("k", F.when(F.col("own") % 2 == F.col("odd"), F.col("own")).otherwise(F.col("own") + 1)).join(band.select("k", "hi"), "k")
+    num, den = bands.num, bands.den
+    apart = F.expr(f"((size + least(hi, (size * {den}) div {num})) * {den - num}) div {den + num}")
+    placed = ranked(sized.drop("own")).withColumn("apart", apart).drop("hi")
+    placed = placed.filter((F.col("kind") != PLAIN) | (F.col("place") <= F.col("apart")))
+    placed = written(placed.select("name", "kind", "class", "k", "place", "inner", "apart", "cost", "wide"), "placed")
+    saved = F.when(F.col("kind").isin(PLAIN, FIRST) & (F.col("place") <= F.col("apart")) & (F.col("place") >= F.col("apart") - 1), F.col("cost")).otherwise(0)
+    extra = F.when(F.col("kind").isin(SHORTER, FIRST), F.col("wide")).otherwise(0)
+    near = F.broadcast(placed.groupBy("k").agg((F.sum(extra) < F.sum(saved)).alias("near")))  # one row a band
+    plain, first = F.col("kind") == PLAIN, F.col("kind") == FIRST
+    within = F.when(F.col("near"), ~plain | (F.col("inner") < F.col("apart") - 1)).otherwise((F.col("kind") == EMPTY) | ((plain | first) & (F.col("place") <= F.col("apart"))))
+    return placed.join(near, "k").filter(within).select("name", "class")
 
-    A signature costs the classes it meets. In each of its bands a class leaves out its `slack` dearest segments; it
-    leaves out the next one too, and searches the one-deletion neighbourhood of its first segment, if that is cheaper.
-    `shared` carries n_shingles, from which slack follows. A signature that no class shares costs nothing.
-    """
-    met = shared.groupBy("name").agg((F.count_distinct("class") - 1).alias("cost"))
-    priced = shared.join(met, "name")
-    own = ["class", "odd"]
-    order = Window.partitionBy(*own).orderBy(F.when(F.col("kind") == SHORTER, 1).otherwise(0), F.when(F.col("kind") == FIRST, 1).otherwise(0), F.desc("cost"), "name")
-    whole = Window.partitionBy(*own)
-    ranked = priced.withColumns({"place": F.row_number().over(order), "shorter": F.coalesce(F.sum(F.when(F.col("kind") == SHORTER, F.col("cost"))).over(whole), F.lit(0))})
-    ranked = ranked.withColumn("next", F.coalesce(F.max(F.when((F.col("kind") == PLAIN) & (F.col("place") == F.col("slack") + 1), F.col("cost"))).over(whole), F.lit(0)))
-    ranked = ranked.withColumn("near", F.col("next") > F.col("shorter"))
-    left_out = F.col("place") <= F.col("slack") + F.col("near").cast("int")
-    searches = F.when(F.col("kind") == SHORTER, F.col("near")).when(F.col("kind") == FIRST, F.lit(True)).otherwise(~left_out)
-    near_name = F.when(F.col("kind") != PLAIN, F.col("near")).otherwise(False)
-    out = ranked.select("name", "kind", "class", searches.alias("searches"), near_name.alias("near"))
-    used = out.groupBy("name").agg(F.max("near").alias("any_near"), F.max("searches").alias("any"))
-    kept = out.join(used.filter("any"), "name").filter((F.col("kind") != SHORTER) | F.col("any_near"))
-    return kept.groupBy("name", "class").agg(F.max("searches").alias("searches"))
-
-
-def compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets have den * |intersection| >= num * |union|, found from the texts."""
-    t = texts.select("class", "text")
-    rows = pairs.join(t.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, known = None, None
-        for batch in batches:
-            a, linked = batch.column("a").to_pylist(), []
-            for i in range(len(batch)):
-                if a[i] != hub:
-                    hub, known = a[i], next(each_set(batch.column("text_a").slice(i, 1), n))
-                other = next(each_set(batch.column("text_b").slice(i, 1), n))
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                linked.append(den * both >= num * (len(known) + len(other) - both))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+def sifted(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose column may be among the keys: all that are, and few others, found in a map of 2^24 bits.
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    The map is a table of at most 2^18 words, so broadcasting it is bounded whatever the keys; it spares the exact join
+    after it the shuffle of most rows while keys are fewer than bits, and costs little beyond.
+    """
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(column)).withColumn("_w", F.expr(f"shiftright(_h, 6) & {(1 << 18) - 1}"))
+    words = hashed(keys.select(column)).groupBy("_w").agg(F.expr("bit_or(shiftleft(1L, CAST(_h & 63 AS INT)))").alias("_bits"))
+    return hashed(rows).join(F.broadcast(words), "_w").filter("_bits & shiftleft(1L, CAST(_h & 63 AS INT)) <> 0").drop("_h", "_w", "_bits")
 
 
-def sketches(texts: DataFrame, n: int) -> DataFrame:
-    """(class, size, b0, ...): parities of the elements that fall on each of 512 bits. Sets differ in at least as many elements as bits."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sets have den * |intersection| >= num * |union|, found from the texts.
+
+    Each hub a is dealt over one task for PARTNERS partners, its text before theirs.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"))
+    partners = pairs.join(salts, "a").select("a", F.expr("CAST(pmod(xxhash64(b), salts) AS INT)").alias("salt"), "b")
+    roles = hubs.unionByName(partners).withColumn("class", F.coalesce("b", "a")).join(classes.select("class", "rid"), "class")
+    roles = written(roles.select("rid", "a", "salt", "b"), "roles")
+    rows = sifted(docs.select("rid", "text"), roles, "rid").join(roles, "rid").select("a", "salt", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = one = two = None
         for batch in batches:
-            sizes, bits = [], []
-            for s in each_set(batch.column("text"), n):
-                odd = (np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(bool)
-                sizes.append(len(s))
-                bits.append(np.packbits(odd).view(np.int64))
-            table = np.array(bits, np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sizes, pa.int64()), *(pa.array(table[:, i]) for i in range(WORDS))], ["class", "size", *(f"b{i}" for i in range(WORDS))])
-
-    return texts.select("class", "text").mapInArrow(run, "class long, size long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
+            a, salt, b = (batch.column(c).to_pylist() for c in ("a", "salt", "b"))
+            linked = []
+            for i, (mine, mine2) in enumerate(each_set(batch.column("text"), n)):
+                if b[i] is None:
+                    hub, one, two = (a[i], salt[i]), mine, mine2
+                    continue
+                assert hub == (a[i], salt[i])
+                _, x, y = np.intersect1d(one, mine, assume_unique=True, return_indices=True)
+                both = int((two[x] == mine2[y]).sum())
+                if den * both >= num * (len(one) + len(mine) - both):
+                    linked.append(i)
+            keep = pa.array(linked, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    dealt = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_enough(x: str, y: str, num: int, den: int):
@@ -250,122 +346,82 @@ def near_enough(x: str, y: str, num: int, den: int):
     return length & (bits <= both - 2 * F.ceil(both * num / (num + den)))
 
 
-def rare_elements(classes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(e, class, size, place, indexed): the prefix of each class's set under the order from rare to frequent elements.
-
-    Frequencies are those among the given classes. Of a linked pair, the smaller set has a shared element among its
-    first |x| - ceil(2t / (1 + t) |x|) + 1 (`indexed`), the larger one has it among its first |y| - ceil(t |y|) + 1.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.view(np.int64) for s in each_set(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "size", "elements"])
-
-    sets = texts.join(classes.select("class"), "class", "left_semi").select("class", "text").mapInArrow(run, "class long, size long, elements array<long>")
-    rows = written(sets, "sets").select("class", "size", F.explode("elements").alias("e"))
-    met = rows.groupBy("e").agg(F.count("*").alias("met"))
-    placed = rows.join(met, "e").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("met", "e")))
-    whole = F.col("size") - F.ceil(F.col("size") * num / den) + 1
-    short = F.col("size") - F.ceil(F.col("size") * (2 * num) / (num + den)) + 1
-    return placed.filter((F.col("place") <= whole) & (F.col("met") > 1)).withColumn("indexed", F.col("place") <= short).drop("met")
-
-
-def sifted(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose column may be among the keys: all that are, and few others, found in a map of 2^24 bits.
-
-    The map is a table of at most 2^18 words, so broadcasting it is bounded whatever the keys; it spares the exact join
-    after it the shuffle of most rows while keys are fewer than bits, and costs little beyond.
-    """
-    hashed = lambda df: df.withColumn("_h", F.xxhash64(column)).withColumn("_w", F.expr(f"shiftright(_h, 6) & {(1 << 18) - 1}"))
-    words = hashed(keys.select(column)).groupBy("_w").agg(F.expr("bit_or(shiftleft(1L, CAST(_h & 63 AS INT)))").alias("_bits"))
-    return hashed(rows).join(F.broadcast(words), "_w").filter("_bits & shiftleft(1L, CAST(_h & 63 AS INT)) <> 0").drop("_h", "_w", "_bits")
-
-
 def links(docs: DataFrame, described_: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
     """(node, root) of classes that are linked with another class; docs has (rid, text). None if no candidates exist."""
     bands = Bands(num, den)
-    reps = described_.filter("class IS NOT NULL").groupBy("class").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"))
-    shared = written(shared_signatures(docs, n, bands), "signatures")
+    bits = [f"b{i}" for i in range(WORDS)]
+    shared = written(shared_contents(docs, n, bands, signatures), "shared")
     if shared.isEmpty():
         return None
-    wanted = written(reps.join(shared.select("class").distinct(), "class", "left_semi"), "classes")
-    texts = written(sifted(docs.select("rid", "text"), wanted, "rid").join(wanted.select("rid", "class"), "rid").select("class", "text"), "texts")
-
-    # slack and band parity follow from the size; they are expressions over a table of bands
-    top = wanted.agg(F.max("n_shingles")).first()[0]
-    last = bands.of(top) + 1
-    table = [(k, *bands.band(k), bands.segments(k)[1]) for k in range(last + 1)]  # logarithmic in the longest text
-    band = F.broadcast(docs.sparkSession.createDataFrame(table, "k int, lo long, hi long, slack int"))
-    sized = shared.withColumn("odd", F.col("name").bitwiseAND(F.lit(4))).join(wanted.select("class", "n_shingles"), "class")
-    own = sized.join(band.select("lo", "hi", F.col("k").alias("own")), (F.col("n_shingles") >= F.col("lo")) & (F.col("n_shingles") <= F.col("hi"))).drop("lo", "hi")
-    own = own.withColumn("k", F.when(F.col("own") % 2 == (F.col("odd") / 4).cast("int"), F.col("own")).otherwise(F.col("own") + 1))
-    members = written(allocated(own.join(band.select("k", "slack"), "k"), bands), "members")
-
-    sketch = written(sketches(texts, n), "sketches")
-    drawn = lambda v: sketch.select(F.col("class").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in sketch.columns if c != "class"])
+    reps = described_.filter("class IS NOT NULL").groupBy("class").agg(F.min("rid").alias("rid"), *(F.first(c).alias(c) for c in ("size", *bits)))
+    members = written(allocated(shared, bands), "members")
+    classes = written(reps.join(members.select("class").distinct(), "class", "left_semi"), "classes")
+    drawn = lambda v: classes.select(F.col("class").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("size", *bits)])
+
+    def starred(rest: DataFrame, seen: DataFrame | None, found: DataFrame | None) -> tuple:
+        """Compares each bucket's classes with the bucket's smallest class."""
+        hubs = rest.groupBy("name").agg(F.min("class").alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("name", "hub")
+        met = rest.join(hubs, "name").filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+        return hubs, *checked(met, seen, found)
 
     def checked(pairs: DataFrame, seen: DataFrame | None, found: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
         fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
         fresh = fresh.join(drawn("a"), "a").join(drawn("b"), "b").filter(near_enough("a", "b", num, den))
         pairs = written(fresh.select("a", "b"), "pairs")
-        new = written(compared(pairs, texts, n, num, den), "links")
+        new = written(verified(pairs, classes, docs, n, num, den), "links")
         found = new if found is None else found.unionByName(new)
         return pairs if seen is None else seen.unionByName(pairs), found, written(components(found), "roots")
 
-    def starred(rest: DataFrame, seen, found) -> tuple:
-        """Compares each bucket's classes with the bucket's smallest class."""
-        hubs = rest.groupBy("name").agg(F.min(F.struct("class", "root", "searches")).alias("hub"))
-        met = rest.join(hubs, "name").filter("class <> hub.class AND root <> hub.root AND (searches OR hub.searches)")
-        return hubs, *checked(met.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct(), seen, found)
-
     def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.drop("root").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        return rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
     hubs, seen, found, roots = starred(members.withColumn("root", F.col("class")), None, None)
     # what remains: buckets whose classes, without their hub, are still apart
-    left = rooted(members.join(hubs.select("name", F.col("hub.class").alias("hub")), "name").filter("class <> hub"), roots)
-    apart = left.groupBy("name").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("searches").alias("s")).filter("r0 <> r1 AND s").select("name")
-    rest = written(left.join(apart, "name", "left_semi").select("class", "root").distinct(), "rest")
+    left = rooted(members.join(hubs, "name").filter("class <> hub"), roots)
+    apart = left.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("name")
+    rest = written(left.join(apart, "name", "left_semi").select("class").distinct().join(classes.select("class", "rid"), "class").select("rid"), "rest")
     if rest.isEmpty():
         return roots
-    rare = written(rare_elements(rest, texts, n, num, den).withColumnRenamed("e", "name"), "rare")
-    _, seen, found, roots = starred(rooted(rare, roots).withColumn("searches", F.lit(True)), seen, found)
-    drawn_rare = rooted(rare, roots).drop("size").join(sketch, "class")
-    x, y = (drawn_rare.select("name", *[F.col(c).alias(f"{c}_{v}") for c in drawn_rare.columns if c != "name"]) for v in "xy")
+    texts = sifted(docs.select("rid", "text"), rest, "rid").join(rest, "rid", "left_semi")
+    single = ranked(shared_contents(texts, n, bands, elements_alone))
+    whole = F.expr(f"size - CAST(ceil(size * {num} / {den}) AS BIGINT)")
+    short = F.expr(f"size - CAST(ceil(size * {2 * num} / {num + den}) AS BIGINT)")
+    single = written(single.filter(F.col("place") <= whole).select("name", "class", "place", (F.col("place") <= short).alias("indexed")), "single")
+    _, seen, found, roots = starred(rooted(single, roots), seen, found)
+    known = rooted(single, roots).join(classes.drop("rid"), "class")
+    x, y = (known.select("name", *[F.col(c).alias(f"{c}_{v}") for c in known.columns if c != "name"]) for v in "xy")
     least = F.ceil((F.col("size_x") + F.col("size_y")) * num / (num + den))
-    room = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
+    room = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
     smaller = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("class_x") < F.col("class_y")))
     # the first shared element of a linked pair leaves room for the overlap it needs
     met = x.filter("indexed").join(y, "name").filter(smaller & (F.col("root_x") != F.col("root_y")) & (room >= least) & near_enough("x", "y", num, den))
     return checked(met.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct(), seen, found)[2]
 
 
-def placed(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """(rid, key, n_shingles, root) of every row; docs has row ids as `_rid`."""
-    ship_package(docs.sparkSession)
-    rows = docs.select(F.col("_rid").alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
+def placed(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(rid, key, size, root) of every row of (rid, key, text)."""
+    ship_package(rows.sparkSession)
     known = written(described(rows, n), "described")
     roots = links(rows.select("rid", "text"), known, n, num, den)
     if roots is None:
-        return known.withColumnRenamed("class", "root")
-    return known.join(roots.withColumnRenamed("node", "class"), "class", "left").select("rid", "key", "n_shingles", F.coalesce("root", "class").alias("root"))
+        return known.select("rid", "key", "size", F.col("class").alias("root"))
+    return known.join(roots.withColumnRenamed("node", "class"), "class", "left").select("rid", "key", "size", F.coalesce("root", "class").alias("root"))
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(rid, key, n_shingles, component_id) of every row."""
-    rows = placed(with_row_ids(docs, "_rid"), key, text, n, num, den)
+    rows = placed(row_named(docs, F.col(key).alias("key"), F.col(text).alias("text")), n, num, den)
     least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("least"))
-    return rows.join(least, "root", "left").select("rid", "key", "n_shingles", F.coalesce("least", "key").alias("component_id"))
+    return rows.join(least, "root", "left").select("rid", "key", F.col("size").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of docs without all but the first row (by key, nulls last, then place) of each linked group; rows with an empty set stay."""
-    named = with_row_ids(docs, "_rid")
-    rows = placed(named, key, text, n, num, den).filter("root IS NOT NULL")
+    named = row_named(docs, F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("doc"))
+    rows = placed(named.select("rid", "key", "text"), n, num, den).filter("root IS NOT NULL")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "rid")).alias("first"))
-    drop = rows.join(first, "root").filter("rid <> first.rid").select(F.col("rid").alias("_rid"))
-    return named.join(drop, "_rid", "left_anti").select(*docs.columns)
+    drop = rows.join(first, "root").filter("rid <> first.rid").select("rid")
+    return named.join(drop, "rid", "left_anti").select(*(F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def text_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         part, inner = data[at[a] : at[b]], at[a : b + 1] - at[a]
         low = shingles.LOWER[part]
         starts, ends, where = shingles.words(low, inner)
-        slot = (shingles.mixed(shingles.word_hasher().hashes(low, starts, ends)) >> np.uint64(46)).astype(np.int64)
+        slot = (shingles.word_hashes(low, starts, ends) >> np.uint64(46)).astype(np.int64)
         doc = np.repeat(np.arange(b - a), np.diff(where))
         pairs = np.unique(doc * SLOTS + slot)
         yield pairs % SLOTS, np.searchsorted(pairs, np.arange(b - a + 1) * SLOTS), measures(part, inner, np.diff(where))

@@ -1,26 +1,28 @@
-"""Removal of repeated byte strings by bucket-pointer refinement over sampled suffixes; exact.
+"""Removal of repeated byte strings by bucket-pointer refinement of suffixes; exact.
 
 Every byte that is covered by a string of LENGTH bytes which also starts somewhere else in the corpus goes.
 
-A window of LENGTH bytes is represented by one suffix: the one at the leftmost smallest Q-gram hash in the window (a
+A window of LENGTH bytes is represented by one suffix: the one at the leftmost smallest Q-gram name in the window (a
 pure function of the window's bytes, so equal windows choose suffixes at equal offsets). About one suffix in 69 is
 chosen by any window at all. Refinement, coarse to fine, keeps only what is still in a bucket with others:
 
-1. buckets of chosen suffixes by their Q-gram (the initial q-gram buckets);
-2. within a bucket, suffixes whose whole surroundings (all windows that chose them) are equal are settled at once;
+1. initial buckets of chosen suffixes by their Q-gram, whose names are doubled up from 8-grams at later offsets;
+2. within a bucket, suffixes whose whole surroundings (all windows that chose them) are equal move on as one;
 3. the rest are split on the identifiers of later and earlier offsets: windows that reach far to the right need an equal
-   stretch [p, p + RIGHT), the others an equal stretch [p - LEFT, p + Q); both identifiers come from the running sums
-   that gave the first ones;
-4. what is left in a bucket with others is refined to the full LENGTH, offset by offset.
+   stretch [p, p + RIGHT), the others an equal stretch [p - LEFT, p + Q);
+4. what is left in a bucket is refined offset by offset (`refined`): buckets of 8 bytes are split by sorting each place
+   on its own bucket identifier and that of the place h later; the new identifiers serve the next round, in which h
+   doubles, up to 128 bytes, and the last round looks 72 bytes ahead, which makes LENGTH. Places that are alone in
+   their bucket, or look ahead to one that is, leave at once.
 
 Scale: step 1 moves 34 bytes for each chosen suffix, in packed blocks dealt by the bucket's hash; suffixes with equal
 surroundings are combined in each task before that. Texts are shuffled once, to meet their own suffixes. Buckets of
-step 4 with more than HOT members are refined by rows (window identifiers) with ordinary aggregation.
+step 4 with more than HOT members are split by the names of their windows, with ordinary aggregation.
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than LENGTH are kept whole; texts of any
 length are cut into overlapping stretches; repeated rows and keys are rows of their own (and so repeat each other); no
 rows give no rows; a document's other columns travel in one struct, so names cannot clash. Q-gram buckets are named by
-64-bit hashes, equality of surroundings and of windows is decided by 128 bits of hash.
+64-bit hashes; equality is decided by 128 bits of hash in steps 2 and in hot buckets, and by the bytes in step 4.
 """
 
 import hashlib
@@ -28,13 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.functions.session import ship_package, with_row_ids, written
+from catalogspark.functions.session import row_named, ship_package, written
 from catalogspark.llm import byte_pairs
-from catalogspark.llm.byte_pairs import Hasher, ragged
-from catalogspark.llm.shingles import mixed
+from catalogspark.llm.byte_pairs import eights, mixed, ragged, word_names
 
 LENGTH, Q = 200, 64
 #: Q-grams of a window.
@@ -49,42 +50,50 @@ SETTLED, OPEN, EXAMPLE = 1, 0, 2
 PLACE = np.uint64((1 << 24) - 1)
 
 
-class Scanner:
-    """Chosen suffixes of stretches of text."""
-
-    def __init__(self):
-        self.first, self.second = Hasher(21), Hasher(22)
-
-    def chosen(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(place, lowest window, highest window, q-gram name, name of the surroundings) of chosen suffixes, by place."""
-        n = len(data)
-        none = np.zeros(0, np.int64)
-        if n < LENGTH:
-            return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-        at = np.arange(n - Q + 1)
-        name = mixed(self.first.hashes(data, at, at + Q))
-        low = (name & ~PLACE) | at.astype(np.uint64)
-        width = 1
-        while 2 * width <= SPAN:
-            low = np.minimum(low[: len(low) - width], low[width:])
-            width *= 2
-        low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-        # windows that lie in one text
-        whole = np.zeros(len(low) + 1, np.int64)
-        begin, end = offsets[:-1], offsets[1:] - LENGTH + 1
-        own = end > begin
-        np.add.at(whole, begin[own], 1)
-        np.add.at(whole, np.minimum(end[own], len(low)), -1)
-        windows = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
-        if not len(windows):
-            return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-        place = (low[windows] & PLACE).astype(np.int64)
-        text = np.searchsorted(offsets, windows, "right")
-        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
-        lo, hi = windows[new], windows[np.append(new[1:], len(windows)) - 1]
-        place = place[new]
-        around = mixed(self.second.hashes(data, lo, hi + LENGTH) + mixed((place - lo).astype(np.uint64) + np.uint64(7)))
-        return place, lo, hi, name[place], around
+#: Stretches around a suffix are shorter than this.
+AROUND = 1024
+
+
+def gram_names(data: np.ndarray) -> np.ndarray:
+    """Names of the Q-grams from each place on, doubled up from 8-grams: a name joins those of two places, h bytes apart."""
+    h = mixed(eights(data)[: len(data) - 7] + np.uint64(21))
+    step = 8
+    while step < Q:
+        h = mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) ^ h[step:])
+        step *= 2
+    return h
+
+
+def chosen(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, lowest window, highest window, q-gram name, name of the surroundings) of a stretch's chosen suffixes, by place."""
+    n = len(data)
+    none = np.zeros(0, np.int64)
+    if n < LENGTH:
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    name = gram_names(data)
+    at = np.arange(len(name))
+    low = (name & ~PLACE) | at.astype(np.uint64)
+    width = 1
+    while 2 * width <= SPAN:
+        low = np.minimum(low[: len(low) - width], low[width:])
+        width *= 2
+    low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
+    # windows that lie in one text
+    whole = np.zeros(len(low) + 1, np.int64)
+    begin, end = offsets[:-1], offsets[1:] - LENGTH + 1
+    own = end > begin
+    np.add.at(whole, begin[own], 1)
+    np.add.at(whole, np.minimum(end[own], len(low)), -1)
+    windows = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
+    if not len(windows):
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    place = (low[windows] & PLACE).astype(np.int64)
+    text = np.searchsorted(offsets, windows, "right")
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
+    lo, hi = windows[new], windows[np.append(new[1:], len(windows)) - 1]
+    place = place[new]
+    around = mixed(word_names(data, lo, hi + LENGTH, 22, AROUND) + mixed((place - lo).astype(np.uint64) + np.uint64(7)))
+    return place, lo, hi, name[place], around
 
 
 def stretches(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
@@ -104,7 +113,6 @@ def buckets(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
         found: list[tuple[np.ndarray, ...]] = []
         held = 0
 
@@ -139,7 +147,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             rid = batch.column("rid")
             files, numbers = (rid.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             for x, y, inner, first in stretches(at):
-                place, lo, hi, name, around = scanner.chosen(data[x:y], inner)
+                place, lo, hi, name, around = chosen(data[x:y], inner)
                 text = first + np.searchsorted(inner, place, "right") - 1
                 local = place + x - at[text]
                 spot = (numbers[text].astype(np.uint64) << np.uint64(32)) | local.astype(np.uint64)
@@ -227,7 +235,6 @@ def contexts(waiting: DataFrame) -> DataFrame:
     """Halves of the windows of open suffixes: (name of the longer stretch, rid, p, lo, hi, open, bytes [lo, hi + LENGTH))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(23)
         for batch in batches:
             out = []
             for i in range(len(batch)):
@@ -243,7 +250,7 @@ def contexts(waiting: DataFrame) -> DataFrame:
                         length = (y - x)[some]
                         flat = data[ragged(x[some], length)]
                         end = np.cumsum(length)
-                        names = mixed(hasher.hashes(flat, end - length, end) + np.uint64(far)).view(np.int64)
+                        names = mixed(word_names(flat, end - length, end, 23, AROUND) + np.uint64(far)).view(np.int64)
                         for j, name in zip(some.tolist(), names.tolist(), strict=True):
                             out.append((name, i, p[j], a[j], b[j], status[j] == OPEN, data[a[j] : b[j] + LENGTH].tobytes()))
             for k in range(0, len(out), 20_000):
@@ -255,13 +262,57 @@ def contexts(waiting: DataFrame) -> DataFrame:
     return waiting.mapInArrow(run, "name long, rid struct<file: long, row: long>, p long, lo long, hi long, open boolean, bytes binary")
 
 
-def window_names(bytes_: pa.Array, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit names of each window of each row, and the row."""
-    data, at = byte_pairs.buffers(pa.array(bytes_, pa.large_binary()) if not isinstance(bytes_, pa.Array) else bytes_.cast(pa.large_binary()).view(pa.large_string()))
+def row_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all rows and where each begins."""
+    data, at = byte_pairs.buffers(column.cast(pa.large_binary()).view(pa.large_string()))
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def windows_of(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the bytes, row, start in its document) of each row's windows."""
     count = hi - lo + 1
-    start = ragged(at[:-1] - at[0], count)
-    data = data[at[0] : at[-1]]
-    return Hasher(31).hashes(data, start, start + LENGTH), Hasher(32).hashes(data, start, start + LENGTH), np.repeat(np.arange(len(lo)), count)
+    place, row = ragged(at[:-1], count), np.repeat(np.arange(len(lo)), count)
+    return place, row, lo[row] + place - at[:-1][row]
+
+
+def rebucketed(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of pairs of identifiers, numbered by where they begin in sorted order, and which have several members."""
+    order = np.lexsort((right, left))
+    a, b = left[order], right[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(a)))
+    bucket, many = np.empty(len(a), np.int64), np.empty(len(a), bool)
+    bucket[order], many[order] = np.repeat(first, size), np.repeat(size > 1, size)
+    return bucket, many
+
+
+def refined(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which places of the rows [at[i], at[i + 1]) start a string of `length` bytes (8 at least) that starts at another place of the same group of rows.
+
+    Bucket identifiers of h bytes split into those of 2 h by the identifiers of the places h later, over and over.
+    """
+    n = len(data)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    room = at[1:][row] - np.arange(n) if n else np.zeros(0, np.int64)
+    bucket = np.full(n, -1, np.int64)
+    live = np.flatnonzero(room >= length)  # where the string begins, and all places that it looks ahead to
+    need = np.zeros(n + 1, np.int64)
+    np.add.at(need, live, 1)
+    np.add.at(need, live + length - 8 + 1, -1)
+    looked = np.flatnonzero(np.cumsum(need[:-1]) > 0)
+    ids, many = rebucketed(eights(data)[looked], group[row[looked]])
+    bucket[looked[many]] = ids[many]
+    h = 8
+    while h < length:
+        ahead = min(h, length - h)
+        size = h + ahead
+        here = looked[(bucket[looked] >= 0) & (looked + ahead < n)]
+        here = here[(bucket[here + ahead] >= 0) & (room[here] >= size)]
+        ids, many = rebucketed(bucket[here], bucket[here + ahead])
+        bucket = np.full(n, -1, np.int64)
+        bucket[here[many]] = ids[many]
+        looked, h = here[many], size
+    return bucket >= 0
 
 
 def _numpy(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -287,17 +338,10 @@ def found_in_groups(rows: DataFrame) -> DataFrame:
 
     def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for batch in table.combine_chunks().to_batches():
-            name, p, lo, hi, open_ = _numpy(batch, "name", "p", "lo", "hi", "open")
-            one, two, row = window_names(batch.column("bytes"), lo, hi)
-            start = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
-            one = one ^ mixed(name[row].view(np.uint64) + (p[row] - start).astype(np.uint64))
-            order = np.lexsort((two, one))
-            a, b = one[order], two[order]
-            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            twin = np.zeros(len(row), bool)
-            twin[order[1:][same]] = True
-            twin[order[:-1][same]] = True
-            twin &= open_[row]
+            name, lo, hi, open_ = _numpy(batch, "name", "lo", "hi", "open")
+            data, at = row_bytes(batch.column("bytes"))
+            place, row, start = windows_of(at, lo, hi)
+            twin = refined(data, at, name)[place] & open_[row]
             hits = np.flatnonzero(twin)
             if len(hits):
                 new = np.concatenate([[True], (np.diff(hits) != 1) | (np.diff(row[hits]) != 0)])
@@ -316,8 +360,9 @@ def found_by_rows(rows: DataFrame) -> DataFrame:
             for k in range(0, len(whole), 2_000):
                 batch = whole.slice(k, 2_000)
                 lo, hi, open_ = _numpy(batch, "lo", "hi", "open")
-                one, two, row = window_names(batch.column("bytes"), lo, hi)
-                start = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
+                data, at = row_bytes(batch.column("bytes"))
+                place, row, start = windows_of(at, lo, hi)
+                one, two = (word_names(data, place, place + LENGTH, seed, AROUND) for seed in (31, 32))
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("rid").take(pa.array(row)), pa.array(start), pa.array(open_[row])], ["one", "two", "rid", "s", "open"])
 
     windows = rows.mapInArrow(run, "one long, two long, rid struct<file: long, row: long>, s long, open boolean")
@@ -328,7 +373,7 @@ def found_by_rows(rows: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, key_columns: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; doc holds key_columns, kept the text that stays, whole characters only."""
     ship_package(docs.sparkSession)
-    named = with_row_ids(docs, "_rid").select(F.col("_rid").alias("rid"), F.struct(*key_columns).alias("doc"), F.col(text).alias("text"))
+    named = row_named(docs, F.struct(*(F.col(f"`{c}`") for c in key_columns)).alias("doc") if key_columns else F.struct(F.lit(0).alias("none")).alias("doc"), F.col(text).alias("text"))
     kind = dict(named.dtypes)["doc"]
     out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     entries = buckets(named.select("rid", "text")).groupBy("rid").agg(F.collect_list(F.struct("p", "lo", "hi", "status")).alias("entries"))
@@ -371,10 +416,16 @@ def deduplicated(docs: DataFrame, key_columns: list[str], text: str = "text", wi
 
 def keep_unrepeated(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
     """docs with their texts less all repeated strings, without rows that lose all their words; `length` names a column of character counts to renew."""
-    out = deduplicated(docs, [c for c in docs.columns], text, with_text=True)
+    out = deduplicated(docs, [c for c in docs.columns if c != text], text, with_text=True)
     worded = ~(F.col("n_removed") > 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]")
-    columns = [F.col("kept").alias(c) if c == text else (F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("doc")[c]).alias(c) if c == length else F.col("doc")[c].alias(c)) for c in docs.columns]
-    return out.filter(worded).select(*columns)
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("kept").alias(c)
+        own = F.col("doc")[c]
+        return (F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(own) if c == length else own).alias(c)
+
+    return out.filter(worded).select(*map(column, docs.columns))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,5 +73,39 @@ def test_pigeonhole_budget_covers_every_pair():
             if both > a:
                 continue
             k = bands.of(b)
-            m, slack = bands.segments(k)
-            assert a + b - 2 * both < m - slack and k in bands.searched(a)
+            assert k in bands.searched(a) and a + b - 2 * both <= min(bands.apart(a, k), bands.apart(b, k)) < bands.segments(k)
+
+
+def test_families_around_the_threshold_and_columns_that_clash(spark, tmp_path):
+    """A large family whose members differ in their own words, a passage that all texts share, and one very long text twice."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(120)]
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for _ in range(150):
+        now = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 5)), replace=False):
+            now[at] = f"x{int(rng.integers(0, 6))}"
+        texts.append(" ".join(now + passage * int(rng.integers(0, 2))))
+    texts += [" ".join([f"q{int(x)}" for x in rng.integers(0, 9999, 60)] + passage) for _ in range(60)]
+    long = [f"l{int(x)}" for x in rng.integers(0, 9999, 60_000)]
+    texts += [" ".join(long), " ".join(long[:-100])]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t, "x", 0, "r", i) for i, t in enumerate(texts)], "doc_id long, text string, key string, rid int, _rid string, class long").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = sorted((r.key, r.n_shingles, r.component_id) for r in nj.linked(docs, n=3, num=90, den=100).collect())
+    want = brute(texts, 3, 90, 100)
+    assert got == want
+    kept = nj.keep_one(docs, n=3, num=90, den=100)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({w[2] for w in want})
+
+
+def thue_morse(letters: str, size: int) -> str:
+    return "".join(letters[i.bit_count() & 1] for i in range(size))
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_complementary_thue_morse_words_are_not_linked(spark, size):
+    rows = [(1, thue_morse("ab", size)), (2, thue_morse("ba", size)), (3, thue_morse("ab", size))]
+    got = {r.key: r.component_id for r in nj.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

@@ -52,6 +52,27 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, seed, hot, stretch):
     assert all(r.kept == texts[r.doc.doc_id] for r in out if r.n_removed == 0)
 
 
+def test_refinement_finds_every_repeated_string():
+    rng = np.random.default_rng(5)
+    for length in (8, 12, 16, 40, 200):
+        rows = [bytes(rng.choice(list(b"ab"), int(n))) * int(rng.integers(1, 3)) for n in rng.integers(0, 160, 30)] + [b"a" * 260, b"a" * 260]
+        group = rng.integers(0, 2, len(rows))
+        seen = Counter((int(g), r[i : i + length]) for g, r in zip(group, rows, strict=True) for i in range(len(r) - length + 1))
+        want = [i + length <= len(r) and seen[int(g), r[i : i + length]] > 1 for g, r in zip(group, rows, strict=True) for i in range(len(r))]
+        at = np.cumsum([0, *map(len, rows)])
+        assert sd.refined(np.frombuffer(b"".join(rows), np.uint8), at, group, length).tolist() == want
+
+
+def test_a_long_text_and_columns_that_clash(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    long = "".join(map(chr, rng.integers(97, 123, 3 << 20)))
+    texts = [long, "z" + long[1000:1400] + "z", long[2_500_000:2_500_300]]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, t, "r", 1) for i, t in enumerate(texts)], "doc_id long, text string, _rid string, doc int").write.parquet(path)
+    got = {r.doc.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in sd.deduplicated(spark.read.parquet(path), ["doc_id"]).collect()}
+    assert got == {0: (3 << 20, 700, 2), 1: (402, 400, 1), 2: (300, 300, 1)}
+
+
 def test_long_texts_are_scanned_in_stretches(monkeypatch):
     monkeypatch.setattr(sd, "STRETCH", 1000)
     offsets = np.array([0, 10, 5010, 5200])

@@ -35,6 +35,18 @@ def test_random_texts_match_the_library(library):
     assert both(["".join(rng.choice(pool, int(n))) for n in rng.integers(0, 80, 3000)], library) == []
 
 
+def test_words_that_rolling_hashes_confuse(library):
+    texts = ["".join(two[i.bit_count() & 1] for i in range(size)) for size in (1024, 2048, 4096) for two in ("ab", "ba")]
+    assert both(texts + [" ".join(texts)], library) == []
+
+
+def test_pretokens_with_one_name_are_told_apart_by_their_bytes(library, monkeypatch):
+    monkeypatch.setattr(byte_pairs, "word_names", lambda data, starts, ends, *_: (ends - starts).astype(np.uint64) % 3 + np.uint64(1))
+    assert both(HARD, library) == []
+    rng = np.random.default_rng(2)
+    assert both(["".join(rng.choice(list("abcde  '\n123é"), int(n))) for n in rng.integers(0, 200, 200)], library) == []
+
+
 def test_every_character_is_classed_as_the_library_does(library):
     texts = [f"a{chr(c)}b {chr(c)}{chr(c)}1" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
     assert both(texts, library) == []
