@@ -10,11 +10,15 @@ The sum of -log2 over a text is its code length.
 The text that is modelled is the token sequence: words (A-Z lower-cased) joined by a blank, and one end byte, so that
 the score is comparable with the unigram `base_score`.
 
-All statistics come from the whole corpus. A pass over the texts deals counts of (context, byte) strings and of words,
-packed, by hash; trees are climbed level by level where all strings that share their nearest context bytes meet, so no
-node's subtree is ever split. Block probabilities depend on counts alone, hence the order of rows does not matter.
-Scoring never broadcasts the model: each block of BLOCK_ROWS documents asks for the strings and words it holds, the
-owners answer, and documents meet the answers of their block.
+All statistics come from the whole corpus. One pass over the texts deals the distinct (context, byte) strings and words
+of each block of documents, with their training counts, packed, by hash; trees are climbed level by level where all
+strings that share their TOP nearest context bytes meet, and above that where rows of a level meet by their nearest bytes.
+Block probabilities depend on counts alone, hence the order of rows does not matter. Scoring never broadcasts the model:
+the strings and words that a block sent are answered by the owners, and documents meet the answers of their block.
+
+Scale: names travel in order as differences, byte by byte, compressed (about a byte each, since strings are
+often neighbours). Blocks hold at most MOST_BYTES of text and a bounded number of rows; longer texts stand in blocks of
+fewer rows. A part's strings must fit one task: `spark.sql.shuffle.partitions` deals them by their three nearest bytes.
 
 Defined cases: null and empty texts are the end token alone; a null key counts as the empty text in `held_out`; texts of
 any length are scored whole; repeated rows are learnt and scored each; without training documents every bit has
@@ -32,14 +36,19 @@ from catalogspark.functions.session import row_named, ship_package, written
 from catalogspark.llm import byte_pairs, shingles
 from catalogspark.llm.byte_pairs import ragged
 
-DEPTH = 7  # with the byte itself, all that a 64-bit name holds; the sign bit is part of the nearest byte
+#: Bytes of context unless a caller asks for fewer, down to 3: with the byte itself, a 64-bit name holds no more.
+DEPTH = 7
 END = 10
-MIDDLE = 4
+#: Levels that are climbed in slabs, and those that whole parts own.
+MIDDLE, TOP = 4, 3
 SLAB = 100_000
 CHUNK = 1 << 20
-HELD = 2_000_000
-BLOCK_ROWS = 4096
-WORDS, STRINGS = 0, 1
+#: Rows of a block whose texts are no longer than SHORT; texts up to twice as long stand in blocks of half as many rows, and so on.
+BLOCK_ROWS, SHORT = 8192, 1 << 14
+MOST_BYTES = BLOCK_ROWS * SHORT
+#: Names and counts that are added up at a time.
+GATHERED = 4_000_000
+WORDS, STRINGS, TOPS = 0, 1, 2
 END_WORD = np.uint64(0x51AFD7ED558CCD25)
 LN2 = float(np.log(2.0))
 BITS = np.arange(7, -1, -1)
@@ -52,7 +61,7 @@ def held_out(key: Column, modulus: int = 7, remainder: int = 2) -> Column:
 # -- texts to strings and words ------------------------------------------------------------------------------------
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, tokens before each text, strings, strings before each text) of a block of texts.
 
     Words are 64-bit names, in order, each text's end last. A string is the byte and its context, nearest byte first.
@@ -65,30 +74,34 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     place = np.arange(n) + np.repeat(np.arange(docs), count)
     words = np.full(n + docs, END_WORD, np.uint64)
     words[place] = name
-    # bytes: DEPTH ends, then word, blank, word, ..., end
+    # bytes: depth ends, then word, blank, word, ..., end
     size = ends - starts + 1
     doc_bytes = np.zeros(docs, np.int64)
     np.add.at(doc_bytes, np.repeat(np.arange(docs), count), size)
     doc_bytes = np.maximum(doc_bytes, 1)
-    begin = np.concatenate([[0], np.cumsum(doc_bytes + DEPTH)])
+    begin = np.concatenate([[0], np.cumsum(doc_bytes + depth)])
     stream = np.full(begin[-1], 32, np.uint8)
-    stream[ragged(begin[:-1], np.full(docs, DEPTH))] = END
+    stream[ragged(begin[:-1], np.full(docs, depth))] = END
     stream[begin[1:] - 1] = END
     before = np.cumsum(size) - size
     first = np.repeat(before[np.minimum(at[:-1], max(n - 1, 0))] if n else np.zeros(docs, np.int64), count)
-    put = np.repeat(begin[:-1] + DEPTH, count) + before - first
+    put = np.repeat(begin[:-1] + depth, count) + before - first
     stream[ragged(put, size - 1)] = data[ragged(starts, size - 1)]
     wide = stream.astype(np.int64)
-    strings = wide[DEPTH:].copy()
-    for k in range(1, DEPTH + 1):
-        strings |= wide[DEPTH - k : len(wide) - k] << (8 * (DEPTH + 1 - k))
+    strings = wide[depth:].copy()
+    for k in range(1, depth + 1):
+        strings |= wide[depth - k : len(wide) - k] << (8 * (depth + 1 - k))
     own = ragged(begin[:-1], doc_bytes)
     return words, np.concatenate([[0], np.cumsum(count + 1)]), strings[own], np.concatenate([[0], np.cumsum(doc_bytes)])
 
 
-def owner(names: np.ndarray, kind: int, parts: int) -> np.ndarray:
-    """Part that owns each name: words by hash, strings by the hash of their two nearest context bytes."""
-    h = shingles.mixed(names.astype(np.uint64) if kind == WORDS else (names >> (8 * (DEPTH - 1))).astype(np.uint64))
+def owner(names: np.ndarray, kind: int, parts: int, depth: int) -> np.ndarray:
+    """Part that owns each name: words by hash, strings and tops by the hash of their TOP nearest context bytes."""
+    if kind == STRINGS:
+        names = names >> (8 * (depth + 1 - TOP))
+    if kind == TOPS:
+        names = names >> 8
+    h = shingles.mixed((names if kind == WORDS else names & ((1 << 8 * TOP) - 1)).astype(np.uint64))
     return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
@@ -99,54 +112,94 @@ def summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return names[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def packed(kind: int, names: np.ndarray, values: np.ndarray | None, parts: int) -> list[tuple]:
-    """(kind, part, names, values) for each part that owns some of the names; names stay in order."""
-    part = owner(names, kind, parts)
+def squeezed(x: np.ndarray, ordered: bool = False) -> bytes:
+    """64-bit numbers, byte plane by byte plane, compressed; as differences if they are in order."""
+    raw = x.view(np.uint64)
+    raw = np.diff(raw, prepend=np.uint64(0)) if ordered else raw
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def spread(blob: pa.Scalar, kind: type, ordered: bool = False) -> np.ndarray:
+    buffer = blob.as_buffer()
+    n = int.from_bytes(buffer[:8].to_pybytes(), "little")
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(buffer[8:], decompressed_size=8 * n), np.uint8).reshape(8, n)
+    raw = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return (np.cumsum(raw, dtype=np.uint64) if ordered else raw).view(kind)
+
+
+BLOBS = "file long, block long, kind int, part int, names binary, values binary"
+_BLOB_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+
+def blob_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOB_TYPES, strict=True)], ["file", "block", "kind", "part", "names", "values"])
+
+
+def packed(file, block, kind: int, names: np.ndarray, values: np.ndarray, parts: int, depth: int) -> list[tuple]:
+    """A row for each part that owns some of the names, which are in order and stay so."""
+    part = owner(names, kind, parts, depth)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
-    own = [(p, order[edges[p] : edges[p + 1]]) for p in range(parts) if edges[p] < edges[p + 1]]
-    return [(kind, p, names[i].tobytes(), None if values is None else values[i].tobytes()) for p, i in own]
+    own = [(p, order[edges[p] : edges[p + 1]]) for p in np.flatnonzero(np.diff(edges)).tolist()]
+    return [(file, block, kind, p, squeezed(names[i], True), squeezed(values[i])) for p, i in own]
 
 
-def counted(docs: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, names, counts): packed training counts, and strings of other texts with count 0."""
+def counted(docs: DataFrame, parts: int, depth: int) -> DataFrame:
+    """BLOBS of the words and strings of each block of documents, with training counts (0 for those of other texts alone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {WORDS: [], STRINGS: []}
-
-        def passed_on() -> pa.RecordBatch:
-            rows = []
-            for kind, found in held.items():
-                if found:
-                    names, n = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                    rows += packed(kind, names, n.astype(np.int32), parts)
-                found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "names", "counts"])
-
-        size = total = 0
-        for batch in batches:
-            data, at = byte_pairs.buffers(batch.column("text"))
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in byte_pairs.blocks(at, CHUNK):
-                words, w_at, strings, s_at = tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                learnt = np.repeat(train[a:b], np.diff(w_at))
-                name, n = np.unique(words[learnt], return_counts=True)
-                held[WORDS].append((name.view(np.int64), n))
-                held[STRINGS].append(summed(strings, np.repeat(train[a:b], np.diff(s_at)).astype(np.int64)))
-                size += len(name) + len(held[STRINGS][-1][0])
-                total += len(strings)
-                if size > HELD or total > 1 << 30:  # counts travel as 32-bit numbers
-                    yield passed_on()
-                    size = total = 0
-        if size:
-            yield passed_on()
+        import pandas as pd
+
+        open_: dict[tuple, tuple[int, dict]] = {}  # the block of each file and length class that is being read
 
-    return docs.mapInArrow(run, "kind int, part int, names binary, counts binary")
+        def passed_on(file: int, block: int, held: dict) -> pa.RecordBatch:
+            rows = [r for kind, found in held.items() for r in packed(file, block, kind, *summed(*(np.concatenate(x) for x in zip(*found, strict=True))), parts, depth)]
+            return blob_rows(rows)
 
+        def distinct(x: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            codes, names = pd.factorize(x)
+            return names, np.bincount(codes[train], minlength=len(names))
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Names and counts of all packed rows."""
-    return [(np.frombuffer(batch.column("names")[i].as_buffer(), np.int64), np.frombuffer(batch.column("counts")[i].as_buffer(), np.int32).astype(np.int64)) for batch in batches for i in range(len(batch))]
+        for batch in batches:
+            data, at = byte_pairs.buffers(batch.column("text"))
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            file, block = (batch.column(c).to_numpy() for c in ("file", "block"))
+            for spot in np.unique(np.stack([file, block], 1), axis=0).tolist():
+                mine = np.flatnonzero((file == spot[0]) & (block == spot[1]))
+                group = (spot[0], spot[1] & 63)  # the low bits name the length class
+                if group in open_ and open_[group][0] != spot[1]:
+                    yield passed_on(spot[0], *open_.pop(group))
+                held = open_.setdefault(group, (spot[1], {WORDS: [], STRINGS: []}))[1]
+                size = np.diff(at)[mine]
+                own, offsets = data[ragged(at[mine], size)], np.concatenate([[0], np.cumsum(size)])
+                for a, b in byte_pairs.blocks(offsets, CHUNK):
+                    words, w_at, strings, s_at = tokens(own[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], depth)
+                    held[WORDS].append(distinct(words.view(np.int64), np.repeat(train[mine[a:b]], np.diff(w_at))))
+                    held[STRINGS].append(distinct(strings, np.repeat(train[mine[a:b]], np.diff(s_at))))
+        for (f, _), (b, held) in open_.items():
+            yield passed_on(f, b, held)
+
+    return docs.select("file", "block", "text", "held_out").mapInArrow(run, BLOBS)
+
+
+class Gathered:
+    """Names and counts of packed rows, added up whenever there are many."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, names: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((names, counts))
+        self.waiting += len(names)
+        if self.waiting > GATHERED:
+            self.held = [self.total()]
+            self.waiting = 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
 
 
 # -- the trees ------------------------------------------------------------------------------------------------------
@@ -228,39 +281,48 @@ def _matrix(x: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x.flatten().to_numpy().reshape(-1, 8)
 
 
-def deepest(blobs: DataFrame, parts: int) -> DataFrame:
-    """Level DEPTH to 2: (level DEPTH rows: key, p) and (level 2 rows: key, count, w)."""
+def deep(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From strings in order up to level TOP: its keys, counts and ln Pw, and each string's bit probabilities below it."""
+    middle = min(MIDDLE, depth)
+    # slabs of whole subtrees up to level MIDDLE, so that memory does not hold the deep levels of a part at once
+    heads = keys >> (8 * (depth + 1 - middle))
+    starts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
+    slabs = starts[np.concatenate([[True], starts[1:] // SLAB != starts[:-1] // SLAB])]
+    found, p = [], np.empty((len(keys), 8))
+    for i, j in zip(slabs.tolist(), [*slabs[1:].tolist(), len(keys)], strict=True):
+        n = counts[i:j].astype(np.float64)
+        _, zeros, ones = nodes(keys[i:j], n)
+        *rest, a, b = climb(keys[i:j], n, None, depth - middle, depth)
+        found.append(rest)
+        p[i:j] = a + b * (ones + 0.5) / (zeros + ones + 1.0)
+    mid, n, weighted = (np.concatenate(x) for x in zip(*found, strict=True))
+    up, total, weighted, a, b = climb(mid, n, weighted, middle - TOP, middle)
+    for i, j in zip(slabs.tolist(), [*slabs[1:].tolist(), len(keys)], strict=True):
+        at = np.searchsorted(mid, keys[i:j] >> (8 * (depth + 1 - middle)) << 8 | (keys[i:j] & 0xFF))
+        p[i:j] = a[at] + b[at] * p[i:j]
+    return up & ((1 << 8 * (TOP + 1)) - 1), total, weighted, p  # without the sign's copies
+
+
+def summary(blobs: DataFrame, parts: int, depth: int) -> DataFrame:
+    """Rows (kind STRINGS: key, n, x = ln Pw) of level TOP, and for each part (kind WORDS: key = distinct words, n = tokens) of training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(batches)
-        if not found:
-            return
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        # slabs of whole subtrees up to level MIDDLE, so that memory does not hold the deep levels of a part at once
-        heads = keys >> (8 * (DEPTH + 1 - MIDDLE))
-        starts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
-        slabs = starts[np.concatenate([[True], starts[1:] // SLAB != starts[:-1] // SLAB])]
-        ends = [*slabs[1:].tolist(), len(keys)]
-        middle, p = [], np.empty((len(keys), 8), np.float32)
-        for i, j in zip(slabs.tolist(), ends, strict=True):
-            n = counts[i:j].astype(np.float64)
-            _, zeros, ones = nodes(keys[i:j], n)
-            *rest, a, b = climb(keys[i:j], n, None, DEPTH - MIDDLE, DEPTH)
-            middle.append(rest)
-            p[i:j] = a + b * (ones + 0.5) / (zeros + ones + 1.0)
-        mid, n, weighted = (np.concatenate(x) for x in zip(*middle, strict=True))
-        up, total, weighted, a, b = climb(mid, n, weighted, MIDDLE - 2, MIDDLE)
-        up &= 0xFFFFFF  # two context bytes and the byte, without the sign's copies
-        for k in range(0, len(keys), 50_000):
-            x = slice(k, k + 50_000)
-            at = np.searchsorted(mid, keys[x] >> (8 * (DEPTH + 1 - MIDDLE)) << 8 | (keys[x] & 0xFF))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[x]), DEPTH, np.int32)), pa.array(keys[x]), pa.array(counts[x].astype(np.float64)), _lists(a[at] + b[at] * p[x])], ["level", "key", "n", "x"])
-        for k in range(0, len(up), 50_000):
-            x = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(up[x]), 2, np.int32)), pa.array(up[x]), pa.array(total[x]), _lists(weighted[x])], ["level", "key", "n", "x"])
-
-    strings = blobs.filter(F.col("kind") == STRINGS)
-    return strings.repartition(parts, "part").mapInArrow(run, "level int, key long, n double, x array<double>")
+        found = {WORDS: Gathered(), STRINGS: Gathered()}
+        for batch in batches:
+            for kind, names, values in zip(batch.column("kind").to_pylist(), batch.column("names"), batch.column("values"), strict=True):
+                found[kind].add(spread(names, np.int64, True), spread(values, np.int64))
+        columns = ["kind", "key", "n", "x"]
+        _, n = found[WORDS].total()
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([WORDS], pa.int32()), pa.array([int((n > 0).sum())]), pa.array([float(n.sum())]), pa.nulls(1, pa.list_(pa.float64()))], columns)
+        keys, counts = found[STRINGS].total()
+        if len(keys):
+            up, total, weighted, _ = deep(keys, counts, depth)
+            for k in range(0, len(up), 50_000):
+                x = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(up[x]), STRINGS, np.int32)), pa.array(up[x]), pa.array(total[x]), _lists(weighted[x])], columns)
+
+    return blobs.repartition(parts, "part").mapInArrow(run, "kind int, key long, n double, x array<double>")
 
 
 def one_up(rows: DataFrame, level: int) -> DataFrame:
@@ -277,160 +339,123 @@ def one_up(rows: DataFrame, level: int) -> DataFrame:
         second = pa.table({"kind": pa.array(np.ones(len(up), np.int32)), "key": up, "n": total, "x": _lists(weighted), "y": _lists(weighted)})
         return pa.concat_tables([first, second])
 
-    # level 2 meets by its nearest context byte, level 1 as a whole (at most 65,536 rows)
+    # level 3 meets by its two nearest context bytes, level 2 by one, level 1 as a whole (at most 65,536 rows)
     return rows.withColumn("near", F.shiftright("key", 16)).groupBy("near").applyInArrow(run, "kind int, key long, n double, x array<double>, y array<double>")
 
 
-def string_scores(blobs: DataFrame, parts: int) -> DataFrame:
-    """(key, value): log10 probability of the last byte of each string that occurs in the corpus."""
-    low = written(deepest(blobs, parts), "level2")
-    two = written(one_up(low.filter("level = 2").select("key", "n", "x"), 2), "level1")
-    one = written(one_up(two.filter("kind = 1").select("key", "n", "x"), 1), "level0")
-    tops = two.filter("kind = 0").select("key", F.col("x").alias("a2"), F.col("y").alias("b2"))
-    roots = one.filter("kind = 0").select(F.col("key").alias("key1"), F.col("x").alias("a1"), F.col("y").alias("b1"))  # at most 65,536 rows
-    tops = tops.withColumn("key1", F.shiftright("key", 16) * 256 + F.col("key") % 256).join(F.broadcast(roots), "key1").drop("key1").withColumnRenamed("key", "key2")
-    strings = low.filter(F.col("level") == DEPTH).select("key", F.col("x").alias("p"))
-    near = (F.shiftright("key", 8 * (DEPTH - 1)).bitwiseAND(0xFFFF) * 256 + F.col("key").bitwiseAND(0xFF)).alias("key2")
+def tops(level: DataFrame, parts: int, depth: int) -> DataFrame:
+    """BLOBS of kind TOPS: for the keys of level TOP, a and b of each bit's probability, a + b * that below."""
+    steps = []
+    for k in range(TOP, 0, -1):
+        up = written(one_up(level, k), "level")
+        steps.append(up.filter("kind = 0").select(F.col("key").alias(f"key{k}"), F.col("x").alias(f"a{k}"), F.col("y").alias(f"b{k}")))
+        level = up.filter("kind = 1").select("key", "n", "x")
+    out = steps[0]
+    for k, step in zip(range(TOP - 1, 0, -1), steps[1:], strict=True):
+        out = out.withColumn(f"key{k}", F.shiftright(f"key{k + 1}", 16) * 256 + F.col(f"key{k + 1}") % 256).join(step, f"key{k}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, a2, b2, a1, b1 = (_matrix(batch.column(c)) for c in ("p", "a2", "b2", "a1", "b1"))
-            key = batch.column("key").to_numpy()
-            one_ = a1 + b1 * (a2 + b2 * p)
-            bit = (key[:, None] >> BITS) & 1
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.log10(np.where(bit == 1, one_, 1 - one_)).sum(1))], ["key", "value"])
-
-    return strings.select("*", near).join(tops, "key2").select("key", "p", "a2", "b2", "a1", "b1").mapInArrow(run, "key long, value double")
-
+            if not len(batch):
+                continue
+            key = batch.column(f"key{TOP}").to_numpy()
+            a, b = np.zeros((len(key), 8)), np.ones((len(key), 8))
+            for k in range(TOP, 0, -1):
+                a_k, b_k = _matrix(batch.column(f"a{k}")), _matrix(batch.column(f"b{k}"))
+                a, b = a_k + b_k * a, b_k * b
+            part, pairs = owner(key, TOPS, parts, depth), np.concatenate([a, b], 1)
+            yield blob_rows([(None, None, TOPS, p, squeezed(key[part == p]), squeezed(np.ascontiguousarray(pairs[part == p]).ravel())) for p in np.unique(part).tolist()])
 
-def word_counts(blobs: DataFrame, parts: int) -> DataFrame:
-    """(key, value): training count of each word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(batches)
-        if found:
-            names, counts = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            for k in range(0, len(names), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 200_000]), pa.array(counts[k : k + 200_000].astype(np.float64))], ["key", "value"])
-
-    return blobs.filter(F.col("kind") == WORDS).repartition(parts, "part").mapInArrow(run, "key long, value double")
+    return out.mapInArrow(run, BLOBS)
 
 
 # -- scoring --------------------------------------------------------------------------------------------------------
 
 
-def requests(docs: DataFrame, parts: int) -> DataFrame:
-    """(file, block, kind, part, names): what each block of documents asks each part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {WORDS: [], STRINGS: []}
-
-        def asked() -> list[tuple]:
-            rows = [(*now, *r[:3]) for kind, found in held.items() if found for r in packed(kind, np.unique(np.concatenate(found)), None, parts)]
-            for found in held.values():
-                found.clear()
-            return rows
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "kind", "part", "names"])
-
-        for batch in batches:
-            file, block = (batch.column(c).to_numpy() for c in ("file", "block"))
-            change = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (block[1:] != block[:-1])]))
-            for a, b in zip(change.tolist(), [*change[1:].tolist(), len(batch)], strict=True):
-                if now != (spot := (int(file[a]), int(block[a]))):
-                    if now is not None and (rows := asked()):
-                        yield out(rows)
-                    now = spot
-                data, at = byte_pairs.buffers(batch.column("text").slice(a, b - a))
-                for x, y in byte_pairs.blocks(at, CHUNK):
-                    words, _, strings, _ = tokens(data[at[x] : at[y]], at[x : y + 1] - at[x])
-                    held[WORDS].append(np.unique(words).view(np.int64))
-                    held[STRINGS].append(np.unique(strings))
-        if now is not None and (rows := asked()):
-            yield out(rows)
-
-    return docs.select("file", "block", "text").mapInArrow(run, "file long, block long, kind int, part int, names binary")
-
-
-def answers(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
-    """(file, block, kind, names, values): what the parts answer. model: (kind, part, names, values), packed."""
+def answers(blobs: DataFrame, above: DataFrame, parts: int, depth: int) -> DataFrame:
+    """(file, block, kind, names, values): what the owners tell each block of its names: training counts of words, log10 probabilities of strings' last bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, known = [], {WORDS: [], STRINGS: []}
+        found, keys, pairs, asked = {WORDS: Gathered(), STRINGS: Gathered()}, [], [], []
         for batch in batches:
-            mine = batch.column("values").is_valid()
-            for i in np.flatnonzero(mine.to_numpy(zero_copy_only=False)).tolist():
-                names, values = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("names", np.int64), ("values", np.float64)))
-                known[batch.column("kind")[i].as_py()].append((names, values))
-            waiting.append(batch.filter(pa.compute.invert(mine)))
-        table = {}
-        for kind, found in known.items():
-            names, values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
-            order = np.argsort(names)
-            table[kind] = names[order], values[order]
-        for batch in waiting:
-            found = []
+            for kind, names, values in zip(batch.column("kind").to_pylist(), batch.column("names"), batch.column("values"), strict=True):
+                if kind == TOPS:
+                    keys.append(spread(names, np.int64))
+                    pairs.append(spread(values, np.float64).reshape(-1, 16))
+                else:
+                    found[kind].add(spread(names, np.int64, True), spread(values, np.int64))
+            mine = batch.filter(pa.compute.not_equal(batch.column("kind"), TOPS)).select(["file", "block", "kind", "names"])
+            if len(mine):
+                asked.append(mine)  # still compressed
+        names, counts = found[WORDS].total()
+        table = {WORDS: (names, counts.astype(np.float64))}
+        names, counts = found[STRINGS].total()
+        found.clear()
+        if len(names):
+            key, pair = np.concatenate(keys), np.concatenate(pairs)
+            order = np.argsort(key)
+            key, pair = key[order], pair[order]
+            *_, p = deep(names, counts, depth)
+            value = np.empty(len(names))
+            for k in range(0, len(names), SLAB):
+                x = slice(k, k + SLAB)
+                near = (names[x] >> (8 * (depth + 1 - TOP)) & ((1 << 8 * TOP) - 1)) << 8 | (names[x] & 0xFF)
+                at = np.searchsorted(key, near)
+                one = pair[at, :8] + pair[at, 8:] * p[x]
+                bit = (names[x, None] >> BITS) & 1
+                value[x] = np.log10(np.where(bit == 1, one, 1 - one)).sum(1)
+            table[STRINGS] = names, value
+        for batch in asked:
             for i in range(len(batch)):
                 names, values = table[batch.column("kind")[i].as_py()]
-                want = np.frombuffer(batch.column("names")[i].as_buffer(), np.int64)
-                at = np.minimum(np.searchsorted(names, want), max(len(names) - 1, 0))
-                got = np.where(names[at] == want, values[at], 0.0) if len(names) else np.zeros(len(want))
-                found.append(got.astype(np.float32 if batch.column("kind")[i].as_py() == STRINGS else np.float64).tobytes())
-            if found:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "block", "kind", "names")), pa.array(found, pa.binary())], ["file", "block", "kind", "names", "values"])
-
-    both = model.select(F.lit(None).cast("long").alias("file"), F.lit(None).cast("long").alias("block"), "kind", "part", "names", "values")
-    both = both.unionByName(asked.withColumn("values", F.lit(None).cast("binary")))
-    return both.repartition(parts, "part").mapInArrow(run, "file long, block long, kind int, names binary, values binary")
-
-
-def repacked(pairs: DataFrame, kind: int, parts: int) -> DataFrame:
-    """(kind, part, names, values) from (key, value)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = packed(kind, batch.column("key").to_numpy(), batch.column("value").to_numpy(), parts)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "names", "values"])
+                told = squeezed(values[np.searchsorted(names, spread(batch.column("names")[i], np.int64, True))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("file", "block", "kind", "names")), pa.array([told], pa.binary())], ["file", "block", "kind", "names", "values"])
 
-    return pairs.mapInArrow(run, "kind int, part int, names binary, values binary")
+    return blobs.unionByName(above).repartition(parts, "part").mapInArrow(run, "file long, block long, kind int, names binary, values binary")
 
 
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column | None = None) -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
-    out: which rows are not learnt from; by default `held_out` of the key.
+    out: which rows are not learnt from; by default `held_out` of the key. depth: bytes of context, 3 to 7.
     """
+    if not TOP <= depth <= 7:
+        raise ValueError("contexts have 3 to 7 bytes")
     ship_package(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = row_named(docs, F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out(F.col(key)) if out is None else out, F.lit(False)).alias("held_out"))
-    rows = rows.select(F.col("rid.file").alias("file"), F.floor(F.col("rid.row") / BLOCK_ROWS).alias("block"), "key", "text", "held_out")
-    blobs = written(counted(rows.select("text", "held_out"), parts), "counts")
-    words = written(word_counts(blobs, parts), "words")
-    train_tokens, distinct = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count("*")).first()
-    strings = written(string_scores(blobs, parts), "strings")
-    model = repacked(words, WORDS, parts).unionByName(repacked(strings, STRINGS, parts))
-    told = answers(requests(rows, parts), model, parts)
+    length = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length("text"), F.lit(1)) / SHORT))).cast("int")
+    length = F.coalesce(length, F.lit(0))
+    block = F.floor(F.col("rid.row") / F.greatest(F.lit(1), F.expr("shiftright(%d, length)" % BLOCK_ROWS))) * 64 + F.col("length")
+    rows = rows.withColumn("length", length).select(F.col("rid.file").alias("file"), block.alias("block"), "key", "text", "held_out")
+    blobs = written(counted(rows, parts, depth), "counts")
+    level = written(summary(blobs, parts, depth), "level")
+    seen = level.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("long"), F.coalesce(F.sum("key"), F.lit(0))).first()
+    train_tokens, distinct = int(seen[0]), int(seen[1])
+    told = answers(blobs, tops(level.filter(F.col("kind") == STRINGS).select("key", "n", "x"), parts, depth), parts, depth)
     kind = dict(rows.dtypes)["key"]
     log_all = float(np.log10(train_tokens + distinct + 1))
 
     def run(texts: pa.Table, told_: pa.Table) -> pa.Table:
+        import pandas as pd
+
         table = {}
-        for k, t in ((WORDS, np.float64), (STRINGS, np.float32)):
+        for k in (WORDS, STRINGS):
             mine = told_.filter(pa.compute.equal(told_["kind"], k))
-            pairs = [(np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), t)) for a, b in zip(mine["names"], mine["values"], strict=True)]
-            names, values = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, t))
-            names, first = np.unique(names, return_index=True)
-            table[k] = names, values[first].astype(np.float64)
+            names, values = (np.concatenate(x) for x in zip(*((spread(a, np.int64, True), spread(b, np.float64)) for a, b in zip(mine["names"], mine["values"], strict=True)), strict=True))
+            order = np.argsort(names, kind="stable")
+            table[k] = names[order], values[order]
+
+        def looked_up(kind: int, x: np.ndarray) -> np.ndarray:
+            codes, names = pd.factorize(x)
+            return table[kind][1][np.searchsorted(table[kind][0], names)][codes]
+
         found = []
         for batch in texts.to_batches():
             data, at = byte_pairs.buffers(batch.column("text"))
             for x, y in byte_pairs.blocks(at, CHUNK):
-                words_, w_at, strings_, s_at = tokens(data[at[x] : at[y]], at[x : y + 1] - at[x])
-                n = table[WORDS][1][np.searchsorted(table[WORDS][0], words_.view(np.int64))]
-                lp = table[STRINGS][1][np.searchsorted(table[STRINGS][0], strings_)]
+                words_, w_at, strings_, s_at = tokens(data[at[x] : at[y]], at[x : y + 1] - at[x], depth)
+                n, lp = looked_up(WORDS, words_.view(np.int64)), looked_up(STRINGS, strings_)
                 found.append((np.diff(w_at), np.add.reduceat((n > 0).astype(np.int64), w_at[:-1]), np.add.reduceat(np.log10(n + 1), w_at[:-1]), np.add.reduceat(lp, s_at[:-1]), np.diff(s_at)))
         n_tokens, n_known, base, score, n_bytes = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({
