@@ -36,15 +36,15 @@ from catalogspark.functions.session import row_named, ship_package, written
 from catalogspark.llm import byte_pairs, shingles
 from catalogspark.llm.byte_pairs import ragged
 
-#: Bytes of context unless a caller asks for fewer, down to 3: with the byte itself, a 64-bit name holds no more.
-DEPTH = 7
+#: Bytes of context unless a caller asks for 3 to 7; with the byte itself, a 64-bit name holds no more than 7.
+DEPTH = 6
 END = 10
 #: Levels that are climbed in slabs, and those that whole parts own.
 MIDDLE, TOP = 4, 3
 SLAB = 100_000
 CHUNK = 1 << 20
 #: Rows of a block whose texts are no longer than SHORT; texts up to twice as long stand in blocks of half as many rows, and so on.
-BLOCK_ROWS, SHORT = 8192, 1 << 14
+BLOCK_ROWS, SHORT = 8192, 1 << 15
 MOST_BYTES = BLOCK_ROWS * SHORT
 #: Names and counts that are added up at a time.
 GATHERED = 4_000_000
@@ -106,10 +106,14 @@ def owner(names: np.ndarray, kind: int, parts: int, depth: int) -> np.ndarray:
 
 
 def summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(names, kind="stable")
-    names, counts = names[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
-    return names[first], np.add.reduceat(counts, first) if len(first) else counts
+    """Distinct names in order, and the sum of each one's counts."""
+    import pandas as pd
+
+    codes, names = pd.factorize(names)
+    total = np.zeros(len(names), np.int64)
+    np.add.at(total, codes, counts)
+    order = np.argsort(names)
+    return names[order], total[order]
 
 
 def squeezed(x: np.ndarray, ordered: bool = False) -> bytes:
@@ -217,10 +221,23 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def log_kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
+SMALL = 64
+LOG_KT = log_kt_of(*(x.astype(np.float64) for x in np.divmod(np.arange(SMALL * SMALL), SMALL)))
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov block probability; small counts are looked up."""
+    out = LOG_KT[(np.minimum(zeros, SMALL - 1) * SMALL + np.minimum(ones, SMALL - 1)).astype(np.int32)]
+    large = (zeros >= SMALL) | (ones >= SMALL)
+    if large.any():
+        out[large] = log_kt_of(zeros[large], ones[large])
+    return out
+
+
 def nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, zeros, ones), each rows x 8: for rows (context, byte) sorted by key, the node of each bit and its counts."""
     node, zeros, ones = (np.empty((len(keys), 8), t) for t in (np.int64, np.float64, np.float64))
@@ -443,12 +460,10 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column
         for k in (WORDS, STRINGS):
             mine = told_.filter(pa.compute.equal(told_["kind"], k))
             names, values = (np.concatenate(x) for x in zip(*((spread(a, np.int64, True), spread(b, np.float64)) for a, b in zip(mine["names"], mine["values"], strict=True)), strict=True))
-            order = np.argsort(names, kind="stable")
-            table[k] = names[order], values[order]
+            table[k] = pd.Index(names), values
 
         def looked_up(kind: int, x: np.ndarray) -> np.ndarray:
-            codes, names = pd.factorize(x)
-            return table[kind][1][np.searchsorted(table[kind][0], names)][codes]
+            return table[kind][1][table[kind][0].get_indexer(x)]
 
         found = []
         for batch in texts.to_batches():

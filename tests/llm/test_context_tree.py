@@ -82,6 +82,11 @@ def test_equals_the_definition(spark, tmp_path, monkeypatch, depth):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_block_probabilities_are_the_same_looked_up():
+    zeros, ones = (x.ravel().astype(float) for x in np.meshgrid([0, 1, 5, 62, 63, 64, 65, 1000], [0, 2, 63, 64, 900]))
+    assert np.allclose(ct.log_kt(zeros, ones), ct.log_kt_of(zeros, ones), rtol=1e-13)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7.9, 8, 33.5, 1e6])
     assert np.allclose(ct.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
@@ -104,7 +109,7 @@ def test_beats_the_unigram_base_on_held_out_rows(spark):
             text.append(words[at])
             at = at * 13 % 60 if rng.random() < 0.5 else int(rng.integers(60))
         texts.append(" ".join(text))
-    rows = ct.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("held_out").collect()
+    rows = ct.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), depth=7).filter("held_out").collect()
     assert len(rows) > 20 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
