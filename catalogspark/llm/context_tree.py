@@ -16,9 +16,9 @@ strings that share their TOP nearest context bytes meet, and above that where ro
 Block probabilities depend on counts alone, hence the order of rows does not matter. Scoring never broadcasts the model:
 the strings and words that a block sent are answered by the owners, and documents meet the answers of their block.
 
-Scale: names travel in order as differences, byte by byte, compressed (about a byte each, since strings are
-often neighbours). Blocks hold at most MOST_BYTES of text and a bounded number of rows; longer texts stand in blocks of
-fewer rows. A part's strings must fit one task: `spark.sql.shuffle.partitions` deals them by their three nearest bytes.
+Scale: names travel in order as differences, byte by byte, compressed (about a byte each, since many are neighbours).
+Blocks are runs of rows of a file with at most BLOCK_BYTES of text, so that most strings of a block are met many times
+in it. A part's strings must fit one task: `spark.sql.shuffle.partitions` parts own them by their three nearest bytes.
 
 Defined cases: null and empty texts are the end token alone; a null key counts as the empty text in `held_out`; texts of
 any length are scored whole; repeated rows are learnt and scored each; without training documents every bit has
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from catalogspark.functions.session import row_named, ship_package, written
 from catalogspark.llm import byte_pairs, shingles
@@ -43,9 +44,10 @@ END = 10
 MIDDLE, TOP = 4, 3
 SLAB = 100_000
 CHUNK = 1 << 20
-#: Rows of a block whose texts are no longer than SHORT; texts up to twice as long stand in blocks of half as many rows, and so on.
-BLOCK_ROWS, SHORT = 8192, 1 << 15
-MOST_BYTES = BLOCK_ROWS * SHORT
+#: Bytes of the texts of a block of documents; a longer text is a block of its own.
+BLOCK_BYTES = 48 << 20
+#: Blocks whose limits are broadcast; beyond it the join is left to Spark.
+MAX_BROADCAST_BLOCKS = 500_000
 #: Names and counts that are added up at a time.
 GATHERED = 4_000_000
 WORDS, STRINGS, TOPS = 0, 1, 2
@@ -154,11 +156,10 @@ def counted(docs: DataFrame, parts: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
-        open_: dict[tuple, tuple[int, dict]] = {}  # the block of each file and length class that is being read
+        now, held = None, {WORDS: Gathered(), STRINGS: Gathered()}
 
-        def passed_on(file: int, block: int, held: dict) -> pa.RecordBatch:
-            rows = [r for kind, found in held.items() for r in packed(file, block, kind, *summed(*(np.concatenate(x) for x in zip(*found, strict=True))), parts, depth)]
-            return blob_rows(rows)
+        def passed_on() -> pa.RecordBatch:
+            return blob_rows([r for kind in held for r in packed(*now, kind, *held[kind].total(), parts, depth)])
 
         def distinct(x: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             codes, names = pd.factorize(x)
@@ -168,20 +169,19 @@ def counted(docs: DataFrame, parts: int, depth: int) -> DataFrame:
             data, at = byte_pairs.buffers(batch.column("text"))
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             file, block = (batch.column(c).to_numpy() for c in ("file", "block"))
-            for spot in np.unique(np.stack([file, block], 1), axis=0).tolist():
-                mine = np.flatnonzero((file == spot[0]) & (block == spot[1]))
-                group = (spot[0], spot[1] & 63)  # the low bits name the length class
-                if group in open_ and open_[group][0] != spot[1]:
-                    yield passed_on(spot[0], *open_.pop(group))
-                held = open_.setdefault(group, (spot[1], {WORDS: [], STRINGS: []}))[1]
-                size = np.diff(at)[mine]
-                own, offsets = data[ragged(at[mine], size)], np.concatenate([[0], np.cumsum(size)])
-                for a, b in byte_pairs.blocks(offsets, CHUNK):
-                    words, w_at, strings, s_at = tokens(own[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], depth)
-                    held[WORDS].append(distinct(words.view(np.int64), np.repeat(train[mine[a:b]], np.diff(w_at))))
-                    held[STRINGS].append(distinct(strings, np.repeat(train[mine[a:b]], np.diff(s_at))))
-        for (f, _), (b, held) in open_.items():
-            yield passed_on(f, b, held)
+            change = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (block[1:] != block[:-1])]))
+            for i, j in zip(change.tolist(), [*change[1:].tolist(), len(batch)], strict=True):
+                if now != (spot := (int(file[i]), int(block[i]))):
+                    if now:
+                        yield passed_on()
+                    now, held = spot, {WORDS: Gathered(), STRINGS: Gathered()}
+                for a, b in byte_pairs.blocks(at[i : j + 1], CHUNK):
+                    a, b = a + i, b + i
+                    words, w_at, strings, s_at = tokens(data[at[a] : at[b]], at[a : b + 1] - at[a], depth)
+                    held[WORDS].add(*distinct(words.view(np.int64), np.repeat(train[a:b], np.diff(w_at))))
+                    held[STRINGS].add(*distinct(strings, np.repeat(train[a:b], np.diff(s_at))))
+        if now:
+            yield passed_on()
 
     return docs.select("file", "block", "text", "held_out").mapInArrow(run, BLOBS)
 
@@ -441,10 +441,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column
     ship_package(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = row_named(docs, F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out(F.col(key)) if out is None else out, F.lit(False)).alias("held_out"))
-    length = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length("text"), F.lit(1)) / SHORT))).cast("int")
-    length = F.coalesce(length, F.lit(0))
-    block = F.floor(F.col("rid.row") / F.greatest(F.lit(1), F.expr("shiftright(%d, length)" % BLOCK_ROWS))) * 64 + F.col("length")
-    rows = rows.withColumn("length", length).select(F.col("rid.file").alias("file"), block.alias("block"), "key", "text", "held_out")
+    rows = rows.select(F.col("rid.file").alias("file"), F.col("rid.row").alias("row"), "key", "text", "held_out")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.select("file", "row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))  # a file's rows are few enough for one task
+    limits = sizes.withColumn("block", F.floor(before / BLOCK_BYTES)).groupBy("file", "block").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    limits = written(limits, "blocks").withColumnRenamed("file", "of")
+    limits = F.broadcast(limits) if limits.count() <= MAX_BROADCAST_BLOCKS else limits
+    rows = rows.join(limits, (F.col("file") == F.col("of")) & F.col("row").between(F.col("low"), F.col("high"))).select("file", "block", "key", "text", "held_out")
     blobs = written(counted(rows, parts, depth), "counts")
     level = written(summary(blobs, parts, depth), "level")
     seen = level.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("long"), F.coalesce(F.sum("key"), F.lit(0))).first()
@@ -460,7 +463,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column
         for k in (WORDS, STRINGS):
             mine = told_.filter(pa.compute.equal(told_["kind"], k))
             names, values = (np.concatenate(x) for x in zip(*((spread(a, np.int64, True), spread(b, np.float64)) for a, b in zip(mine["names"], mine["values"], strict=True)), strict=True))
-            table[k] = pd.Index(names), values
+            names, first = np.unique(names, return_index=True)  # a block that two tasks read asked twice
+            table[k] = pd.Index(names), values[first]
 
         def looked_up(kind: int, x: np.ndarray) -> np.ndarray:
             return table[kind][1][table[kind][0].get_indexer(x)]

@@ -65,9 +65,9 @@ def brute(texts, train, depth=ct.DEPTH):
 
 @pytest.mark.parametrize("depth", [3, 4, 6, 7])
 def test_equals_the_definition(spark, tmp_path, monkeypatch, depth):
-    monkeypatch.setattr(ct, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ct, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(ct, "GATHERED", 50)
     rng = np.random.default_rng(4)
-    monkeypatch.setattr(ct, "SHORT", 32)
     texts = ["", None, "  \n", "A", "a é漢", "b\tb\nB b", "ab é " * 40, "ab é " * 40] + ["".join(rng.choice(list("abAé  \n"), int(rng.integers(0, 60)))) for _ in range(40)]
     path = str(tmp_path / "d")
     spark.createDataFrame([(None if i == 9 else i, t, "f") for i, t in enumerate(texts)], "doc_id long, text string, rid string").repartition(2).write.parquet(path)
@@ -113,9 +113,9 @@ def test_beats_the_unigram_base_on_held_out_rows(spark):
     assert len(rows) > 20 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the given tables")
 def test_beats_the_unigram_base_on_given_documents(spark):
-    rows = ct.op4_context_tree(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    rows = ct.op4_context_tree(spark, "/root/testdata/sf0.1").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
 
 
