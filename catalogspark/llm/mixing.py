@@ -10,7 +10,8 @@ A leaf's budget is then read from seeded epochs: epoch 0, 1, ... are orders of i
 md5(seed, epoch, key, md5(text)). Whole epochs are taken while they fit, and the last epoch is cut after the first documents
 whose tokens stay within the budget (a prefix of the order). To find the cut, tokens are summed by hash bucket first,
 and only the documents of the one bucket in which the cut falls are put in order, so a leaf with a third of all rows is
-never sorted in one task. The number of buckets changes the work, not the result.
+never sorted in one task. There are as many buckets as the square root of the largest leaf's rows, so that a window over
+buckets and the window over one bucket both stay small; their number changes the work, not the result.
 
 Defined cases: null domain, language or source count as the empty string; a weight that is not given is `default_weight`;
 a weight of 0 gives nothing; null and empty texts have no tokens and are taken with whole epochs and with the prefix in
@@ -18,6 +19,8 @@ which they lie, and a leaf without any tokens is read once; repeated rows have t
 or left together; no rows give no rows; a document's own columns travel in one struct, so names cannot clash.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +35,9 @@ WEIGHTS = {
     "lang": {"en": 5.0, "fr": 2.0, "de": 2.0, "es": 1.0},
     "source": {},
 }
-SEED, MAX_EPOCHS, SHARE, BUCKETS = 17, 2, 0.9, 256
+SEED, MAX_EPOCHS, SHARE, LEAST_BUCKETS = 17, 2, 0.9, 256
+#: Domains of sources, since the documents name none: src0, the crawl that holds a third of all rows, is bulk.
+DOMAINS, DEFAULT_DOMAIN = {"src0": "bulk"}, "curated"
 #: Leaves for which budgets are joined by broadcast; beyond it the join is left to Spark.
 MAX_BROADCAST_LEAVES = 50_000
 
@@ -43,9 +48,12 @@ def n_words(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def domain_of(source: Column) -> Column:
-    """The documents name no domain: src0, the crawl that holds a third of all rows, is bulk, all else is curated."""
-    return F.when(F.coalesce(source, F.lit("")) == "src0", "bulk").otherwise("curated")
+def domain_of(source: Column, domains: dict | None = None, default: str = DEFAULT_DOMAIN) -> Column:
+    """Domain of a source under a table of sources; sources that it does not name have the default."""
+    out = F.lit(default)
+    for name, domain in (DOMAINS if domains is None else domains).items():
+        out = F.when(F.coalesce(source, F.lit("")) == name, domain).otherwise(out)
+    return out
 
 
 def weight_of(level: str, weights: dict, default: float) -> Column:
@@ -105,11 +113,12 @@ def by_leaf(rows: DataFrame, small_side: DataFrame, small: bool, how: str = "inn
     return rows.join(F.broadcast(small_side) if small else small_side, list(LEVELS), how)
 
 
-def plan_of(narrow: DataFrame, weights: dict, share: float, seed: int, max_epochs: int, buckets: int) -> tuple[DataFrame, bool]:
+def plan_of(narrow: DataFrame, weights: dict, share: float, seed: int, max_epochs: int, buckets: int | None) -> tuple[DataFrame, bool]:
     """(leaf, whole, last): whole epochs, and the last order key of the epoch that is cut (null: none); whether leaves are few."""
-    leaves = written(narrow.groupBy(*LEVELS).agg(F.sum("n").alias("supply")), "leaves")
-    total = leaves.agg(F.floor(F.coalesce(F.sum("supply"), F.lit(0)) * F.lit(share))).first()[0]
-    plan = budgets(leaves, total, weights, max_epochs)
+    leaves = written(narrow.groupBy(*LEVELS).agg(F.sum("n").alias("supply"), F.count("*").alias("rows")), "leaves")
+    total, most = leaves.agg(F.floor(F.coalesce(F.sum("supply"), F.lit(0)) * F.lit(share)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    buckets = min(1 << 24, max(LEAST_BUCKETS, math.isqrt(most))) if buckets is None else buckets
+    plan = budgets(leaves.drop("rows"), total, weights, max_epochs)
     some = F.col("supply") > 0
     plan = plan.withColumn("whole", F.when(some, F.floor(F.col("budget") / F.col("supply"))).otherwise(1).cast("int"))
     plan = written(plan.select(*LEVELS, "whole", F.when(some, F.col("budget") - F.col("whole") * F.col("supply")).otherwise(0).cast("long").alias("rest")), "plan")
@@ -140,7 +149,7 @@ def chosen(rows: DataFrame, plan: DataFrame, small: bool, seed: int) -> DataFram
     return met.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), F.greatest(times - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", domain: Column | None = None, weights: dict | None = None, share: float = SHARE, seed: int = SEED, max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, whole_rows: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", domain: Column | None = None, weights: dict | None = None, share: float = SHARE, seed: int = SEED, max_epochs: int = MAX_EPOCHS, buckets: int | None = None, whole_rows: bool = True) -> DataFrame:
     """(doc, domain, epoch[, n_tokens]) of the mixture; its budget is `share` of all tokens.
 
     doc is the whole input row, or with whole_rows=False the row without its text and with n_tokens beside it.
