@@ -198,6 +198,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, fit: Fit) ->
     pool = keys.join(known, "key", "left_anti").orderBy(rank("key")).limit(fit.pool).withColumn("y", F.lit(-1))
     chosen = F.broadcast(some.unionByName(pool))  # at most labelled + pool rows
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(chosen, "key")
+    rows = rows.groupBy("key").agg(*(F.min_by(F.struct("y", "text", "lang", "source", "n_chars"), F.struct(F.xxhash64("text"), "lang", "source", "n_chars")).alias("row"),)).select("key", "row.*")  # one row a key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +219,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, fit: Fit) ->
     slots = [s.values.to_numpy() for s in found["slots"]]
     dense = np.stack([d.values.to_numpy() for d in found["dense"]])
     meta = [m.values.to_numpy() for m in found["meta"]]
-    fold = np.array([int(r[:4], 16) % 5 == 0 for r in found["rank"].to_pylist()])
+    fold = np.array([int(r[-8:], 16) % 5 == 0 for r in found["rank"].to_pylist()])  # far from the leading digits that choose rows
     return co_train(Rows(slots, dense), Rows(meta, np.ones((len(y), 1))), y, fold & (y >= 0), fit)
 
 

@@ -12,6 +12,8 @@ the columns in `keep` are selected, so other columns of the input cannot clash w
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogspark.functions.session import written
+
 #: White space between words: space and bytes 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -111,21 +113,23 @@ def ablations(ledgers: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     )
 
 
-def keep_passing(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
+def keep_passing(docs: DataFrame, policy: str = PRODUCTION, text: str = "text") -> DataFrame:
     """Rows of documents that pass the policy, with the columns they came with.
 
     The row number keeps the optimiser from pushing the verdict below the measurements, where each would be computed
     again for every rule that uses it.
     """
-    judged = ledger(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text")), key="_row")
+    judged = ledger(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text")), key="_row")
     return judged.withColumn("_n", F.monotonically_increasing_id()).filter(passes(policy) & (F.col("_n") >= 0)).select("_row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger and production verdict of every document."""
+    """Ledger and production verdict of every document, and how many documents are rejected by its one failed rule alone (null: kept, or several failed)."""
     base = F.col("fail_bits").bitwiseAND(F.lit(mask_of(BASE)).cast("long")) != 0
-    out = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes().alias("kept"), "fail_bits")
+    out = written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "ledger")
+    alone = F.broadcast(ablations(out).filter("n_only_this > 0").select(F.col("bit").alias("fail_bits"), F.col("n_only_this").alias("n_only_this_rule")))  # a row for each rule
+    out = out.join(alone, "fail_bits", "left")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes().alias("kept"), "fail_bits", "n_only_this_rule")
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}
@@ -144,6 +148,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\
       FROM w LEFT JOIN r USING (rid) LEFT JOIN l USING (rid)),
 b AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (2 * n_symbols > n_words)::INT
       + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 25 * n_words)::INT)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits,
+      CASE WHEN bit_count(fail_bits) = 1 THEN count(*) OVER (PARTITION BY fail_bits) END AS n_only_this_rule FROM b
 """
 }

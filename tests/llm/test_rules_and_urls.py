@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from catalogspark.llm import quality_rules as q
@@ -55,3 +57,15 @@ def test_trie_and_join_agree_with_brute_force(spark, bound):
             best = max(fits, default=(None, None, "allow"))
             assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[1], best[2])
     assert u.judge(spark.createDataFrame([], "page_id long, url string"), u.RULES).count() == 0
+
+
+def test_long_segments_and_many_rules_by_join(spark):
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("a.example.com", "", "block"), ("net", "/x/y/zz", "block"), ("com", "/en/a", "allow")]
+    paths = ["en/", "en/7", "en/70/x", "en", "", "x/y/zzz", "x/y/z", "en/ab", "x/y/zz/" + "q" * 100_000]
+    urls = [(f"http://{h}/{p}",) for h in ("example.com", "a.example.com", "b.net", "com", "x.org") for p in paths]
+    pages = spark.createDataFrame(urls, "url string")
+    began = time.perf_counter()
+    by_trie = sorted(map(tuple, u.judge(pages, rules).select("url", "rule", "verdict").collect()), key=str)
+    assert time.perf_counter() - began < 20
+    assert by_trie == sorted(map(tuple, u.judge(pages, rules, max_broadcast_rules=1).select("url", "rule", "verdict").collect()), key=str)
+    assert {r[1] for r in by_trie} == {None, "com/en/", "example.com/en/7", "a.example.com", "net/x/y/zz", "com/en/a"}
