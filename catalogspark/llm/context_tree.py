@@ -42,14 +42,14 @@ DEPTH = 6
 END = 10
 #: Levels that are climbed in slabs, and those that whole parts own.
 MIDDLE, TOP = 4, 3
-SLAB = 100_000
+SLAB = 50_000
 CHUNK = 1 << 20
 #: Bytes of the texts of a block of documents; a longer text is a block of its own.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 #: Blocks whose limits are broadcast; beyond it the join is left to Spark.
 MAX_BROADCAST_BLOCKS = 500_000
 #: Names and counts that are added up at a time.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
 WORDS, STRINGS, TOPS = 0, 1, 2
 END_WORD = np.uint64(0x51AFD7ED558CCD25)
 LN2 = float(np.log(2.0))
@@ -459,15 +459,20 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column
     def run(texts: pa.Table, told_: pa.Table) -> pa.Table:
         import pandas as pd
 
+        if not texts.num_rows:
+            return schema.empty_table()
+
         table = {}
         for k in (WORDS, STRINGS):
             mine = told_.filter(pa.compute.equal(told_["kind"], k))
             names, values = (np.concatenate(x) for x in zip(*((spread(a, np.int64, True), spread(b, np.float64)) for a, b in zip(mine["names"], mine["values"], strict=True)), strict=True))
             names, first = np.unique(names, return_index=True)  # a block that two tasks read asked twice
-            table[k] = pd.Index(names), values[first]
+            table[k] = names, values[first]
+        del told_, names, values, mine  # the texts and their tables are enough to hold
 
         def looked_up(kind: int, x: np.ndarray) -> np.ndarray:
-            return table[kind][1][table[kind][0].get_indexer(x)]
+            codes, names = pd.factorize(x)
+            return table[kind][1][np.searchsorted(table[kind][0], names)][codes]
 
         found = []
         for batch in texts.to_batches():
@@ -482,12 +487,9 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", out: Column
             "base_score": base - n_tokens * log_all, "score": score, "bits_per_byte": -score / np.log10(2) / n_bytes,
         })
 
-    def run_if(texts: pa.Table, told_: pa.Table) -> pa.Table:
-        return run(texts, told_) if texts.num_rows else schema.empty_table()
-
     fields = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     schema = pa.schema([("key", pa.null()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), *((c, pa.float64()) for c in ("base_score", "score", "bits_per_byte"))])
-    return rows.groupBy("file", "block").cogroup(told.groupBy("file", "block")).applyInArrow(run_if, fields).withColumnRenamed("key", key)
+    return rows.groupBy("file", "block").cogroup(told.groupBy("file", "block")).applyInArrow(run, fields).withColumnRenamed("key", key)
 
 
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
