@@ -22,13 +22,28 @@ def approval(events: DataFrame, item: str, at: list[str], approve: str, revoke:
     return some.groupBy(item).agg((F.max_by("action", F.struct(*at)) == approve).alias("approved"))
 
 
-def collapsed(edits: DataFrame, owner: str, field: str, order: list[str]) -> DataFrame:
-    """(owner, field, before, after, edits): runs of edits of one field merged; runs that change nothing disappear."""
-    w = Window.partitionBy(owner).orderBy(*order)
-    runs = edits.withColumn("_new", (~F.lag(field).over(w).eqNullSafe(F.col(field))).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    at = F.struct(*order)
-    out = runs.groupBy(owner, "_run", field).agg(F.min_by("before", at).alias("before"), F.max_by("after", at).alias("after"), F.count("*").alias("edits"))
-    return out.filter("NOT (before <=> after)").select(owner, F.col("_run").alias("run"), field, "before", "after", "edits")
+def collapsed(edits: DataFrame, owner: str, field: str, order: list[str], most: int = 50) -> DataFrame:
+    """(owner, run, field, before, after, edits): the last `most` rows of an owner's log of edits.
+
+    An edit that changes nothing is not logged. An edit of the field that the last row is about is merged into it, and the
+    row disappears if the two change nothing together; then the row before it is the last one. The log is a fold over the
+    owner's edits in order, so an owner's edits must fit one row.
+    """
+    row = "struct<field: string, before: string, after: string, edits: bigint>"
+    entry = F.struct(*order, F.col(field).alias("field"), F.col("before").cast("string").alias("before"), F.col("after").cast("string").alias("after"))
+    changes = edits.filter(~F.col("before").eqNullSafe(F.col("after"))).groupBy(owner).agg(F.array_sort(F.collect_list(entry)).alias("log"))
+
+    def logged(log, e):
+        last, rest = F.element_at(log, -1), F.slice(log, F.lit(1), F.size(log) - 1)
+        one = F.struct(e["field"].alias("field"), e["before"].alias("before"), e["after"].alias("after"), F.lit(1).cast("long").alias("edits"))
+        merged = F.struct(last["field"].alias("field"), last["before"].alias("before"), e["after"].alias("after"), (last["edits"] + 1).alias("edits"))
+        same = (F.size(log) > 0) & F.get(log, F.size(log) - 1)["field"].eqNullSafe(e["field"])
+        out = F.when(~same, F.concat(log, F.array(one))).when(last["before"].eqNullSafe(e["after"]), rest).otherwise(F.concat(rest, F.array(merged)))
+        return F.slice(out, F.greatest(F.size(out) - most + 1, F.lit(1)), most)
+
+    logs = changes.select(owner, F.aggregate("log", F.array().cast(f"array<{row}>"), logged).alias("log"))
+    out = logs.select(owner, F.posexplode("log").alias("run", "row"))
+    return out.select(owner, "run", F.col("row.field").alias(field), "row.before", "row.after", "row.edits")
 
 
 def trimmed(events: DataFrame, item: str, at: list[str], approvals: list[str], most: int) -> DataFrame:

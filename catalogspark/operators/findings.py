@@ -79,5 +79,6 @@ def filter_counts(rows: DataFrame, filters: dict[str, str]) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
-    """One page of rows, the number clamped to what there is."""
-    return rows.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
+    """One page of rows; a number before the first or past the last page stands for that page."""
+    pages = max(1, -(-rows.count() // size))
+    return rows.orderBy(*order).offset((min(max(1, number), pages) - 1) * size).limit(size)

@@ -110,3 +110,25 @@ def strongest(relations: DataFrame, k: int = 1) -> DataFrame:
     """The k strongest objects of each subject and predicate, by confidence, then object."""
     w = Window.partitionBy("subject", "predicate").orderBy(F.desc("confidence"), "object")
     return relations.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def checked(products: DataFrame, relations: DataFrame) -> DataFrame:
+    """(product_id, verdict, expected, confidence, strong, fill) of products (product_id, subject, typed) under what is known of their subject.
+
+    relations: (subject, object, confidence, status). `match` if the typed object is known, `conflict` if it is but others
+    are in conflict with it, `mismatch` if only others are known, `unknown` if nothing is typed or known. An object that is
+    not typed may be filled with the strongest one. Rows without a subject, or with nothing typed and known, get no verdict.
+    """
+    live = relations.filter("status <> 'rejected'").withColumn("key", T.identity(F.col("object")))
+    best = F.struct((-F.col("confidence")).alias("c"), "object", "status")
+    top = live.groupBy("subject").agg(F.min(best).alias("top"), F.count("*").alias("n"), F.max((F.col("status") == "conflicted").cast("int")).alias("contested"))
+    own = live.groupBy("subject", "key").agg(F.max("confidence").alias("own"))
+    rows = products.filter("subject <> ''").withColumn("key", T.identity(F.coalesce("typed", F.lit("")))).join(top, "subject", "left").join(own, ["subject", "key"], "left")
+    none, typed, contested = F.col("n").isNull(), F.col("key") != "", (F.col("n") > 1) & (F.col("contested") == 1)
+    verdict = F.when(none | ~typed, "unknown").when(F.col("own").isNull(), "mismatch").when(contested, "conflict").otherwise("match")
+    out = rows.filter(typed | ~none).withColumn("verdict", verdict)
+    wrong = F.col("verdict") == "mismatch"
+    return out.select(
+        "product_id", "verdict", F.when(wrong, F.col("top.object")).alias("expected"), F.when(wrong, -F.col("top.c")).when(F.col("verdict") != "unknown", F.col("own")).alias("confidence"),
+        (wrong & F.col("top.status").isin("confirmed", "trusted")).alias("strong"), F.when(~typed, F.col("top.object")).alias("fill"),
+    )

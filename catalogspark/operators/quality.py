@@ -21,6 +21,9 @@ def field_problems(products: DataFrame) -> DataFrame:
     One row for each captured field and each required one; the schema is a small fixed table, so it is broadcast.
     """
     fields = category_fields(products.sparkSession).withColumnRenamed("key", "field")
+    cats = F.broadcast(fields.select("cat").distinct())
+    lost = products.join(cats, "cat", "left_anti").select("product_id", F.lit("").alias("field"), F.lit("unknown-category").alias("code"))
+    products = products.join(cats, "cat", "left_semi")  # an unknown category is a product's only problem
     captured = products.select("product_id", "cat", F.explode("v").alias("field", "value"))
     known = captured.join(F.broadcast(fields), ["cat", "field"], "left")
     value = F.coalesce(F.col("value"), F.lit(""))
@@ -37,8 +40,6 @@ def field_problems(products: DataFrame) -> DataFrame:
     found = known.select("product_id", "field", F.explode(codes).alias("code"))
     needed = products.select("product_id", "cat", "v").join(F.broadcast(fields.filter("required").groupBy("cat").agg(F.collect_list("field").alias("need"))), "cat")
     missing = needed.select("product_id", F.explode(F.filter("need", lambda k: T.tidy(F.col("v")[k]) == "")).alias("field"), F.lit("required-missing").alias("code"))
-    cats = F.broadcast(fields.select("cat").distinct())
-    lost = products.join(cats, "cat", "left_anti").select("product_id", F.lit("").alias("field"), F.lit("unknown-category").alias("code"))
     noted = products.filter(F.trim(F.coalesce("note", F.lit(""))) != "").select("product_id", F.lit("").alias("field"), F.lit("unassigned-text").alias("code"))
     every = found.unionByName(missing).unionByName(lost).unionByName(noted)
     return every.withColumn("severity", severity(F.col("code")))
@@ -82,22 +83,29 @@ def quarantine(products: DataFrame, problems: DataFrame) -> DataFrame:
     }).drop("fields")
 
 
-# Text defects and the patterns that show them.
+# Text defects and the patterns that show them; the later ones are for texts of one line.
+SPACE = r"[\s\x{00A0}\x{2028}\x{2029}\x{FEFF}]"
 HYGIENE = {
     "control": CONTROL,
-    "zero-width": r"[\x{200B}-\x{200D}\x{FEFF}]",
-    "mojibake": r"Ã[\x{80}-\x{BF}]|â€|\x{FFFD}",
-    "unresolved": r"\{[a-zA-Z_:]+\}",
-    "technical": r"\b(undefined|null|NaN)\b",
-    "html-breaker": r"[<>]",
-    "double-space": r"  ",
-    "edge-space": r"^\s|\s$",
-    "separators": r"[|,;]\s*[|,;]",
+    "invisible": r"[\x{00A0}\x{200B}-\x{200D}\x{FEFF}]",
+    "mojibake": r"\x{FFFD}|[ÃÂ][\x{80}-\x{BF}]",
+    "unresolved": r"\{[A-Za-z0-9_]+(?::[A-Za-z0-9_]+)?\}",
+    "technical": r"(?<![A-Za-z0-9_])(undefined|null|NaN)(?![A-Za-z0-9_])",
+}
+HTML_BREAKER = {"html-breaker": r'[<>"]'}
+ONE_LINE = {
+    "double-space": SPACE + "{2,}",
+    "edge-space": f"^{SPACE}|{SPACE}$",
+    "space-before-comma": SPACE + "[,;]",
+    "separators": f"[,;]{SPACE}*[,;]|\\|{SPACE}*\\|",
+    "edge-separator": f"^(?:{SPACE}|[|,;:\\-–])|[|,;:\\-–]{SPACE}*$",
+    "repeated-word": r"(?iu)(?<![\p{L}\p{N}])(\p{L}{2,})\s+\1(?![\p{L}\p{N}])",
 }
 
 
-def text_hygiene(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, defect) for every objective defect of a text."""
+def text_hygiene(rows: DataFrame, key: str, text: str, html: bool = False, multiline: bool = False) -> DataFrame:
+    """(key, defect) for every objective defect of a text; an empty text has none."""
     c = F.coalesce(F.col(text), F.lit(""))
-    tests = [F.when(c.rlike(p), name) for name, p in HYGIENE.items()] + [F.when(T.repeated_words(c), "repeated-word")]
-    return rows.select(key, F.explode(F.array_compact(F.array(*tests))).alias("defect"))
+    tests = HYGIENE | ({} if html else HTML_BREAKER) | ({} if multiline else ONE_LINE)
+    # $ stands for the very end, not for a place before a last line break
+    return rows.select(key, F.explode(F.array_compact(F.array(*[F.when(c.rlike(p.replace("$", r"\z")), name) for name, p in tests.items()]))).alias("defect"))

@@ -57,8 +57,8 @@ def related(products: DataFrame, key: list[str], category: str = "cat", brand: s
 
 
 def complement_eligible(cat: Column, prescription: Column, specialty: Column) -> Column:
-    """Non-medicines always; medicines only if declared free of prescription and not special."""
-    return (cat != "med") | ((F.coalesce(prescription, F.lit("")) == "no") & (F.coalesce(specialty, F.lit("")) != "si"))
+    """Non-medicines always; medicines only if declared free of prescription and declared no speciality."""
+    return (cat != "med") | ((F.coalesce(prescription, F.lit("")) == "no") & (F.coalesce(specialty, F.lit("")) == "no"))
 
 
 def declared(products: DataFrame, lists: str, allowed: DataFrame, sku: str = "sku") -> DataFrame:

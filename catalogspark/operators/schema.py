@@ -11,8 +11,22 @@ CATEGORY_FIELDS = {
     "acc": "marca contenido fabricante | producto tipo uso material envase talla lado color compresion publico beneficios tallas modo cuidados advertencias declarada registro compatibilidad queEs caracteristicas paquete tipoCorto compat",
 }
 # Closed options, and fields whose value is a number.
-OPTIONS = {"receta": ("si", "no"), "especialidad": ("si", "no"), "fluor": ("si", "no")}
-NUMERIC = ("fps", "porciones", "pao")
+AREAS = (
+    "Diabetes y metabolismo", "Control de peso", "Cardiovascular", "Digestivo y gastrointestinal", "Respiratorio y alergias", "Dolor e inflamación", "Infecciones", "Salud mental y neurología",
+    "Hormonal y salud sexual", "Piel y dermatología", "Ojos y oídos", "Oncología e inmunología", "Nutrición y vitaminas", "Hidratación", "Higiene y cuidado personal", "Otra",
+)
+OPTIONS = {
+    "receta": ("si", "no"),
+    "especialidad": ("si", "no"),
+    "area": AREAS,
+    "area2": AREAS,
+    "nivel": ("Baja", "Media", "Alta", "Muy alta"),
+    "rutina": ("Limpieza", "Tratamiento", "Hidratación", "Protección solar", "Maquillaje", "Cabello"),
+}
+NUMERIC = ("concentracion", "volumen", "contenido", "fps")
+for _cat in CATEGORY_FIELDS:
+    if _cat != "med":  # every other category has an area of use, too
+        CATEGORY_FIELDS[_cat] += " area"
 
 
 def category_fields(spark):

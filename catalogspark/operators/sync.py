@@ -56,6 +56,7 @@ def overlaid(local: DataFrame, external: DataFrame, decisions: DataFrame, key: s
     return local.join(e, key, "left").withColumn("data", F.map_concat(kept, F.coalesce("_d", none))).drop("_d")
 
 
-def sync_summary(classified_: DataFrame, fetched: int | Column, unchanged: int | Column) -> DataFrame:
+def sync_summary(classified_: DataFrame, fetched: Column, unchanged: Column) -> DataFrame:
+    """One row: records by action, how many were fetched, and how many of them had not changed (aggregates over the classified records)."""
     of = lambda a: F.count(F.when(F.col("action") == a, 1))
-    return classified_.agg(of("accept").alias("accepted"), of("suggest").alias("suggested"), of("review").alias("review"), of("noop").alias("skipped"))
+    return classified_.agg(of("accept").alias("accepted"), of("suggest").alias("suggested"), of("review").alias("review"), of("noop").alias("skipped"), fetched.alias("fetched"), unchanged.alias("unchanged"))

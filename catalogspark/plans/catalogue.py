@@ -127,12 +127,11 @@ def readiness_summary(spark, d):
 
 
 def _axes(spark, d):
-    p = table(spark, d, "part")
-    k = F.col("p_partkey")
-    axis = lambda n, m: F.when(k % 13 != n, (k * m + n) % 101)
-    state = F.when(k % 10 == 0, "BLOCKED").when(k % 3 == 0, "READY_WITH_WARNINGS").otherwise("READY")
-    every = [axis(n, m).alias(name) for name, n, m in (("health", 0, 7), ("seo", 1, 11), ("content", 2, 3), ("magento", 3, 5))]
-    return p.select(k.alias("product_id"), *every, state.alias("state"))
+    """Health and readiness of each product; search and content have no scores yet, so the combined score is partial."""
+    health = health_score(spark, d).select("product_id", F.col("score").alias("health"))
+    ready = readiness_state(spark, d).select("product_id", F.col("score").alias("magento"), "state")
+    none = F.lit(None).cast("long")
+    return health.join(ready, "product_id").select("product_id", "health", none.alias("seo"), none.alias("content"), "magento", "state")
 
 
 def score_360(spark, d):
@@ -172,8 +171,12 @@ def work_bucket(spark, d):
     return counts.select("product_id", bucket.alias("bucket"))
 
 
+#: Declared speciality of a product; a third declares none.
+SPECIALTY = F.expr("CASE product_id % 3 WHEN 0 THEN 'si' WHEN 1 THEN 'no' END")
+
+
 def complement_eligible(spark, d):
-    return products(spark, d).select("product_id", relations.complement_eligible(F.col("cat"), F.col("receta"), F.lit(None).cast("string")).alias("eligible"))
+    return products(spark, d).select("product_id", relations.complement_eligible(F.col("cat"), F.col("receta"), SPECIALTY).alias("eligible"))
 
 
 def last_wins_export(spark, d):
@@ -205,12 +208,12 @@ h AS (SELECT i.product_id, greatest(0, 100 - 20 * errors - 6 * warnings - infos
   greatest(0, greatest(0, 100 - coalesce(e, 0)) - anomaly)::BIGINT AS consistency FROM i JOIN o USING (product_id) LEFT JOIN w USING (product_id))"""
 READY = P + """, r AS (SELECT product_id, ((sku = '')::INT + (marca = '')::INT)::BIGINT AS blocks, ((length(title) > 38)::INT + (fabricante = '')::INT + (price > 1000)::INT)::BIGINT AS warnings FROM p),
 s AS (SELECT *, CASE WHEN blocks > 0 THEN 'BLOCKED' WHEN warnings > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS state, greatest(0, 100 - 25 * blocks - 8 * warnings)::BIGINT AS score FROM r)"""
-AXES = """WITH a AS (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 13 <> 0 THEN (p_partkey * 7) % 101 END AS health, CASE WHEN p_partkey % 13 <> 1 THEN (p_partkey * 11 + 1) % 101 END AS seo, CASE WHEN p_partkey % 13 <> 2 THEN (p_partkey * 3 + 2) % 101 END AS content,
-  CASE WHEN p_partkey % 13 <> 3 THEN (p_partkey * 5 + 3) % 101 END AS magento, CASE WHEN p_partkey % 10 = 0 THEN 'BLOCKED' WHEN p_partkey % 3 = 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS state FROM part),
-w AS (SELECT *, 30 * (health IS NOT NULL)::INT + 25 * (seo IS NOT NULL)::INT + 25 * (content IS NOT NULL)::INT + 20 * (magento IS NOT NULL)::INT AS w, coalesce(30 * health, 0) + coalesce(25 * seo, 0) + coalesce(25 * content, 0) + coalesce(20 * magento, 0) AS pts FROM a),
-s AS (SELECT *, floor(pts / w + 0.5)::BIGINT AS score FROM w),
+AXES = HEALTH + """, rr AS (SELECT product_id, ((sku = '')::INT + (marca = '')::INT)::BIGINT AS blocks, ((length(title) > 38)::INT + (fabricante = '')::INT + (price > 1000)::INT)::BIGINT AS warnings FROM p),
+a AS (SELECT product_id, h.score AS health, NULL::BIGINT AS seo, NULL::BIGINT AS content, greatest(0, 100 - 25 * blocks - 8 * warnings)::BIGINT AS magento, CASE WHEN blocks > 0 THEN 'BLOCKED' WHEN warnings > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS state FROM h JOIN rr USING (product_id)),
+w2 AS (SELECT *, 30 * (health IS NOT NULL)::INT + 25 * (seo IS NOT NULL)::INT + 25 * (content IS NOT NULL)::INT + 20 * (magento IS NOT NULL)::INT AS w, coalesce(30 * health, 0) + coalesce(25 * seo, 0) + coalesce(25 * content, 0) + coalesce(20 * magento, 0) AS pts FROM a),
+s2 AS (SELECT *, floor(pts / w + 0.5)::BIGINT AS score FROM w2),
 z AS (SELECT product_id, health, seo, content, magento, state, score, CASE WHEN state = 'BLOCKED' AND score IS NOT NULL THEN 'bloqueado' ELSE """ + BAND.format("score") + """ END AS band, w > 0 AND w < 100 AS partial,
-  coalesce(floor(10.0::DOUBLE * health * 30 / w + 0.5) / 10, 0) AS health_points, coalesce(floor(10.0::DOUBLE * seo * 25 / w + 0.5) / 10, 0) AS seo_points, coalesce(floor(10.0::DOUBLE * content * 25 / w + 0.5) / 10, 0) AS content_points, coalesce(floor(10.0::DOUBLE * magento * 20 / w + 0.5) / 10, 0) AS magento_points FROM s)"""
+  coalesce(floor(10.0::DOUBLE * health * 30 / w + 0.5) / 10, 0) AS health_points, coalesce(floor(10.0::DOUBLE * seo * 25 / w + 0.5) / 10, 0) AS seo_points, coalesce(floor(10.0::DOUBLE * content * 25 / w + 0.5) / 10, 0) AS content_points, coalesce(floor(10.0::DOUBLE * magento * 20 / w + 0.5) / 10, 0) AS magento_points FROM s2)"""
 ALT = P + """, q AS (SELECT * FROM p WHERE sku LIKE 'P-%'), alt AS (SELECT a.sku, b.sku AS other FROM q a JOIN q b ON a.principio = b.principio AND a.forma = b.forma AND a.marca <> b.marca AND a.marca <> '' AND b.marca <> '')"""
 bands = lambda c, names: ", ".join(f"count(*) FILTER ({c} = '{b}') AS {b}" for b in names)
 FIVE = ("excelente", "buena", "revisar", "critica", "sin_evaluar")
@@ -220,12 +223,16 @@ ORACLE_SQL = {
     "issue_rollup": COUNTS + " SELECT status, count(*) AS products, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings FROM i GROUP BY status",
     "quality_summary": COUNTS + " SELECT count(*) AS total, count(*) FILTER (status = 'listo') AS listo, count(*) FILTER (status = 'revisar') AS revisar, count(*) FILTER (status = 'critico') AS critico, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings FROM i",
     "quarantine": PROBLEMS + ", b AS (SELECT product_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields, string_agg(DISTINCT code, ',' ORDER BY code) AS reasons, count(DISTINCT field) AS n FROM f WHERE code IN ('control-character', 'invalid-option', 'negative-number') GROUP BY product_id) SELECT product_id, fields, reasons, (SELECT count(*) FROM l WHERE l.product_id = b.product_id) - n AS kept FROM b",
-    "normalize_text": r"SELECT doc_id, md5(t) AS normalized, t <> coalesce(text, '') AS changed FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\s\x{00A0}\x{2007}\x{202F}]+', ' ', 'g')) AS t FROM documents)",
+    "normalize_text": r"SELECT doc_id, md5(t) AS normalized, t <> coalesce(text, '') AS changed FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')) AS t FROM documents)",
     "match_keys": P + f" SELECT product_id, lower(title) AS fold, {TITLE} AS clean, {compact_duck('title')} AS compact, {SKU} AS sku_key FROM p",
-    "text_hygiene": r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), d AS (SELECT 'zero-width' AS defect FROM w WHERE regexp_matches(t, '[\x{200B}-\x{200D}\x{FEFF}]') UNION ALL SELECT 'control' FROM w WHERE regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')
-UNION ALL SELECT 'mojibake' FROM w WHERE regexp_matches(t, 'Ã[\x{80}-\x{BF}]|â€|\x{FFFD}') UNION ALL SELECT 'unresolved' FROM w WHERE regexp_matches(t, '\{[a-zA-Z_:]+\}') UNION ALL SELECT 'technical' FROM w WHERE regexp_matches(t, '\b(undefined|null|NaN)\b')
-UNION ALL SELECT 'html-breaker' FROM w WHERE regexp_matches(t, '[<>]') UNION ALL SELECT 'double-space' FROM w WHERE contains(t, '  ') UNION ALL SELECT 'edge-space' FROM w WHERE regexp_matches(t, '^\s|\s$') UNION ALL SELECT 'separators' FROM w WHERE regexp_matches(t, '[|,;]\s*[|,;]')
-UNION ALL SELECT 'repeated-word' FROM (SELECT list_filter(string_split(""" + clean_duck("t") + r""", ' '), lambda x: length(x) >= 4) AS l FROM w) WHERE len(l) > len(list_distinct(l))) SELECT defect, count(*) AS n FROM d GROUP BY defect""",
+    "text_hygiene": r"""WITH w AS (SELECT coalesce(text, '') AS t FROM documents),
+d AS (SELECT unnest(['control', 'invisible', 'mojibake', 'unresolved', 'technical', 'html-breaker', 'double-space', 'edge-space', 'space-before-comma', 'separators', 'edge-separator', 'repeated-word']) AS defect,
+  unnest([regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]'), regexp_matches(t, '[\x{00A0}\x{200B}-\x{200D}\x{FEFF}]'), regexp_matches(t, '\x{FFFD}|[ÃÂ][\x{80}-\x{BF}]'), regexp_matches(t, '\{\w+(?::\w+)?\}'), regexp_matches(t, '\b(undefined|null|NaN)\b'), regexp_matches(t, '[<>"]'),
+    regexp_matches(t, '[\s\x{A0}\x{2028}\x{2029}\x{FEFF}]{2,}'), regexp_matches(t, '^[\s\x{A0}\x{2028}\x{2029}\x{FEFF}]|[\s\x{A0}\x{2028}\x{2029}\x{FEFF}]$'), regexp_matches(t, '[\s\x{A0}\x{2028}\x{2029}\x{FEFF}][,;]'), regexp_matches(t, '[,;][\s\x{A0}\x{2028}\x{2029}\x{FEFF}]*[,;]|\|[\s\x{A0}\x{2028}\x{2029}\x{FEFF}]*\|'),
+    regexp_matches(t, '^[\s\x{A0}\x{2028}\x{2029}\x{FEFF}|,;:\-–]|[|,;:\-–][\s\x{A0}\x{2028}\x{2029}\x{FEFF}]*$'),
+    -- neighbours: pieces of letters and digits that one run of white space parts
+    (SELECT bool_or(a = b AND regexp_matches(a, '^\p{L}{2,}$')) FROM (SELECT unnest(l[:len(l) - 1]) AS a, unnest(l[2:]) AS b FROM (SELECT string_split_regex(lower(regexp_replace(t, '[^\p{L}\p{N}\s]+', ' | ', 'g')), '\s+') AS l)))]) AS hit FROM w)
+SELECT defect, count(*) AS n FROM d WHERE hit GROUP BY defect""",
     "duplicate_skus": DUP.format(kind="duplicate-sku", sev="error", key=SKU),
     "duplicate_titles": DUP.format(kind="duplicate-title", sev="warning", key=TITLE),
     "duplicate_meta": P + f" SELECT product_id, CASE WHEN k = '' THEN 0 ELSE count(*) OVER (PARTITION BY k) - 1 END AS duplicates FROM (SELECT product_id, {clean_duck(chr(34) + 'meta' + chr(34))} AS k FROM (SELECT product_id, concat_ws(' ', marca, producto, contenido) AS meta FROM p))",
@@ -245,7 +252,7 @@ g AS (SELECT principio, concentracion, forma, arg_min(via, seq) FILTER (via <> '
 SELECT * FROM (SELECT sku, other, same_brand, row_number() OVER (PARTITION BY sku ORDER BY same_brand DESC, other) AS rank FROM c WHERE (sku, other) NOT IN (SELECT (sku, other) FROM alt)) WHERE rank <= 4""",
     "export_exclusions": COUNTS + " SELECT CASE WHEN trim(sku) = '' THEN 'no-sku' WHEN product_id % 37 = 0 THEN 'unconfirmed' WHEN errors > 0 THEN 'blocked' WHEN marca = '' THEN 'missing-data' ELSE 'exported' END AS reason, count(*) AS n FROM p JOIN i USING (product_id) GROUP BY 1",
     "work_bucket": COUNTS + " SELECT product_id, CASE WHEN product_id % 41 = 0 THEN 'approved' WHEN errors > 0 THEN 'blocked' WHEN product_id % 37 = 0 THEN 'review' ELSE 'ready' END AS bucket FROM i",
-    "complement_eligible": P + " SELECT product_id, cat <> 'med' OR receta = 'no' AS eligible FROM p",
+    "complement_eligible": P + " SELECT product_id, cat <> 'med' OR (receta = 'no' AND product_id % 3 = 1) AS eligible FROM p",
     "last_wins_export": P + f" SELECT product_id, sku, position FROM (SELECT *, min(seq) OVER (PARTITION BY {SKU}) AS position, max(seq) OVER (PARTITION BY {SKU}) AS last FROM p WHERE trim(sku) <> '') WHERE seq = last",
     "merchant_feed": P + f" SELECT sku AS id, title, producto || '. ' || contenido AS description, length(title) > 150 AS long_title FROM (SELECT *, max(seq) OVER (PARTITION BY {SKU}) AS last FROM p WHERE trim(sku) <> '' AND marca <> '') WHERE seq = last",
 }

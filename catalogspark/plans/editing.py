@@ -211,8 +211,13 @@ SELECT product_id, cause, count(*) AS findings, string_agg(DISTINCT axis, ',' OR
     "explode_product_facts": P + """, t AS (SELECT title AS s, 'product→brand' AS predicate, marca AS object FROM p UNION ALL SELECT title, 'product→pharmaceuticalForm', forma FROM p UNION ALL SELECT title, 'product→category', cat FROM p UNION ALL SELECT marca, 'brand→laboratory', fabricante FROM p UNION ALL SELECT marca, 'brand→substance', principio FROM p UNION ALL SELECT marca, 'brand→category', cat FROM p)
 SELECT predicate, object, count(*) AS n FROM t WHERE s <> '' AND object <> '' GROUP BY ALL""",
     "observe_products": P + """, t AS (SELECT product_id, marca AS subject, 'brand→laboratory' AS predicate, fabricante AS object FROM p UNION ALL SELECT product_id, marca, 'brand→substance', principio FROM p UNION ALL SELECT product_id, marca, 'brand→category', cat FROM p WHERE product_id % 2 <> 0) SELECT * FROM t WHERE subject <> '' AND object <> ''""",
-    "html_defects": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(lower(coalesce(html, '')), '<(/?[a-z][a-z0-9]*)[^>]*>', 1)) AS t FROM pages), u AS (SELECT page_id, replace(t, '/', '') AS tag, starts_with(t, '/') AS closing FROM t)
-SELECT page_id, tag, count(*) FILTER (NOT closing) AS opened, count(*) FILTER (closing) AS closed FROM u WHERE tag NOT IN ('br', 'img', 'hr', 'meta', 'link', 'input', 'area', 'base', 'col', 'embed', 'source', 'track', 'wbr') GROUP BY ALL HAVING opened <> closed""",
+    "html_defects": r"""WITH RECURSIVE t AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '</?[a-zA-Z][\w-]*\b[^>]*>')) AS t FROM pages),
+u AS (SELECT page_id, lower(regexp_extract(t, '^</?([a-zA-Z][\w-]*)', 1)) AS tag, starts_with(t, '</') AS closing, row_number() OVER () AS o FROM t WHERE NOT ends_with(t, '/>')),
+n AS (SELECT page_id, tag, closing, row_number() OVER (PARTITION BY page_id ORDER BY o) AS i FROM u WHERE tag NOT IN ('br', 'hr', 'img', 'meta', 'input', 'link')),
+s AS (SELECT DISTINCT page_id, 0::BIGINT AS i, []::VARCHAR[] AS open, NULL::VARCHAR AS lost FROM n
+UNION ALL SELECT s.page_id, n.i, CASE WHEN NOT closing THEN list_append(open, tag) WHEN open[-1] = tag THEN open[:len(open) - 1] ELSE open END, CASE WHEN closing AND open[-1] IS DISTINCT FROM tag THEN tag END FROM s JOIN n ON n.page_id = s.page_id AND n.i = s.i + 1)
+SELECT DISTINCT page_id, lost AS tag, 'unopened' AS defect FROM s WHERE lost IS NOT NULL UNION ALL SELECT DISTINCT page_id, tag, 'unclosed' FROM (SELECT page_id, unnest(arg_max(open, i)) AS tag FROM s GROUP BY page_id)
+UNION ALL SELECT page_id, '', 'empty' FROM pages WHERE regexp_matches(coalesce(html, ''), '(?i)<p>\s*</p>|<li>\s*</li>|<h1>\s*</h1>|<h2>\s*</h2>|<h3>\s*</h3>|<h4>\s*</h4>|<h5>\s*</h5>|<h6>\s*</h6>|<td>\s*</td>|<th>\s*</th>|<strong>\s*</strong>')""",
     "explode_spec_rows": "WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents) SELECT doc_id, line, trim(split_part(t, '|', 1)) AS name, trim(substring(t, instr(t, '|') + 1)) AS value FROM l WHERE contains(t, '|')",
     "verify_extraction": """WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'no ' ELSE '' END || substring(text, 5, 30) AS evidence, CASE WHEN doc_id % 5 = 0 THEN 'zzzqqq' ELSE split_part(trim(text), ' ', 1) END AS value FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, list_filter(regexp_split_to_array(lower(value), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS v, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS t FROM d)
@@ -221,6 +226,7 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'field' WHEN NOT contains(text, evi
     "complement_status": P + ", k AS (SELECT DISTINCT sku FROM p WHERE product_id % 6 = 0) SELECT product_id, CASE WHEN cat = 'med' THEN 'no_aplica' WHEN sku IN (SELECT sku FROM k) THEN 'vinculado' WHEN product_id % 4 = 0 THEN 'esperando' WHEN product_id % 4 = 1 THEN 'independiente' ELSE 'sin_evaluar' END AS status FROM p",
     "grow_dictionary": P + f", w AS (SELECT unnest(string_split(principio, ' ')) AS value FROM p UNION ALL SELECT principio FROM p), k AS (SELECT {clean_duck('value')} AS key, value FROM w) SELECT key, min(value) AS value, count(*) AS n FROM k WHERE key <> '' AND key NOT IN (SELECT {clean_duck('principio')} FROM p WHERE product_id < 30) GROUP BY key",
     "data_signatures": P + f", l AS ({LONG_DUCK}), s AS (SELECT product_id, string_agg(field || '=' || value, ';' ORDER BY field) AS s FROM l GROUP BY product_id), g AS (SELECT count(*) AS n FROM s GROUP BY s) SELECT n, count(*) AS groups FROM g GROUP BY n",
-    "routine_mates": P + ", w AS (SELECT DISTINCT product_id, product_id % 3 AS step, unnest(string_split(producto, ' ')) AS w FROM p WHERE cat = 'cos' AND product_id % 4 <> 0) SELECT a.product_id, count(DISTINCT b.product_id) AS mates FROM w a JOIN w b ON a.w = b.w AND a.step <> b.step WHERE length(a.w) > 3 GROUP BY a.product_id",
+    "routine_mates": P + """, z AS (SELECT product_id, product_id % 3 AS step, CASE WHEN product_id % 4 = 0 THEN '' ELSE producto || ' rostro' END AS zone FROM p WHERE cat = 'cos'), w AS (SELECT *, list_filter(regexp_split_to_array(lower(zone), '[^a-z]+'), lambda x: length(x) > 3) AS words FROM z)
+SELECT a.product_id, count(*) AS mates FROM w a JOIN w b ON a.step <> b.step AND (a.zone = '' OR b.zone = '' OR list_has_any(a.words, b.words)) GROUP BY a.product_id""",
     "mine_replace_rules": "SELECT CASE WHEN event_id % 3 = 0 THEN 'marca' ELSE 'forma' END AS field, event_type AS \"from\", (user_id % 5)::VARCHAR AS \"to\", count(*) AS n, event_id % 3 = 0 AS critical FROM events GROUP BY ALL",
 }

@@ -47,7 +47,7 @@ def classify_records(spark, d):
 
 
 def sync_summary(spark, d):
-    return sync.sync_summary(_classified(spark, d), 0, 0)
+    return sync.sync_summary(_classified(spark, d), F.count("*"), F.count(F.when(F.col("n_changes") == 0, 1)))
 
 
 def apply_decisions(spark, d):
@@ -143,7 +143,15 @@ def functional_conflicts(spark, d):
 
 
 def relation_checks(spark, d):
-    return knowledge.strongest(_relations(spark, d), 2).select("subject", "object", "confidence", F.col("rank").cast("long").alias("rank"))
+    """Each product's maker (its first supplier; a fifth names none, a seventh another) under what is known of its brand."""
+    first = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey")).join(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    k = F.col("product_id")
+    p = products(spark, d).join(first.select(F.col("l_partkey").alias("product_id"), "s_name"), "product_id")
+    p = p.select("product_id", F.col("marca").alias("subject"), F.when(k % 5 == 0, "").when(k % 7 == 0, "Otro").otherwise(F.upper("s_name")).alias("typed"))
+    r = _relations(spark, d)
+    many = r.filter("status <> 'rejected' AND confirmed > 0").groupBy("subject").agg((F.count("*") > 40).alias("many"))
+    r = r.filter("confirmed > 0").join(many, "subject", "left").withColumn("status", F.when(F.col("many") & (F.col("status") != "rejected"), "conflicted").otherwise(F.col("status")))
+    return knowledge.checked(p, r.select("subject", "object", "confidence", "status"))
 
 
 def explain_confidence(spark, d):
@@ -300,7 +308,7 @@ ORACLE_SQL = {
     "incremental_changes": ORDERS + f" SELECT e.o_orderkey::VARCHAR AS record_id, e.checksum FROM (SELECT *, {SUM} AS checksum FROM e) e LEFT JOIN (SELECT *, {SUM} AS checksum FROM l) l USING (o_orderkey) WHERE l.checksum IS NULL OR l.checksum <> e.checksum",
     "record_diff": ORDERS + " SELECT o_orderkey, field, local, external FROM c",
     "classify_records": ORDERS + " SELECT o_orderkey, n_changes, action FROM a",
-    "sync_summary": ORDERS + " SELECT 0::BIGINT AS accepted, count(*) FILTER (action = 'suggest') AS suggested, count(*) FILTER (action = 'review') AS review, count(*) FILTER (action = 'noop') AS skipped FROM a",
+    "sync_summary": ORDERS + " SELECT 0::BIGINT AS accepted, count(*) FILTER (action = 'suggest') AS suggested, count(*) FILTER (action = 'review') AS review, count(*) FILTER (action = 'noop') AS skipped, count(*) AS fetched, count(*) FILTER (n_changes = 0) AS unchanged FROM a",
     "apply_decisions": ORDERS + " SELECT o_orderkey, CASE WHEN action = 'suggest' THEN e.status ELSE l.status END AS status, CASE WHEN action = 'suggest' THEN e.total ELSE l.total END AS total FROM l JOIN e USING (o_orderkey) JOIN a USING (o_orderkey)",
     "first_wins": "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey",
     "project_field_map": ORDERS + " SELECT o_orderkey, 'estado,importe' AS keys, total AS importe FROM e",
@@ -310,12 +318,21 @@ ORACLE_SQL = {
     "bounded_history": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5",
     "latest_per_id": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS n FROM events) WHERE n = 1",
     "approval_state": "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) = 'purchase' AS approved FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id",
-    "collapse_changes": """WITH n AS (SELECT *, (lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type)::INT AS new FROM events), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM n),
-g AS (SELECT user_id, run::BIGINT AS run, event_type AS action, arg_min((event_id % 3)::VARCHAR, {'t': ts, 'e': event_id}) AS before, arg_max((event_id % 4)::VARCHAR, {'t': ts, 'e': event_id}) AS after, count(*) AS edits FROM r GROUP BY ALL) SELECT * FROM g WHERE before <> after""",
+    "collapse_changes": """WITH RECURSIVE n AS (SELECT user_id, event_type AS f, (event_id % 3)::VARCHAR AS b, (event_id % 4)::VARCHAR AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_id % 3 <> event_id % 4),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::STRUCT(f VARCHAR, b VARCHAR, a VARCHAR, n BIGINT)[] AS log FROM n
+UNION ALL SELECT s.user_id, n.i, (CASE WHEN len(log) = 0 OR log[-1].f <> n.f THEN list_append(log, {'f': n.f, 'b': n.b, 'a': n.a, 'n': 1::BIGINT}) WHEN log[-1].b = n.a THEN log[:len(log) - 1] ELSE list_append(log[:len(log) - 1], {'f': n.f, 'b': log[-1].b, 'a': n.a, 'n': log[-1].n + 1}) END)[-50:]
+  FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1),
+l AS (SELECT user_id, arg_max(log, i) AS log FROM s GROUP BY user_id), e AS (SELECT user_id, unnest(range(0, len(log))) AS run, unnest(log) AS r FROM l)
+SELECT user_id, run::BIGINT AS run, r.f AS action, r.b AS before, r.a AS after, r.n AS edits FROM e""",
     "trim_audit": "SELECT user_id, event_id, event_type AS action FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('purchase', 'error')) WHERE n = 1 UNION ALL (SELECT user_id, event_id, event_type FROM events WHERE event_type NOT IN ('purchase', 'error') ORDER BY ts DESC, event_id DESC LIMIT 500)",
     "evidence_confidence": REL + " SELECT subject, object, confidence, status, observed, confirmed, rejected FROM r",
     "functional_conflicts": REL + " SELECT subject, count(*) AS candidates FROM r WHERE status <> 'rejected' GROUP BY subject HAVING count(*) > 1",
-    "relation_checks": REL + " SELECT * FROM (SELECT subject, object, confidence, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, object) AS rank FROM r) WHERE rank <= 2",
+    "relation_checks": REL + f""", w AS (SELECT subject, object, confidence, status, trim(regexp_replace(lower(object), '[^a-z0-9%./+]+', ' ', 'g')) AS key, count(*) OVER (PARTITION BY subject) AS n, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, object) AS best FROM r WHERE status <> 'rejected' AND confirmed > 0),
+f AS (SELECT l_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY l_partkey), p AS ({PRODUCTS_DUCK}),
+t AS (SELECT product_id, marca AS subject, CASE WHEN product_id % 5 = 0 THEN '' WHEN product_id % 7 = 0 THEN 'Otro' ELSE upper(s_name) END AS typed FROM p JOIN f ON l_partkey = product_id JOIN supplier USING (s_suppkey) WHERE marca <> ''),
+m AS (SELECT t.*, b.object AS top, b.confidence AS top_c, b.status AS top_s, b.n, o.confidence AS own FROM t LEFT JOIN w b ON b.subject = t.subject AND b.best = 1 LEFT JOIN w o ON o.subject = t.subject AND o.key = trim(regexp_replace(lower(t.typed), '[^a-z0-9%./+]+', ' ', 'g'))),
+z AS (SELECT *, CASE WHEN n IS NULL OR typed = '' THEN 'unknown' WHEN own IS NULL THEN 'mismatch' WHEN n > 40 THEN 'conflict' ELSE 'match' END AS verdict FROM m WHERE typed <> '' OR n IS NOT NULL)
+SELECT product_id, verdict, CASE WHEN verdict = 'mismatch' THEN top END AS expected, CASE verdict WHEN 'mismatch' THEN top_c WHEN 'unknown' THEN NULL ELSE own END AS confidence, coalesce(verdict = 'mismatch' AND n <= 40 AND top_s IN ('confirmed', 'trusted'), false) AS strong, CASE WHEN typed = '' THEN top END AS fill FROM z""",
     "explain_confidence": REL + " SELECT status, count(*) AS n, round(sum(pts), 2) AS points, sum(rejected)::BIGINT AS rejections FROM r GROUP BY status",
     "knowledge_stats": REL + " SELECT type, status, count(*) AS n FROM (SELECT CASE WHEN split_part(subject, '#', 2)::INT % 2 = 0 THEN 'even' ELSE 'odd' END AS type, status FROM r) GROUP BY GROUPING SETS ((type), (status))",
     "entity_neighbours": REL + " SELECT subject AS entity, 'out' AS direction, count(*) AS n FROM r GROUP BY subject UNION ALL SELECT object, 'in', count(*) FROM r GROUP BY object",
@@ -324,7 +341,7 @@ SELECT b.p_brand AS value, CASE WHEN a.s = 0 THEN a.id ELSE coalesce(e.id, a.id)
     "orphan_check": REL + " SELECT subject, 'subject' AS missing, count(*) AS n FROM r WHERE split_part(subject, '#', 2)::INT % 5 = 0 GROUP BY subject UNION ALL SELECT subject, 'object', count(*) FROM r JOIN supplier ON s_name = object WHERE s_suppkey % 9 = 0 GROUP BY subject",
     "search_entities": ENT + " SELECT id, (k / 100)::DOUBLE AS confidence FROM e WHERE len(list_filter(string_split(norm, ' '), lambda t: contains(t, '1'))) > 0 AND len(list_filter(string_split(norm, ' '), lambda t: contains(t, 'brand'))) > 0 ORDER BY confidence DESC, canonical LIMIT 10",
     "parse_alias_dictionary": "SELECT DISTINCT * FROM (SELECT lower(c_name) AS alias, c_mktsegment AS canon FROM customer UNION ALL SELECT c_mktsegment, c_mktsegment FROM customer UNION ALL SELECT c_name, c_name FROM customer)",
-    "dictionary_fuzzy": f"""WITH n AS (SELECT DISTINCT p_name AS canon FROM part), e AS (SELECT alias, min(canon) AS canon FROM (SELECT substring(canon, 2) AS alias, canon FROM n UNION ALL SELECT split_part(canon, ' ', 1), canon FROM n) WHERE length(alias) > 6 GROUP BY alias),
+    "dictionary_fuzzy": f"""WITH n AS (SELECT DISTINCT p_name AS canon FROM part), e AS (SELECT alias, min(canon) AS canon FROM (SELECT substring(canon, 2) AS alias, canon FROM n UNION ALL SELECT split_part(canon, ' ', 1), canon FROM n) GROUP BY alias),
 v AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END AS value FROM part),
 x AS (SELECT value, alias, contains({clean_duck('value')}, {clean_duck('alias')}) AS exact, 1.0::DOUBLE - levenshtein({compact_duck('value')}, {compact_duck('alias')}) / greatest(length({compact_duck('value')}), length({compact_duck('alias')})) AS s FROM v, e)
 SELECT * FROM (SELECT value, alias, CASE WHEN exact THEN 1.0 ELSE round(s, 3) END AS score, exact, row_number() OVER (PARTITION BY value ORDER BY exact DESC, CASE WHEN exact THEN 1.0 ELSE round(s, 3) END DESC, length(alias), alias) AS rank FROM x WHERE exact OR s >= 0.88) WHERE rank <= 3""",

@@ -27,7 +27,7 @@ FIELDS = ("marca", "producto", "contenido", "fabricante", "receta", "fps", "otro
 PRODUCTS_DUCK = PRODUCTS.replace("AS STRING", "AS VARCHAR")
 #: Captured fields as rows; only fields that are set are captured, and `otro` only where it has a value.
 LONG_DUCK = "SELECT product_id, cat, field, value FROM (" + " UNION ALL ".join(f"SELECT product_id, cat, '{f}' AS field, {f} AS value FROM p" for f in FIELDS) + ") WHERE value <> ''"
-FOLD_DUCK = "lower(translate(coalesce({0}, ''), 'áàâäãåÁÀÂÄÃÅéèêëÉÈÊËíìîïÍÌÎÏóòôöõÓÒÔÖÕúùûüÚÙÛÜñÑçÇýÿÝ', 'aaaaaaAAAAAAeeeeEEEEiiiiIIIIoooooOOOOOuuuuUUUUnNcCyyY'))"
+FOLD_DUCK = "lower(strip_accents(coalesce({0}, '')))"
 
 
 def clean_duck(c: str) -> str:
