@@ -8,6 +8,10 @@ from catalogspark.functions.session import shared_dir
 from catalogspark.streaming import jobs
 
 
+#: How late an event may be; state of older ones is dropped.
+LATE = "2 days"
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream; the glob stands for one file as well as for a folder."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -36,11 +40,11 @@ def stream_approval_state(spark, d):
 
 def stream_evidence_counts(spark, d):
     e = _events(spark, d).select(F.col("user_id").alias("target"), F.col("action").alias("kind"), "event_id", "ts")
-    return _last(jobs.evidence_stream(e, ["target"], "event_id", "ts", "3650 days"), ["target", "kind"])
+    return _last(jobs.evidence_stream(e, ["target"], "event_id", "ts", LATE), ["target", "kind"])
 
 
 def stream_hourly_actions(spark, d):
-    return _last(jobs.windowed_counts(_events(spark, d), "ts", F.col("action"), "1 hour", "3650 days"), ["start", "key"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _last(jobs.windowed_counts(_events(spark, d), "ts", F.col("action"), "1 hour", LATE), ["start", "key"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 QUERIES = {f.__name__: f for f in (stream_approval_state, stream_evidence_counts, stream_hourly_actions)}
