@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return
 the columns of `documents`; the last returns pieces of sequences with their token ids.
+
+Defined cases: null, empty and short texts fail the quality rules and go there, so the later stages see none of them, but
+would keep them; null doc_id, lang and source are values of their own; repeated rows are near copies of each other and
+one stays; a text of any length is treated whole; no rows give no rows; extra columns pass through up to the mixture, under
+any names, since a document's columns travel in a struct.
 """
 
 from pyspark.sql import DataFrame, SparkSession
