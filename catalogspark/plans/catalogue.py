@@ -172,11 +172,11 @@ def work_bucket(spark, d):
 
 
 #: Declared speciality of a product; a third declares none.
-SPECIALTY = F.expr("CASE product_id % 3 WHEN 0 THEN 'si' WHEN 1 THEN 'no' END")
+SPECIALTY = "CASE product_id % 3 WHEN 0 THEN 'si' WHEN 1 THEN 'no' END"
 
 
 def complement_eligible(spark, d):
-    return products(spark, d).select("product_id", relations.complement_eligible(F.col("cat"), F.col("receta"), SPECIALTY).alias("eligible"))
+    return products(spark, d).select("product_id", relations.complement_eligible(F.col("cat"), F.col("receta"), F.expr(SPECIALTY)).alias("eligible"))
 
 
 def last_wins_export(spark, d):

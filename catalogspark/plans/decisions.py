@@ -59,7 +59,7 @@ def _links(spark, d):
 
 def _entries(spark, d):
     state = F.when(F.col("product_id") % 4 == 0, "esperando").when(F.col("product_id") % 4 == 1, "vinculado").otherwise("independiente")
-    eligible = complement_eligible(F.col("cat"), F.col("receta"), SPECIALTY)
+    eligible = complement_eligible(F.col("cat"), F.col("receta"), F.expr(SPECIALTY))
     return products(spark, d).select(F.col("product_id").alias("sku"), "cat", "title", eligible.alias("eligible"), state.alias("state"), (F.col("fabricante") != "").alias("parent"))
 
 
