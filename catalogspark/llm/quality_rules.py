@@ -124,12 +124,12 @@ def keep_passing(docs: DataFrame, policy: str = PRODUCTION, text: str = "text")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger and production verdict of every document, and how many documents are rejected by its one failed rule alone (null: kept, or several failed)."""
+    """Ledger and production verdict of every document, and how many documents are rejected by its one failed rule alone (0: kept, or several failed)."""
     base = F.col("fail_bits").bitwiseAND(F.lit(mask_of(BASE)).cast("long")) != 0
     out = written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "ledger")
     alone = F.broadcast(ablations(out).filter("n_only_this > 0").select(F.col("bit").alias("fail_bits"), F.col("n_only_this").alias("n_only_this_rule")))  # a row for each rule
     out = out.join(alone, "fail_bits", "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes().alias("kept"), "fail_bits", "n_only_this_rule")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes().alias("kept"), "fail_bits", F.coalesce("n_only_this_rule", F.lit(0)).alias("n_only_this_rule"))
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}
@@ -149,6 +149,6 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\
 b AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (2 * n_symbols > n_words)::INT
       + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 25 * n_words)::INT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits,
-      CASE WHEN bit_count(fail_bits) = 1 THEN count(*) OVER (PARTITION BY fail_bits) END AS n_only_this_rule FROM b
+      CASE WHEN bit_count(fail_bits) = 1 THEN count(*) OVER (PARTITION BY fail_bits) ELSE 0 END AS n_only_this_rule FROM b
 """
 }
