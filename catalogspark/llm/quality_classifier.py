@@ -1,17 +1,20 @@
 """Quality classifier by co-training of two views.
 
 View one is the text: which words it has (hashed) and a few measures of its characters. View two is metadata: language,
-source and length. Each view has a logistic model. In every round each model labels the pool documents it is surest of,
-and the other model learns from them. The views are then calibrated on labelled rows that neither learnt from, and the
-calibrated odds are combined with weights found on the same rows.
+source and length. Each view has a logistic model, fitted on labelled rows and calibrated on others. In every round each
+view judges all documents outside the labelled sample, and those whose odds it moves from the prior by `Fit.sure` or more
+become pseudo-labelled documents of the other view: their features are counted by class over the whole corpus, and the
+mean log ratio of a document's features in these counts is one more feature of that view, whose weight is fitted on the
+labelled rows. The calibrated odds of both views are combined with weights found on the rows that calibrate.
 
-Fitting uses bounded samples (`Fit.labelled` labelled rows and `Fit.pool` rows without label, the first by md5 of seed
-and key); their sparse features are all that reaches the driver. Scoring reads every document whole. The models are
-2^18 weights whatever the input, so broadcasting them is bounded.
+Only the labelled rows are a bounded sample (`Fit.labelled`, the first by md5 of seed and key); their sparse features,
+and 2 * 2^18 counts a view and round, are all that reaches the driver. Counts and scores read every document whole. A
+model is 2^19 numbers a view whatever the input, so broadcasting it is bounded.
 
 A good document has quality 1 and is not toxic. Labels of a key that has several are averaged; null labels are left out.
 
-Defined cases: null and empty texts have no words; null metadata are values of their own; repeated rows are scored each;
+Defined cases: null and empty texts have no words; null metadata are values of their own; repeated rows are scored each,
+and each counts where it is pseudo-labelled; very long texts are read in blocks; equal odds get equal pseudo-labels;
 without labels (or with labels of one class only) every score is the prior (0.5 without labels); no rows give no rows;
 results are added to the key alone, so other columns cannot clash.
 """
@@ -37,24 +40,40 @@ class Fit:
     """Bounds and settings of fitting."""
 
     labelled: int = 5000
-    pool: int = 3000
-    rounds: int = 4
-    share: float = 0.05  # of the pool, labelled by each view in a round
+    rounds: int = 3
+    sure: float = 3.0  # how many times likelier than by the prior a class must be for a pseudo-label
     steps: int = 120
     l2: float = 1e-3
     least_docs: int = 3
     seed: int = 5
 
 
+@dataclass
+class View:
+    """Model of one view; `line` calibrates its odds."""
+
+    weights: np.ndarray  # of SLOTS features, then of the dense ones, then of the mean evidence
+    evidence: np.ndarray  # log ratio of each feature in pseudo-labelled documents
+    line: np.ndarray
+
+    def odds(self, slots: np.ndarray, at: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Calibrated odds of rows whose features are slots[at[i] : at[i + 1]] and dense[i]."""
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        sums = lambda by: np.bincount(row, weights=by[slots], minlength=len(n))
+        mean = sums(self.evidence) / np.maximum(n, 1)
+        raw = sums(self.weights[:SLOTS]) + np.column_stack([dense, mean]) @ self.weights[SLOTS:]
+        return self.line[0] * raw + self.line[1]
+
+
 @dataclass
 class Model:
-    """Weights of both views, slope and offset of their calibration, and how the calibrated odds are combined."""
+    """Both views, how their calibrated odds are combined, and the odds of the prior."""
 
-    text: np.ndarray
-    meta: np.ndarray
-    text_line: np.ndarray
-    meta_line: np.ndarray
+    text: View
+    meta: View
     both: np.ndarray
+    prior: float
 
 
 def measures(data: np.ndarray, offsets: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -149,38 +168,37 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, fold: np.ndarray, fit: Fit) -> Model:
-    """y: 1, 0, or -1 for pool rows; fold: labelled rows that only calibrate."""
-    labels = [y.astype(float), y.astype(float)]
-    weights = [np.where((y >= 0) & ~fold, 1.0, 0.0) for _ in range(2)]
-    views = [text.common(fit.least_docs), meta.common(1)]
-    known = y >= 0
-    prior = float(y[known].mean()) if known.any() else 0.5
-    free = [~known, ~known]
-    solved = None
-    for _ in range(fit.rounds + 1):
-        solved = [logistic(x, np.maximum(l, 0), w, fit) for x, l, w in zip(views, labels, weights, strict=True)]
-        odds = [x.dot(*s) for x, s in zip(views, solved, strict=True)]
-        quota = int(fit.share * (~known).sum())
-        for i in (0, 1):
-            other = 1 - i
-            open_ = np.flatnonzero(free[other])
-            for value, k, order in ((1.0, round(quota * prior), -odds[i][open_]), (0.0, quota - round(quota * prior), odds[i][open_])):
-                some = open_[np.argsort(order, kind="stable")[:k]]
-                some = some[sigmoid(odds[i][some] * (1 if value else -1)) > 0.9]  # only what the view is sure of
-                labels[other][some], weights[other][some], free[other][some] = value, 0.3, False
-    odds = [x.dot(*s) for x, s in zip(views, solved, strict=True)]
-    hold = fold & known
-    lines, both = [np.array([1.0, 0.0])] * 2, np.array([1.0, 1.0, -np.log(prior / (1 - prior))])
-    if len(np.unique(y[hold])) == 2:
-        lines = [calibrated(o[hold][:, None], y[hold]) for o in odds]
-        both = calibrated(np.column_stack([line[0] * o[hold] + line[1] for line, o in zip(lines, odds, strict=True)]), y[hold])
-    full = []
-    for x, (w, v) in zip(views, solved, strict=True):
+def ratios(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Log ratio of features in good and bad pseudo-labelled documents; 0 without documents of either class.
+
+    Entries 0 to SLOTS - 1 count documents with the feature, the last one all documents of the class."""
+    if not good[-1] or not bad[-1]:
+        return np.zeros(SLOTS)
+    return np.log((good[:-1] + 1) / (good[-1] + 2)) - np.log((bad[:-1] + 1) / (bad[-1] + 2))
+
+
+def learnt(text: Rows, meta: Rows, y: np.ndarray, fold: np.ndarray, evidence: list[np.ndarray], fit: Fit) -> Model:
+    """Views fitted on labelled rows outside the fold, calibrated and combined on those in it."""
+    prior = float(y.mean())
+    hold = fold if len(np.unique(y[fold])) == 2 else np.zeros(len(y), bool)
+    train = ~hold
+    views, odds = [], []
+    for rows, least, logs in ((text, fit.least_docs, evidence[0]), (meta, 1, evidence[1])):
+        mean = np.bincount(rows.row, weights=logs[rows.slot], minlength=rows.n) / np.maximum(np.bincount(rows.row, minlength=rows.n), 1)
+        x = rows.common(least)
+        x.dense = np.column_stack([x.dense, mean])
+        w, v = logistic(x, y.astype(float), train.astype(float), fit)
+        raw, line = x.dot(w, v), np.array([1.0, 0.0])
+        if hold.any():
+            line = calibrated(raw[hold][:, None], y[hold])
         whole = np.zeros(SLOTS + len(v))
         whole[x.kept], whole[SLOTS:] = w, v
-        full.append(whole)
-    return Model(full[0], full[1], lines[0], lines[1], both)
+        views.append(View(whole, logs, line))
+        odds.append(line[0] * raw + line[1])
+    both = np.array([1.0, 1.0, -np.log(prior / (1 - prior))])
+    if hold.any():
+        both = calibrated(np.column_stack(odds)[hold], y[hold])
+    return Model(views[0], views[1], both, float(np.log(prior / (1 - prior))))
 
 
 def narrowed(labels: DataFrame, key: str) -> DataFrame:
@@ -189,38 +207,83 @@ def narrowed(labels: DataFrame, key: str) -> DataFrame:
     return known.groupBy(F.col(key).alias("key")).agg((F.avg(good.cast("int")) >= 0.5).cast("int").alias("y"))
 
 
+def columns(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """What both views read, under names of their own."""
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def viewed(batch: pa.RecordBatch) -> Iterator[tuple[tuple, tuple]]:
+    """(slots, at, dense) of the text and of the metadata, for blocks of a batch's rows in order."""
+    meta = meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+    a = 0
+    for slot, at, dense in text_features(batch.column("text")):
+        n = len(at) - 1
+        yield (slot, at, dense), (meta[a : a + n].ravel(), np.arange(n + 1) * 3, np.ones((n, 1)))
+        a += n
+
+
+def exchanged(rows: DataFrame, some: DataFrame, model: Model, fit: Fit) -> list[np.ndarray]:
+    """Evidence of both views: each from all documents outside the sample that the other one is sure of."""
+    spark = rows.sparkSession
+    shared, gap = spark.sparkContext.broadcast(model), float(np.log(fit.sure))
+    # at most `labelled` keys; a null key is in no sample
+    pool = rows.join(F.broadcast(some.select("key")), "key", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        counts = np.zeros((2, 2, SLOTS + 1), np.int64)
+        for batch in batches:
+            for views in viewed(batch):
+                odds = [view.odds(*x) for view, x in zip((m.text, m.meta), views, strict=True)]
+                for learner, (slots, at, _) in enumerate(views):
+                    moved = odds[1 - learner] - m.prior
+                    for label, chosen in enumerate((moved <= -gap, moved >= gap)):
+                        counts[learner, label, :SLOTS] += np.bincount(slots[np.repeat(chosen, np.diff(at))], minlength=SLOTS)
+                        counts[learner, label, SLOTS] += chosen.sum()
+        for learner in range(2):
+            slot = np.flatnonzero(counts[learner].any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), learner, np.int32)), pa.array(slot.astype(np.int32)), *(pa.array(counts[learner, label, slot]) for label in range(2))], ["learner", "slot", "bad", "good"])
+
+    found = pool.mapInArrow(run, "learner int, slot int, bad long, good long").groupBy("learner", "slot").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    total = np.zeros((2, 2, SLOTS + 1), np.int64)
+    for label, name in enumerate(("bad", "good")):
+        total[found["learner"].to_numpy(), label, found["slot"].to_numpy()] = found[name].to_numpy()
+    return [ratios(t[1], t[0]) for t in total]
+
+
 def fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, fit: Fit) -> Model | None:
-    """Model from bounded samples; None without labels of both classes."""
+    """Model from a bounded sample of labelled rows and all others; None without labels of both classes."""
     known = narrowed(labels, key)
     rank = lambda c: F.md5(F.concat_ws("|", F.lit(str(fit.seed)), F.col(c).cast("string")))
-    keys = docs.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
-    some = keys.join(known, "key").orderBy(rank("key")).limit(fit.labelled)
-    pool = keys.join(known, "key", "left_anti").orderBy(rank("key")).limit(fit.pool).withColumn("y", F.lit(-1))
-    chosen = F.broadcast(some.unionByName(pool))  # at most labelled + pool rows
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(chosen, "key")
-    rows = rows.groupBy("key").agg(*(F.min_by(F.struct("y", "text", "lang", "source", "n_chars"), F.struct(F.xxhash64("text"), "lang", "source", "n_chars")).alias("row"),)).select("key", "row.*")  # one row a key
+    every = columns(docs, key, text)
+    some = every.select("key").filter("key IS NOT NULL").distinct().join(known, "key").orderBy(rank("key")).limit(fit.labelled)
+    rows = every.join(F.broadcast(some), "key")  # at most `labelled` rows
+    rows = rows.groupBy("key").agg(F.min_by(F.struct("y", "text", "lang", "source", "n_chars"), F.struct(F.xxhash64("text"), "lang", "source", "n_chars")).alias("row")).select("key", "row.*")  # one row a key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots, dense = [], []
-            for slot, at, d in text_features(batch.column("text")):
+            slots, dense, meta = [], [], []
+            for (slot, at, d), (m, _, _) in viewed(batch):
                 slots += [slot[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
                 dense += list(d)
-            meta = meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+                meta += list(m.reshape(-1, 3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rank"), batch.column("y"), pa.array(slots, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.int64()))],
+                [batch.column("rank"), batch.column("y"), pa.array(slots, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int64()))],
                 ["rank", "y", "slots", "dense", "meta"],
             )
 
     found = rows.withColumn("rank", rank("key")).select("rank", "y", "text", "lang", "source", "n_chars").mapInArrow(run, "rank string, y int, slots array<long>, dense array<double>, meta array<long>").toArrow().sort_by("rank")
     y = found["y"].to_numpy()
-    if len(np.unique(y[y >= 0])) < 2:
+    if len(np.unique(y)) < 2:
         return None
-    slots = [s.values.to_numpy() for s in found["slots"]]
-    dense = np.stack([d.values.to_numpy() for d in found["dense"]])
-    meta = [m.values.to_numpy() for m in found["meta"]]
+    of_text = Rows([s.values.to_numpy() for s in found["slots"]], np.stack([d.values.to_numpy() for d in found["dense"]]))
+    of_meta = Rows([m.values.to_numpy() for m in found["meta"]], np.ones((len(y), 1)))
     fold = np.array([int(r[-8:], 16) % 5 == 0 for r in found["rank"].to_pylist()])  # far from the leading digits that choose rows
-    return co_train(Rows(slots, dense), Rows(meta, np.ones((len(y), 1))), y, fold & (y >= 0), fit)
+    evidence = [np.zeros(SLOTS)] * 2
+    model = learnt(of_text, of_meta, y, fold, evidence, fit)
+    for _ in range(fit.rounds):
+        model = learnt(of_text, of_meta, y, fold, exchanged(every, some, model, fit), fit)
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit: Fit | None = None, threshold: float = 0.5) -> DataFrame:
@@ -232,24 +295,20 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         known = narrowed(labels, key).agg(F.avg("y")).first()[0]
         prior = float(np.clip(0.5 if known is None else known, 1e-6, 1 - 1e-6))
         flat = np.array([0.0, np.log(prior / (1 - prior))])
-        model = Model(np.zeros(SLOTS + DENSE), np.zeros(SLOTS + 1), flat, flat, np.array([0.5, 0.5, 0.0]))
+        views = [View(np.zeros(SLOTS + n + 1), np.zeros(SLOTS), flat) for n in (DENSE, 1)]
+        model = Model(*views, np.array([0.5, 0.5, 0.0]), float(flat[1]))
     shared = spark.sparkContext.broadcast(model)
-    kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
+    rows = columns(docs, key, text)
+    kind = dict(rows.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for batch in batches:
-            found = []
-            for slot, at, dense in text_features(batch.column("text")):
-                sums = np.concatenate([[0.0], np.cumsum(m.text[slot])])
-                found.append(np.diff(sums[at]) + dense @ m.text[SLOTS:])
-            text_odds = np.concatenate(found) if found else np.zeros(0)
-            meta_odds = m.meta[meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))].sum(1) + m.meta[SLOTS]
-            a, b = (line[0] * o + line[1] for line, o in ((m.text_line, text_odds), (m.meta_line, meta_odds)))
+            odds = [(m.text.odds(*t), m.meta.odds(*x)) for t, x in viewed(batch)]
+            a, b = (np.concatenate([o[i] for o in odds]) if odds else np.zeros(0) for i in (0, 1))
             both = m.both[0] * a + m.both[1] * b + m.both[2]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(np.round(sigmoid(x), 9)) for x in (a, b, both))], ["key", "text_score", "meta_score", "score"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     out = rows.mapInArrow(run, f"key {kind}, text_score double, meta_score double, score double")
     return out.withColumn("kept", F.col("score") >= threshold).withColumnRenamed("key", key)
 

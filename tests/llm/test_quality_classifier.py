@@ -54,3 +54,60 @@ def test_odd_rows(spark):
     one = spark.createDataFrame([(1, 1, 0), (1, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert len(qc.scored(docs, one).collect()) == 3
     assert qc.scored(docs.limit(0), one).count() == 0
+
+
+def test_exchange_counts_all_documents_outside_the_sample(spark, tmp_path):
+    """Evidence equals that of a plain loop over the documents, however they are partitioned."""
+    tables(spark, tmp_path, seed=3, n=300)
+    docs, labels = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.filter("doc_id % 10 = 1")).unionByName(spark.createDataFrame([(None, None, None, None, None), (9001, "", "en", "clean", 0)], docs.schema))
+    fit = qc.Fit(labelled=80, rounds=1)
+    model = qc.fitted(docs, labels, "doc_id", "text", fit)
+    rows = qc.columns(docs, "doc_id", "text")
+    some = labels.select(qc.F.col("doc_id").alias("key")).limit(40)
+    got = qc.exchanged(rows.repartition(5), some, model, fit)
+    left_out = {r.key for r in some.collect()}
+    counts = np.zeros((2, 2, qc.SLOTS + 1))
+    for r in rows.collect():
+        if r.key in left_out:
+            continue
+        (slots, at, dense), = qc.text_features(qc.pa.array([r.text], qc.pa.string()))
+        meta = qc.meta_features([r.lang], [r.source], [r.n_chars])[0]
+        odds = [model.text.odds(slots, at, dense)[0], model.meta.odds(meta, np.array([0, 3]), np.ones((1, 1)))[0]]
+        for learner, mine in enumerate((slots, meta)):
+            moved = odds[1 - learner] - model.prior
+            if abs(moved) >= np.log(fit.sure):
+                np.add.at(counts[learner, int(moved > 0)], mine, 1)
+                counts[learner, int(moved > 0), -1] += 1
+    assert counts[0].sum() and counts[1].sum()
+    for mine, c in zip(got, counts, strict=True):
+        assert np.allclose(mine, qc.ratios(c[1], c[0]))
+
+
+def test_exchange_teaches_words_too_rare_among_labelled_rows(spark):
+    """Each of 400 telling words is in one labelled row or two, but in many documents whose metadata tell their class."""
+    rng = np.random.default_rng(4)
+    docs, labels = [], []
+    for i in range(2400):
+        bad = i % 3 == 0
+        words = [*rng.choice([f"w{k}" for k in range(80)], 12), *(f"{'vile' if bad else 'fine'}{k}" for k in rng.integers(0, 200, 3))]
+        docs.append((i, " ".join(words), "en", "dirty" if bad else "clean", 100))
+        if i < 200:
+            labels.append((i, int(not bad), 0))
+    data = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ids = np.arange(200, 2400)
+
+    def found(rounds):
+        got = {r.doc_id: r.text_score for r in qc.scored(data, known, fit=qc.Fit(rounds=rounds)).collect()}
+        return auc(np.array([got[i] for i in ids]) + ids * 1e-12, ids % 3 != 0)
+
+    assert found(2) > max(0.8, found(0) + 0.1)
+
+
+def test_clashing_names_and_a_long_text(spark):
+    docs = spark.createDataFrame([(i, ("good words " * (200000 if i == 1 else 5)) if i % 2 else "bad ### " * 5, "en", "s", 9) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: qc.F.lit("x") for c in ("key", "y", "rank", "row", "learner", "slot", "text_score", "kept")})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in qc.scored(docs, labels).collect()}
+    assert len(got) == 60 and min(got[i] for i in got if i % 2) > max(got[i] for i in got if i % 2 == 0)
