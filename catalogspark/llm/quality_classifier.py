@@ -260,6 +260,8 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, fit: Fit) ->
     rows = every.join(F.broadcast(some), "key")  # at most `labelled` rows
     rows = rows.groupBy("key").agg(F.min_by(F.struct("y", "text", "lang", "source", "n_chars"), F.struct(F.xxhash64("text"), "lang", "source", "n_chars")).alias("row")).select("key", "row.*")  # one row a key
 
+    kind = dict(every.dtypes)["key"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots, dense, meta = [], [], []
@@ -268,11 +270,11 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, fit: Fit) ->
                 dense += list(d)
                 meta += list(m.reshape(-1, 3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rank"), batch.column("y"), pa.array(slots, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int64()))],
-                ["rank", "y", "slots", "dense", "meta"],
+                [batch.column("key"), batch.column("rank"), batch.column("y"), pa.array(slots, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int64()))],
+                ["key", "rank", "y", "slots", "dense", "meta"],
             )
 
-    found = rows.withColumn("rank", rank("key")).select("rank", "y", "text", "lang", "source", "n_chars").mapInArrow(run, "rank string, y int, slots array<long>, dense array<double>, meta array<long>").toArrow().sort_by("rank")
+    found = rows.withColumn("rank", rank("key")).select("key", "rank", "y", "text", "lang", "source", "n_chars").mapInArrow(run, f"key {kind}, rank string, y int, slots array<long>, dense array<double>, meta array<long>").toArrow().sort_by("rank")
     y = found["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return None
@@ -280,6 +282,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, fit: Fit) ->
     of_meta = Rows([m.values.to_numpy() for m in found["meta"]], np.ones((len(y), 1)))
     fold = np.array([int(r[-8:], 16) % 5 == 0 for r in found["rank"].to_pylist()])  # far from the leading digits that choose rows
     evidence = [np.zeros(SLOTS)] * 2
+    some = docs.sparkSession.createDataFrame(found.select(["key"]), f"key {kind}")  # the chosen keys, so that no round chooses them again
     model = learnt(of_text, of_meta, y, fold, evidence, fit)
     for _ in range(fit.rounds):
         model = learnt(of_text, of_meta, y, fold, exchanged(every, some, model, fit), fit)
