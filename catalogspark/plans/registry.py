@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from catalogspark.plans import catalogue, decisions, editing, records, streams
+from catalogspark.plans import catalogue, decisions, derived, editing, records, streams
 
-MODULES = (catalogue, records, editing, decisions, streams)
+MODULES = (catalogue, records, editing, decisions, derived, streams)
 
 
 def queries() -> dict[str, Callable]:
