@@ -42,11 +42,15 @@ def row_named(df: DataFrame, *columns: Column) -> DataFrame:
     after executors are lost. A DataFrame that is not read from Parquet is written to the shared folder first. Columns
     of df cannot clash with `rid`, since only the given ones are taken.
     """
-    rid = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("rid")
+
+    def named(rows: DataFrame) -> DataFrame:
+        place = rows.metadataColumn("_metadata")  # the file's, even where a column of rows has this name
+        return rows.select(F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row")).alias("rid"), *columns)
+
     try:
-        return df.select(rid, *columns)
+        return named(df)
     except AnalysisException:
-        return written(df, "rows").select(rid, *columns)
+        return named(written(df, "rows"))
 
 
 def ship_package(spark: SparkSession) -> None:
