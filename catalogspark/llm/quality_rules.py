@@ -5,7 +5,7 @@ when rule r failed. A policy is a named mask over the bits, so a new version of
 costs, never measures a text again: verdicts are `fail_bits & mask = 0` and ablations are bitwise aggregates.
 
 Defined cases: a null or empty text has no words and fails rule `few_words`; a null doc_id stays null; repeated rows
-are judged each; no rows give no rows; only the key, the text and
+are judged each; texts of any length are measured whole; no rows give no rows; only the key, the text and
 the columns in `keep` are selected, so other columns of the input cannot clash with the measurements.
 """
 

@@ -69,3 +69,18 @@ def test_long_segments_and_many_rules_by_join(spark):
     assert time.perf_counter() - began < 20
     assert by_trie == sorted(map(tuple, u.judge(pages, rules, max_broadcast_rules=1).select("url", "rule", "verdict").collect()), key=str)
     assert {r[1] for r in by_trie} == {None, "com/en/", "example.com/en/7", "a.example.com", "net/x/y/zz", "com/en/a"}
+
+
+@pytest.mark.parametrize("bound", [10, 1])
+def test_columns_of_any_name_come_through(spark, bound):
+    names = ["page_id", "link", "_url", "_match", "row", "match", "best", "a.b", "verdict"]
+    pages = spark.createDataFrame([(1, "http://com/en/1", "u", "m", "r", "x", "y", "dot", "old"), (1, "http://com/en/1", "u", "m", "r", "x", "y", "dot", "old")], names)
+    got = u.judge(pages, u.RULES, url="link", max_broadcast_rules=bound)
+    assert got.columns == [*names[:-1], "host", "path", "rule", "verdict"]
+    assert [tuple(r) for r in got.collect()] == [(1, "http://com/en/1", "u", "m", "r", "x", "y", "dot", "com", "/en/1", "com/en/", "block")] * 2
+
+
+def test_very_long_texts_are_judged_whole(spark):
+    rows = [(1, "w " * 300_000), (2, " ".join(f"w{i}" for i in range(200_000)) + " #"), (3, "x" * 1_000_000)]
+    got = {r.doc_id: r for r in q.ledger(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[2].n_words, got[2].n_symbols, got[2].n_repeat_words, got[3].word_chars) == (300_000, 300_000, 200_001, 1, 0, 1_000_000)
