@@ -3,7 +3,7 @@
 import importlib
 from collections.abc import Callable
 
-MODULES = ("token_counts", "quality_classifier", "media_columns", "context_tree", "suffix_dedup", "packing", "ngram_join", "quality_rules", "url_filters", "mixing")
+MODULES = ("token_counts", "quality_classifier", "media_columns", "context_tree", "suffix_dedup", "packing", "ngram_join", "quality_rules", "url_filters", "mixing", "filter_audit", "two_tier_bpe", "vector_codes")
 
 
 def _modules():
