@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalogspark.functions import text as T
+from catalogspark.operators import extraction
 
 
 def crosssell(links: DataFrame, entries: DataFrame) -> DataFrame:
@@ -48,16 +48,19 @@ def link_candidates(entries: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("sku", (F.col("all_waiting") - F.col("l_waiting") - own("esperando")).alias("waiting"), (F.col("all_others") - F.col("l_others") - own("vinculado")).alias("others"))
 
 
-def contained(rows: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int = 6) -> DataFrame:
-    """(key, alias, canon, rank) of the aliases (alias, canon) that a text holds as whole words, longest first.
+def contained(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+    """(key, alias, canon, rank, at, size) of the aliases (alias, canon) that a text holds as whole words.
 
-    Runs of at most `longest` words (the longest alias has no more) meet folded aliases by equality; the boundary is then
-    verified on the folded text, so that blanks in an alias stand for any white space and other signs for themselves.
+    Longer aliases go first and use up the text they stand on, so an alias inside a longer one is not found there. Blanks in
+    an alias stand for any white space, other signs for themselves; an alias may have any number of words. at and size are
+    characters of the text in one line; an alias that stands twice has its first place.
     """
-    words = F.filter(F.split(T.clean(F.col(text)), " "), lambda w: w != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, n)))).otherwise(F.array().cast("array<string>"))))
-    known = dictionary.select(F.col("alias"), F.col("canon"), T.clean(F.col("alias")).alias("run")).filter("run <> ''")
-    met = rows.select(key, T.fold(F.col(text)).alias("folded"), F.explode(F.array_distinct(runs)).alias("run")).join(known, "run")
-    quoted = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.replace(F.regexp_replace(T.fold(F.col("alias")), r"\s+", " "), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E(?![a-z0-9_])"))
-    w = Window.partitionBy(key).orderBy(F.desc(F.length("alias")), "alias", "canon")
-    return met.filter(F.regexp_like("folded", quoted)).select(key, "alias", "canon").distinct().withColumn("rank", F.row_number().over(w))
+    entries = dictionary.select("alias", "canon").distinct().select(F.lit("ingredient").alias("kind"), "alias", "canon", F.lit(0).cast("long").alias("seq"))
+    texts = rows.select(key, extraction.flat(extraction.one_line(F.col(text))).alias("flat"))
+    found = extraction.dictionary_candidates(texts, key, entries)
+    hits = found.select(key, extraction.use_aliases(F.col("flat"), F.col("flat"), F.col("aliases")).alias("u")).select(key, F.posexplode("u.hits").alias("n", "h"))
+    first = hits.groupBy(key, "h.alias", "h.canon").agg(F.min(F.struct("n", "h.at", "h.size")).alias("f"))
+    own = entries.select(extraction.flat(F.trim("alias")).alias("alias"), "canon", F.col("alias").alias("spelled"))
+    named = first.join(own, ["alias", "canon"])  # as the dictionary spells it
+    w = Window.partitionBy(key).orderBy("f.n", "spelled")
+    return named.select(key, F.col("spelled").alias("alias"), "canon", F.row_number().over(w).alias("rank"), F.col("f.at").alias("at"), F.col("f.size").alias("size"))

@@ -89,23 +89,34 @@ def clean_links(links: DataFrame, entries: DataFrame) -> DataFrame:
     return out.select("p", "c").distinct()
 
 
+#: Zone words up to which all sets of a row's words are counted.
+FEW_WORDS = 6
+
+
 def routine_mates(rows: DataFrame, key: str, step: str, zone: str) -> DataFrame:
     """(key, mates): how many rows are of another step and share a zone word, or lack a zone on either side.
 
-    Rows are counted in classes of equal words and step, and words by inclusion-exclusion: those that share a word are the
-    sum over sets of words of +- those that have the whole set. Pairs of rows are never made. Rows without step have none.
+    Rows are counted in classes of equal words and step. Classes of at most FEW_WORDS words meet by inclusion-exclusion: those
+    that share a word are the sum over sets of words of +- those that have the whole set, at most 2 ** FEW_WORDS - 1 sets
+    a class. A class of more words meets others on its words, each other class once. Pairs of rows are never made. Rows
+    without step have none.
     """
     words = F.array_sort(F.array_distinct(F.filter(F.split(T.fold(F.col(zone)), "[^a-z]+"), lambda w: F.length(w) > 3)))
     each = rows.select(F.col(key), F.nullif(F.col(step).cast("string"), F.lit("")).alias("_step"), (F.coalesce(F.col(zone), F.lit("")) == "").alias("_bare"), words.alias("_words"))
     classes = each.filter("_step IS NOT NULL").groupBy("_step", "_bare", "_words").agg(F.count("*").alias("n"))
     # names: '' stands for every row, '-' for rows without zone, else sorted words
     subsets = F.transform(F.expr("sequence(1L, shiftleft(1L, size(_words)) - 1)"), lambda m: F.struct(F.array_join(F.filter("_words", lambda w, i: F.getbit(m, i) == 1), " ").alias("name"), F.when(F.bit_count(m) % 2 == 1, 1).otherwise(-1).alias("sign")))
-    subsets = F.when(F.size("_words") > 0, subsets).otherwise(F.array().cast("array<struct<name:string,sign:int>>"))
+    subsets = F.when(F.size("_words").between(1, FEW_WORDS), subsets).otherwise(F.array().cast("array<struct<name:string,sign:int>>"))
     named = lambda *x: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).cast("int").alias("sign")) if isinstance(w, int) else F.struct(F.lit(n).alias("name"), w.cast("int").alias("sign")) for n, w in x])
     held = F.concat(F.transform(subsets, lambda s: F.struct(s["name"].alias("name"), F.lit(1).alias("sign"))), named(("", 1), ("-", F.col("_bare"))))
     by = classes.select("_step", "n", F.explode(held).alias("s")).groupBy("s.name", "_step").agg(F.sum(F.col("n") * F.col("s.sign")).alias("n"))
     other = by.select("name", "_step", (F.sum("n").over(Window.partitionBy("name")) - F.col("n")).alias("other"))
     asked = F.when(F.col("_bare"), named(("", 1))).otherwise(F.concat(subsets, named(("-", 1))))
     asks = classes.select("_step", "_bare", "_words", F.explode(asked).alias("s")).select("_step", "_bare", "_words", "s.*")
-    mates = asks.join(other, ["name", "_step"]).groupBy("_step", "_bare", "_words").agg(F.sum(F.col("sign") * F.col("other")).alias("mates"))
+    counted = asks.join(other, ["name", "_step"]).select("_step", "_bare", "_words", (F.col("sign") * F.col("other")).alias("mates"))
+    wide = classes.filter(F.size("_words") > FEW_WORDS).select(F.col("_step").alias("w_step"), F.col("_words").alias("w_words"), F.col("n").alias("w_n"), F.explode("_words").alias("word"))
+    met = wide.join(classes.withColumn("word", F.explode("_words")), "word").filter("w_step <> _step").select("w_step", "w_words", "w_n", "_step", "_words", "n").distinct()
+    of_wide = met.select(F.col("w_step").alias("_step"), F.lit(False).alias("_bare"), F.col("w_words").alias("_words"), F.col("n").alias("mates"))
+    of_narrow = met.filter(F.size("_words") <= FEW_WORDS).select("_step", F.lit(False).alias("_bare"), "_words", F.col("w_n").alias("mates"))
+    mates = counted.unionByName(of_wide).unionByName(of_narrow).groupBy("_step", "_bare", "_words").agg(F.sum("mates").alias("mates"))
     return each.join(mates, ["_step", "_bare", "_words"], "left").select(key, F.coalesce("mates", F.lit(0)).cast("long").alias("mates"))

@@ -23,6 +23,11 @@ STORE_KINDS = (
     ("otc", r"medicament|analges|gastro|antigripal|antibiot|antiacid|alergia|digestiv"),
     ("hig", r"cuidado personal|higiene|bucal|cabello|panal|toalla|desodorante|bienestar"),
 )
+# Counted nouns that titles have in small letters.
+COUNTED = (
+    r"(?<![\p{L}\d-])(\d+)\s+(tabletas?|cápsulas?|capsulas?|piezas?|sobres?|comprimidos?|parches?|pastillas?|gomitas?|unidades|unidad|ampolletas?|plumas?|tiras|lancetas?|grageas?|sachets?|toallitas?|jeringas?|perlas?"
+    r"|softgels?|barras?|shots?|chicles?|porciones|viales?)(?![\p{L}])"
+)
 NAME_LIKE = ("producto", "modelo", "tipo", "componente")
 #: What Windows-1252 has in place of the control characters from 0x80 on, and their codes.
 LEGACY = {c: chr(b) for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
@@ -70,8 +75,14 @@ def word_count(c: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
+def small_nouns(c: Column) -> Column:
+    """Counted nouns in small letters: `28 CÁPSULAS` is `28 cápsulas`."""
+    pieces = F.split(F.regexp_replace(c, f"(?iu){COUNTED}", "$1 \u0002$2\u0003"), "[\u0002\u0003]")
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.lower(p)).otherwise(p)), "")
+
+
 def segment(text: Column, soft: bool = False) -> Column:
-    return F.struct(capital(F.trim(F.coalesce(text, F.lit("")))).alias("text"), F.lit(soft).alias("soft"))
+    return F.struct(small_nouns(capital(F.trim(F.coalesce(text, F.lit(""))))).alias("text"), F.lit(soft).alias("soft"))
 
 
 def title(segments: list[Column], limit: int = 70) -> Column:
@@ -116,10 +127,11 @@ def short_description(items: list[tuple[str, Column, bool]], most: int) -> Colum
     return F.aggregate(rows, start, step, lambda acc: F.struct(F.array_join(acc["texts"], " ").alias("text"), acc["words"].alias("words"), acc["dropped"].alias("dropped")))
 
 
-def spaced_units(c: Column) -> Column:
-    """Numbers and units with one blank between them, units as they are written, a decimal comma of one or two digits as a dot."""
+def spaced_units(c: Column, small_ml: bool = False) -> Column:
+    """Numbers and units with one blank between them, units as they are written, a decimal comma of one or two digits as a dot. small_ml: `ml` and `l`."""
     t = F.coalesce(c, F.lit(""))
-    for met, written in (*UNITS.items(), *((u, "$2") for u in KEPT_UNITS)):
+    style = {"mL": "ml", "L": "l"} if small_ml else {}
+    for met, written in (*((u, style.get(w, w)) for u, w in UNITS.items()), *((u, "$2") for u in KEPT_UNITS)):
         t = F.regexp_replace(t, rf"(?iu)(\d)\s*({met})(?![\p{{L}}\d])", f"$1 {written}")
     units = "|".join((*dict.fromkeys(UNITS.values()), *KEPT_UNITS))
     t = F.regexp_replace(t, rf"(?iu)(\d),(\d{{1,2}} (?:{units})(?![\p{{L}}\d]))", "$1.$2")

@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import text as T
 from catalogspark.operators import anomalies, quality, relations, scores
-from catalogspark.operators.schema import CATEGORY_FIELDS, NUMERIC, OPTIONS
+from catalogspark.operators.schema import FIELDS as CATEGORY, NUMERIC, OPTIONS
 from catalogspark.operators.sync import last_wins
 from catalogspark.plans.views import LONG_DUCK, PRODUCTS_DUCK, clean_duck, compact_duck, products, table
 
 P = f"WITH p AS ({PRODUCTS_DUCK})"
 _SCHEMA = ", ".join(
     f"('{c}', '{k}', {str(req).lower()}, {'[' + ', '.join(repr(o) for o in OPTIONS[k]) + ']' if k in OPTIONS else 'NULL'}, {str(k in NUMERIC).lower()})"
-    for c, keys in CATEGORY_FIELDS.items() for req, names in zip((True, False), keys.split("|"), strict=True) for k in names.split()
+    for c, fields in CATEGORY.items() for k, _, req, _ in fields
 )
 PROBLEMS = P + f""", s(cat, field, required, options, num) AS (VALUES {_SCHEMA}),
 l AS ({LONG_DUCK}),

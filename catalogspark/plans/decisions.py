@@ -84,7 +84,7 @@ def link_candidates(spark, d):
 def dictionary_contains(spark, d):
     p = table(spark, d, "part")
     aliases = p.select(F.col("p_brand").alias("alias")).unionByName(p.select(F.col("p_name").alias("alias"))).unionByName(p.select(F.substring_index("p_name", " ", -1).alias("alias"))).distinct()
-    return links.contained(products(spark, d), "product_id", "title", aliases.withColumn("canon", F.upper("alias"))).select("product_id", "alias", "canon", F.col("rank").cast("long").alias("rank"))
+    return links.contained(products(spark, d), "product_id", "title", aliases.withColumn("canon", F.upper("alias"))).select("product_id", "alias", "canon", F.col("rank").cast("long").alias("rank"), F.col("at").cast("long").alias("first_char"), F.col("size").cast("long").alias("n_chars"))
 
 
 # -- dictionaries and decisions ----------------------------------------------------------------------------------------
@@ -195,7 +195,7 @@ ORACLE_SQL = {
     "upsert_entry": ENTRIES + ", o AS (SELECT * FROM e WHERE sku % 5 <> 0), n AS (SELECT sku, upper(title) AS title, eligible AND sku % 2 = 0 AS eligible FROM e WHERE sku % 3 = 0) SELECT coalesce(o.sku, n.sku)::VARCHAR AS sku, coalesce(n.title, o.title) AS title, coalesce(n.eligible, o.eligible) AS eligible, CASE WHEN n.sku IS NULL THEN o.state WHEN NOT n.eligible THEN 'no_aplica' WHEN o.sku IS NULL THEN 'sin_evaluar' ELSE o.state END AS state, o.sku IS NULL AS is_new FROM o FULL JOIN n ON n.sku = o.sku",
     "lost_links": ENTRIES + " SELECT k.parent, k.child FROM k JOIN e ON e.sku = k.child WHERE NOT e.eligible",
     "link_candidates": ENTRIES + " SELECT a.sku, count(*) FILTER (b.state = 'esperando') AS waiting, count(*) FILTER (b.state = 'vinculado') AS others FROM e a LEFT JOIN e b ON b.cat = a.cat AND b.sku <> a.sku AND b.eligible AND NOT EXISTS (SELECT 1 FROM k WHERE k.parent = a.sku AND k.child = b.sku) WHERE a.parent GROUP BY a.sku",
-    "dictionary_contains": P + ", a AS (SELECT p_brand AS alias FROM part UNION SELECT p_name FROM part UNION SELECT split_part(p_name, ' ', -1) FROM part), h AS (SELECT product_id, alias, upper(alias) AS canon FROM p JOIN a ON regexp_matches(lower(title), '(^|[^a-z0-9_])' || regexp_escape(lower(alias)) || '($|[^a-z0-9_])')) SELECT product_id, alias, canon, row_number() OVER (PARTITION BY product_id ORDER BY length(alias) DESC, alias, canon) AS rank FROM h",
+    "dictionary_contains": P + ", a AS (SELECT p_brand AS alias FROM part UNION SELECT p_name FROM part UNION SELECT split_part(p_name, ' ', -1) FROM part), h AS (SELECT product_id, alias, upper(alias) AS canon, instr(' ' || lower(title) || ' ', ' ' || lower(alias) || ' ') AS first_char, length(alias) AS n_chars FROM p JOIN a ON regexp_matches(lower(title), '(^|[^a-z0-9_])' || regexp_escape(lower(alias)) || '($|[^a-z0-9_])')), f AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h l WHERE l.product_id = h.product_id AND l.n_chars > h.n_chars AND l.first_char < h.first_char + h.n_chars AND h.first_char < l.first_char + l.n_chars)) SELECT product_id, alias, canon, row_number() OVER (PARTITION BY product_id ORDER BY n_chars DESC, first_char) AS rank, first_char, n_chars FROM f",
     "merge_dictionary": DICTIONARIES + """, x AS (SELECT coalesce(m.key, t.key) AS key, m, t, CASE WHEN m.key IS NULL THEN 'added' WHEN t.key IS NULL THEN 'own' WHEN NOT m.verified AND t.verified THEN 'replaced' WHEN NOT m.verified AND m.code = '' AND t.code <> '' THEN 'filled' ELSE 'kept' END AS action FROM m FULL JOIN t USING (key))
 SELECT key, CASE WHEN action IN ('added', 'replaced', 'filled') THEN t.code ELSE m.code END AS code, CASE WHEN action IN ('added', 'replaced') OR (action = 'filled' AND m.source = '') THEN t.source ELSE m.source END AS source, CASE WHEN action IN ('added', 'replaced') THEN t.verified ELSE m.verified END AS verified, action FROM x""",
     "merge_store_categories": DICTIONARIES + " SELECT key, source FROM m UNION ALL SELECT key, source FROM t WHERE key NOT IN (SELECT key FROM m)",

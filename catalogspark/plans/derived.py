@@ -64,7 +64,7 @@ c AS (SELECT *, {_TOKENS('n')} AS nt, {_TOKENS('k')} AS kt FROM b), d AS (SELECT
 e AS (SELECT * REPLACE (CASE WHEN part AND NOT twin THEN '' ELSE n END AS n, CASE WHEN twin THEN '' ELSE k END AS k) FROM d)"""
 ORACLE_SQL = {
     "dedupe_fields": _NAMED + " SELECT product_id, n AS producto, k AS tipo FROM e",
-    "build_title": _NAMED + f""", g AS (SELECT product_id, marca, fabricante, trim(contenido) AS content, forma, contenido, trim(concat_ws(' ', {COPY.replace('(producto', '(n')}, nullif(k, ''))) AS body FROM e),
+    "build_title": _NAMED + f""", g AS (SELECT product_id, marca, fabricante, regexp_replace(trim(contenido), '\\s+', ' ', 'g') AS content, forma, contenido, trim(concat_ws(' ', {COPY.replace('(producto', '(n')}, nullif(k, ''))) AS body FROM e),
 h AS (SELECT *, concat_ws(' | ', nullif({_CAP('marca')}, ''), nullif({_CAP('body')}, '')) AS front, {_CAP('forma')} AS f, {_CAP('fabricante')} AS m FROM g),
 i AS (SELECT *, concat_ws(' | ', nullif(front, ''), f, content, nullif(m, '')) AS t0, concat_ws(' | ', nullif(front, ''), f, content) AS t1, concat_ws(' | ', nullif(front, ''), content) AS t2 FROM h)
 SELECT product_id, CASE WHEN len(t0) <= 70 THEN t0 WHEN len(t1) <= 70 THEN t1 ELSE t2 END AS title, CASE WHEN len(t0) <= 70 THEN '' WHEN len(t1) <= 70 THEN m ELSE concat_ws(';', f, nullif(m, '')) END AS dropped,

@@ -113,7 +113,7 @@ def canonical_pack_and_strength(spark, d):
     k = F.col("p_partkey")
     n = F.col("p_size").cast("string")
     dose = F.when(k % 5 == 0, F.concat(n, F.lit("MG"))).when(k % 5 == 1, F.concat(n, F.lit(",5 ml / 2 gr"))).when(k % 5 == 2, F.concat(n, F.lit(" ui/ML"))).when(k % 5 == 3, F.concat(n, F.lit(" tabs"))).otherwise(F.concat(n, F.lit(" %")))
-    packs = F.when(k % 4 == 0, n).when(k % 4 == 1, F.concat(n, F.lit(" pzas."))).when(k % 4 == 2, F.concat(F.lit("C/ "), n)).otherwise(F.concat(n, F.lit("  tabletas")))
+    packs = F.when(k % 4 == 0, n).when(k % 4 == 1, F.concat(n, F.lit(" pzas."))).when(k % 4 == 2, F.concat(F.lit("C/ "), n)).when(k % 8 == 3, F.concat(n, F.lit("  tabletas"))).otherwise(F.concat(F.lit("FCO  "), n, F.lit(" ml")))
     return table(spark, d, "part").select("p_partkey", facts.strength(dose).alias("strength"), facts.pack(packs).alias("p")).select("p_partkey", "strength", F.col("p.canonical").alias("pack"), F.col("p.rule").alias("rule"))
 
 
@@ -185,7 +185,7 @@ def mine_replace_rules(spark, d):
 
 QUERIES = {f.__name__: f for f in (bulk_preview, bulk_apply, bulk_undo, find_replace_value, group_suggestions, merge_suggestion_groups, axis_alerts, field_states, rank_recommendations, next_action, unify_recommendations, attention_counts, filter_counts, list_filters, paginate, canonical_pack_and_strength, explode_product_facts, observe_products, html_defects, explode_spec_rows, verify_extraction, duplicate_position, complement_status, grow_dictionary, data_signatures, routine_mates, mine_replace_rules)}
 
-HAS = lambda f: "cat IN (" + ", ".join(repr(c) for c, keys in CATEGORY_FIELDS.items() if f in keys.replace("|", " ").split()) + ")"
+HAS = lambda f: "cat IN (" + ", ".join(repr(c) for c, keys in CATEGORY_FIELDS.items() if f in keys) + ")"
 FIND = catalogue.PROBLEMS + ", x AS (SELECT *, CASE code WHEN 'required-missing' THEN 'content' WHEN 'invalid-option' THEN 'magento' ELSE 'health' END AS axis, CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END AS t FROM f)"
 RECS = FIND + ", r AS (SELECT product_id, t, CASE WHEN severity = 'error' THEN CASE WHEN axis = 'magento' THEN 'bloqueo' ELSE 'faltante' END WHEN severity = 'warning' THEN 'contenido' ELSE 'mejora' END AS class, code || ':' || field AS text FROM x), q AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY CASE class WHEN 'bloqueo' THEN 1 WHEN 'faltante' THEN 4 WHEN 'contenido' THEN 6 ELSE 7 END, t DESC, text) AS rank FROM r)"
 SUG = P + ", s AS (SELECT product_id, 'marca' AS field, marca AS \"from\", CASE WHEN product_id % 4 = 0 THEN upper(marca) WHEN product_id % 4 = 1 THEN marca ELSE marca || ' SA' END AS \"to\", product_id % 2 AS source FROM p WHERE marca <> ''), g AS (SELECT * FROM s WHERE \"from\" <> \"to\")"
@@ -207,7 +207,7 @@ SELECT product_id, cause, count(*) AS findings, string_agg(DISTINCT axis, ',' OR
     "filter_counts": P + " SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in FILTERS.items()) + " FROM p",
     "list_filters": P + " " + " UNION ALL ".join(f"SELECT product_id, '{n}' AS filter FROM p WHERE {c}" for n, c in FILTERS.items()),
     "paginate": P + " SELECT product_id, title FROM p ORDER BY title, product_id LIMIT 50 OFFSET 50",
-    "canonical_pack_and_strength": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || ' mg' WHEN 1 THEN p_size || '.5 mL/2 g' WHEN 2 THEN p_size || ' UI/mL' WHEN 4 THEN p_size || ' %' END AS strength, CASE p_partkey % 4 WHEN 0 THEN p_size || ' piezas' WHEN 1 THEN p_size || ' piezas' WHEN 2 THEN 'Caja con ' || p_size || ' piezas' ELSE p_size || ' tabletas' END AS pack, CASE p_partkey % 4 WHEN 0 THEN 'bare-number' WHEN 1 THEN 'pzas' WHEN 2 THEN 'box' ELSE 'none' END AS rule FROM part",
+    "canonical_pack_and_strength": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || ' mg' WHEN 1 THEN p_size || '.5 mL/2 g' WHEN 2 THEN p_size || ' UI/mL' WHEN 4 THEN p_size || ' %' END AS strength, CASE p_partkey % 4 WHEN 0 THEN p_size || ' piezas' WHEN 1 THEN p_size || ' piezas' WHEN 2 THEN 'Caja con ' || p_size || CASE WHEN p_size = 1 THEN ' pieza' ELSE ' piezas' END ELSE CASE WHEN p_partkey % 8 = 7 THEN 'Frasco ' || p_size || ' ml' WHEN p_size = 1 THEN '1 tableta' ELSE p_size || ' tabletas' END END AS pack, CASE p_partkey % 4 WHEN 0 THEN 'existing.bare-number→piezas' WHEN 1 THEN 'seed.presentation.pzas→piezas' WHEN 2 THEN 'existing.c/N→Caja con N piezas' ELSE CASE WHEN p_partkey % 8 = 7 OR p_size = 1 THEN 'existing.expand' ELSE 'none' END END AS rule FROM part",
     "explode_product_facts": P + """, t AS (SELECT title AS s, 'product→brand' AS predicate, marca AS object FROM p UNION ALL SELECT title, 'product→pharmaceuticalForm', forma FROM p UNION ALL SELECT title, 'product→category', cat FROM p UNION ALL SELECT marca, 'brand→laboratory', fabricante FROM p UNION ALL SELECT marca, 'brand→substance', principio FROM p UNION ALL SELECT marca, 'brand→category', cat FROM p)
 SELECT predicate, object, count(*) AS n FROM t WHERE s <> '' AND object <> '' GROUP BY ALL""",
     "observe_products": P + """, t AS (SELECT product_id, marca AS subject, 'brand→laboratory' AS predicate, fabricante AS object FROM p UNION ALL SELECT product_id, marca, 'brand→substance', principio FROM p UNION ALL SELECT product_id, marca, 'brand→category', cat FROM p WHERE product_id % 2 <> 0) SELECT * FROM t WHERE subject <> '' AND object <> ''""",

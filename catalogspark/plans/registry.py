@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from catalogspark.plans import catalogue, decisions, derived, editing, records, streams
+from catalogspark.plans import catalogue, decisions, derived, editing, intake, normal, records, streams
 
-MODULES = (catalogue, records, editing, decisions, derived, streams)
+MODULES = (catalogue, records, editing, decisions, derived, intake, normal, streams)
 
 
 def queries() -> dict[str, Callable]:

@@ -6,7 +6,7 @@ from catalogspark.operators import relations
 
 def test_routine_mates_equal_all_pairs(spark):
     r = random.Random(6)
-    zones = ["", None, "Rostro", "rostro, cuerpo", "Cuérpo", "pie", "cabello rostro manos", "manos"]
+    zones = ["", None, "Rostro", "rostro, cuerpo", "Cuérpo", "pie", "cabello rostro manos", "manos", " ".join(chr(97 + i % 26) * 4 + chr(97 + i // 26) for i in range(70)), "aaaaa bbbba", " ".join(chr(97 + i) * 4 + "a" for i in range(9)) + " rostro"]
     rows = [(i, r.choice([0, 1, 2, None]), r.choice(zones)) for i in range(150)]
     plain = str.maketrans("é", "e")
     words = lambda z: {w for w in re.split("[^a-z]+", (z or "").lower().translate(plain)) if len(w) > 3}

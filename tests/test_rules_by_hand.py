@@ -108,4 +108,10 @@ def test_dictionaries_aliases_and_levels(spark):
 def test_aliases_are_found_at_word_edges(spark):
     texts = spark.createDataFrame([(1, "Crema L'Oréal 30 ml"), (2, "Crema L Oreal"), (3, "Aspirina  Protect, tabletas"), (4, "Aspirinas"), (5, None)], "k int, t string")
     dictionary = spark.createDataFrame([("L'Oréal", "L'ORÉAL"), ("aspirina", "ASPIRINA"), ("Aspirina Protect", "PROTECT")], "alias string, canon string")
-    assert sorted((r.k, r.canon, r["rank"]) for r in links.contained(texts, "k", "t", dictionary).collect()) == [(1, "L'ORÉAL", 1), (3, "ASPIRINA", 2), (3, "PROTECT", 1)]
+    assert sorted((r.k, r.canon, r["rank"], r.at, r.size) for r in links.contained(texts, "k", "t", dictionary).collect()) == [(1, "L'ORÉAL", 1, 7, 7), (3, "PROTECT", 1, 1, 16)]
+
+
+def test_aliases_of_any_length_use_up_their_text(spark):
+    texts = spark.createDataFrame([(1, "lleva uno dos tres cuatro cinco seis siete y uno dos")], "k int, t string")
+    dictionary = spark.createDataFrame([("uno dos tres cuatro cinco seis siete", "long"), ("uno dos", "short"), ("tres", "inner")], "alias string, canon string")
+    assert sorted((r.canon, r["rank"], r.at) for r in links.contained(texts, "k", "t", dictionary).collect()) == [("long", 1, 7), ("short", 2, 46)]
