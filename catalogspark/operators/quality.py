@@ -73,8 +73,9 @@ def quality_summary(counts: DataFrame) -> DataFrame:
 
 
 def quarantine(products: DataFrame, problems: DataFrame) -> DataFrame:
-    """Products with fields that must not go on moved from v to `quarantined`, and why."""
-    bad = problems.filter(F.col("code").isin(*QUARANTINED)).groupBy("product_id").agg(F.collect_set("field").alias("fields"), F.array_sort(F.collect_set("code")).alias("reasons"))
+    """Products with fields that must not go on moved from v to `quarantined`, and every code of these fields as reasons."""
+    by_field = problems.filter("field <> ''").groupBy("product_id", "field").agg(F.collect_set("code").alias("codes"), F.max(F.col("code").isin(*QUARANTINED)).alias("blocked"))
+    bad = by_field.filter("blocked").groupBy("product_id").agg(F.collect_set("field").alias("fields"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("reasons"))
     out = products.join(bad, "product_id", "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
     return out.withColumns({
         "quarantined": F.map_filter("v", lambda k, _: F.array_contains("fields", k)),
@@ -84,7 +85,7 @@ def quarantine(products: DataFrame, problems: DataFrame) -> DataFrame:
 
 
 # Text defects and the patterns that show them; the later ones are for texts of one line.
-SPACE = r"[\s\x{00A0}\x{2028}\x{2029}\x{FEFF}]"
+SPACE = rf"[\s{T.WIDE_SPACE}]"
 HYGIENE = {
     "control": CONTROL,
     "invisible": r"[\x{00A0}\x{200B}-\x{200D}\x{FEFF}]",

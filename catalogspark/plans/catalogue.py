@@ -222,14 +222,14 @@ ORACLE_SQL = {
     "issue_counts": COUNTS + " SELECT product_id, errors, warnings, infos, status FROM i",
     "issue_rollup": COUNTS + " SELECT status, count(*) AS products, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings FROM i GROUP BY status",
     "quality_summary": COUNTS + " SELECT count(*) AS total, count(*) FILTER (status = 'listo') AS listo, count(*) FILTER (status = 'revisar') AS revisar, count(*) FILTER (status = 'critico') AS critico, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings FROM i",
-    "quarantine": PROBLEMS + ", b AS (SELECT product_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields, string_agg(DISTINCT code, ',' ORDER BY code) AS reasons, count(DISTINCT field) AS n FROM f WHERE code IN ('control-character', 'invalid-option', 'negative-number') GROUP BY product_id) SELECT product_id, fields, reasons, (SELECT count(*) FROM l WHERE l.product_id = b.product_id) - n AS kept FROM b",
+    "quarantine": PROBLEMS + ", b AS (SELECT DISTINCT product_id, field FROM f WHERE code IN ('control-character', 'invalid-option', 'negative-number')), r AS (SELECT product_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields, string_agg(DISTINCT code, ',' ORDER BY code) AS reasons, count(DISTINCT field) AS n FROM f JOIN b USING (product_id, field) GROUP BY product_id) SELECT product_id, fields, reasons, (SELECT count(*) FROM l WHERE l.product_id = r.product_id) - n AS kept FROM r",
     "normalize_text": r"SELECT doc_id, md5(t) AS normalized, t <> coalesce(text, '') AS changed FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')) AS t FROM documents)",
     "match_keys": P + f" SELECT product_id, lower(title) AS fold, {TITLE} AS clean, {compact_duck('title')} AS compact, {SKU} AS sku_key FROM p",
     "text_hygiene": r"""WITH w AS (SELECT coalesce(text, '') AS t FROM documents),
 d AS (SELECT unnest(['control', 'invisible', 'mojibake', 'unresolved', 'technical', 'html-breaker', 'double-space', 'edge-space', 'space-before-comma', 'separators', 'edge-separator', 'repeated-word']) AS defect,
   unnest([regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]'), regexp_matches(t, '[\x{00A0}\x{200B}-\x{200D}\x{FEFF}]'), regexp_matches(t, '\x{FFFD}|[ÃÂ][\x{80}-\x{BF}]'), regexp_matches(t, '\{\w+(?::\w+)?\}'), regexp_matches(t, '\b(undefined|null|NaN)\b'), regexp_matches(t, '[<>"]'),
-    regexp_matches(t, '[\s\x{A0}\x{2028}\x{2029}\x{FEFF}]{2,}'), regexp_matches(t, '^[\s\x{A0}\x{2028}\x{2029}\x{FEFF}]|[\s\x{A0}\x{2028}\x{2029}\x{FEFF}]$'), regexp_matches(t, '[\s\x{A0}\x{2028}\x{2029}\x{FEFF}][,;]'), regexp_matches(t, '[,;][\s\x{A0}\x{2028}\x{2029}\x{FEFF}]*[,;]|\|[\s\x{A0}\x{2028}\x{2029}\x{FEFF}]*\|'),
-    regexp_matches(t, '^[\s\x{A0}\x{2028}\x{2029}\x{FEFF}|,;:\-–]|[|,;:\-–][\s\x{A0}\x{2028}\x{2029}\x{FEFF}]*$'),
+    regexp_matches(t, '[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]{2,}'), regexp_matches(t, '^[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]|[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]$'), regexp_matches(t, '[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}][,;]'), regexp_matches(t, '[,;][\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*[,;]|\|[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*\|'),
+    regexp_matches(t, '^[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}|,;:\-–]|[|,;:\-–][\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*$'),
     -- neighbours: pieces of letters and digits that one run of white space parts
     (SELECT bool_or(a = b AND regexp_matches(a, '^\p{L}{2,}$')) FROM (SELECT unnest(l[:len(l) - 1]) AS a, unnest(l[2:]) AS b FROM (SELECT string_split_regex(lower(regexp_replace(t, '[^\p{L}\p{N}\s]+', ' | ', 'g')), '\s+') AS l)))]) AS hit FROM w)
 SELECT defect, count(*) AS n FROM d WHERE hit GROUP BY defect""",

@@ -58,7 +58,7 @@ def _links(spark, d):
 
 
 def _entries(spark, d):
-    state = F.when(F.col("product_id") % 4 == 0, "esperando").when(F.col("product_id") % 4 == 1, "vinculado").otherwise("independiente")
+    state = F.when(F.col("product_id") % 4 == 0, "esperando").when(F.col("product_id") % 4 == 1, "vinculado").when(F.col("product_id") % 4 == 2, "sin_evaluar").otherwise("independiente")
     eligible = complement_eligible(F.col("cat"), F.col("receta"), F.expr(SPECIALTY))
     return products(spark, d).select(F.col("product_id").alias("sku"), "cat", "title", eligible.alias("eligible"), state.alias("state"), (F.col("fabricante") != "").alias("parent"))
 
@@ -81,6 +81,10 @@ def link_candidates(spark, d):
     return links.link_candidates(_entries(spark, d), _links(spark, d))
 
 
+def parent_candidates(spark, d):
+    return links.parent_candidates(_entries(spark, d), _links(spark, d))
+
+
 def dictionary_contains(spark, d):
     p = table(spark, d, "part")
     aliases = p.select(F.col("p_brand").alias("alias")).unionByName(p.select(F.col("p_name").alias("alias"))).unionByName(p.select(F.substring_index("p_name", " ", -1).alias("alias"))).distinct()
@@ -162,13 +166,13 @@ def auto_correction_groups(spark, d):
     return rows.filter(F.col("from") != F.col("to")).groupBy("field", "from", "to").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (lint_language, classify_routine_step, sunscreen_level, explode_nutrition, check_nutrition_energy, catalogue_crosssell, upsert_entry, lost_links, link_candidates, dictionary_contains, merge_dictionary, merge_store_categories, supersede_evidence, confirm_reject, resolve_conflict, add_alias, rename_canonical, correction_level, export_counters, auto_correction_groups)}
+QUERIES = {f.__name__: f for f in (lint_language, classify_routine_step, sunscreen_level, explode_nutrition, check_nutrition_energy, catalogue_crosssell, upsert_entry, lost_links, link_candidates, parent_candidates, dictionary_contains, merge_dictionary, merge_store_categories, supersede_evidence, confirm_reject, resolve_conflict, add_alias, rename_canonical, correction_level, export_counters, auto_correction_groups)}
 
 _TERMS = lambda terms: ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in terms)
 STEP = "CASE " + " ".join(f"WHEN regexp_matches(copy, '(?i){pattern}') THEN '{step}'" for step, pattern in language.ROUTINE) + " ELSE '' END"
 COPIES = P + f", q AS (SELECT product_id, {COPY} AS copy FROM p)"
 LINKS = ", k AS (SELECT DISTINCT a.l_partkey AS parent, b.l_partkey AS child FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey)"
-ENTRIES = P + ", e AS (SELECT product_id AS sku, cat, title, cat <> 'med' OR (receta = 'no' AND product_id % 3 = 1) AS eligible, CASE product_id % 4 WHEN 0 THEN 'esperando' WHEN 1 THEN 'vinculado' ELSE 'independiente' END AS state, fabricante <> '' AS parent FROM p)" + LINKS
+ENTRIES = P + ", e AS (SELECT product_id AS sku, cat, title, cat <> 'med' OR (receta = 'no' AND product_id % 3 = 1) AS eligible, CASE product_id % 4 WHEN 0 THEN 'esperando' WHEN 1 THEN 'vinculado' WHEN 2 THEN 'sin_evaluar' ELSE 'independiente' END AS state, fabricante <> '' AS parent FROM p)" + LINKS
 DICTIONARIES = "WITH m AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'A' || (s_suppkey % 10) END AS code, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'supplier' END AS source, s_acctbal > 5000 AS verified FROM supplier), t AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'A' || (c_custkey % 10) END AS code, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'customer' END AS source, c_acctbal > 5000 AS verified FROM customer)"
 JUDGED = " SELECT subject, object, confidence, status FROM r"
 MORE = lambda rows: records.REL.replace("g AS (SELECT subject", f"v2 AS (SELECT * FROM v UNION ALL {rows}), g AS (SELECT subject", 1).replace("FROM v GROUP BY ALL", "FROM v2 GROUP BY ALL", 1)
@@ -194,7 +198,8 @@ ORACLE_SQL = {
     "catalogue_crosssell": ENTRIES + " SELECT parent, child FROM k JOIN e a ON a.sku = k.parent JOIN e b ON b.sku = k.child WHERE b.eligible".replace("SELECT parent", "SELECT k.parent").replace(", child FROM", ", k.child FROM"),
     "upsert_entry": ENTRIES + ", o AS (SELECT * FROM e WHERE sku % 5 <> 0), n AS (SELECT sku, upper(title) AS title, eligible AND sku % 2 = 0 AS eligible FROM e WHERE sku % 3 = 0) SELECT coalesce(o.sku, n.sku)::VARCHAR AS sku, coalesce(n.title, o.title) AS title, coalesce(n.eligible, o.eligible) AS eligible, CASE WHEN n.sku IS NULL THEN o.state WHEN NOT n.eligible THEN 'no_aplica' WHEN o.sku IS NULL THEN 'sin_evaluar' ELSE o.state END AS state, o.sku IS NULL AS is_new FROM o FULL JOIN n ON n.sku = o.sku",
     "lost_links": ENTRIES + " SELECT k.parent, k.child FROM k JOIN e ON e.sku = k.child WHERE NOT e.eligible",
-    "link_candidates": ENTRIES + " SELECT a.sku, count(*) FILTER (b.state = 'esperando') AS waiting, count(*) FILTER (b.state = 'vinculado') AS others FROM e a LEFT JOIN e b ON b.cat = a.cat AND b.sku <> a.sku AND b.eligible AND NOT EXISTS (SELECT 1 FROM k WHERE k.parent = a.sku AND k.child = b.sku) WHERE a.parent GROUP BY a.sku",
+    "link_candidates": ENTRIES + " SELECT a.sku, count(*) FILTER (b.state = 'esperando') AS waiting, count(*) FILTER (b.state NOT IN ('esperando', 'independiente')) AS others FROM e a LEFT JOIN e b ON b.cat = a.cat AND b.sku <> a.sku AND b.eligible AND NOT EXISTS (SELECT 1 FROM k WHERE k.parent = a.sku AND k.child = b.sku) WHERE a.parent GROUP BY a.sku",
+    "parent_candidates": ENTRIES + " SELECT a.sku, count(b.sku) AS parents FROM e a LEFT JOIN e b ON b.cat = a.cat AND b.sku <> a.sku AND b.parent AND NOT EXISTS (SELECT 1 FROM k WHERE k.parent = b.sku AND k.child = a.sku) WHERE a.eligible GROUP BY a.sku",
     "dictionary_contains": P + ", a AS (SELECT p_brand AS alias FROM part UNION SELECT p_name FROM part UNION SELECT split_part(p_name, ' ', -1) FROM part), h AS (SELECT product_id, alias, upper(alias) AS canon, instr(' ' || lower(title) || ' ', ' ' || lower(alias) || ' ') AS first_char, length(alias) AS n_chars FROM p JOIN a ON regexp_matches(lower(title), '(^|[^a-z0-9_])' || regexp_escape(lower(alias)) || '($|[^a-z0-9_])')), f AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h l WHERE l.product_id = h.product_id AND l.n_chars > h.n_chars AND l.first_char < h.first_char + h.n_chars AND h.first_char < l.first_char + l.n_chars)) SELECT product_id, alias, canon, row_number() OVER (PARTITION BY product_id ORDER BY n_chars DESC, first_char) AS rank, first_char, n_chars FROM f",
     "merge_dictionary": DICTIONARIES + """, x AS (SELECT coalesce(m.key, t.key) AS key, m, t, CASE WHEN m.key IS NULL THEN 'added' WHEN t.key IS NULL THEN 'own' WHEN NOT m.verified AND t.verified THEN 'replaced' WHEN NOT m.verified AND m.code = '' AND t.code <> '' THEN 'filled' ELSE 'kept' END AS action FROM m FULL JOIN t USING (key))
 SELECT key, CASE WHEN action IN ('added', 'replaced', 'filled') THEN t.code ELSE m.code END AS code, CASE WHEN action IN ('added', 'replaced') OR (action = 'filled' AND m.source = '') THEN t.source ELSE m.source END AS source, CASE WHEN action IN ('added', 'replaced') THEN t.verified ELSE m.verified END AS verified, action FROM x""",

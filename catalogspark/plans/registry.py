@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from catalogspark.plans import catalogue, decisions, derived, editing, intake, metatexts, normal, records, streams
+from catalogspark.plans import catalogue, decisions, derived, editing, files, intake, metatexts, normal, records, streams
 
-MODULES = (catalogue, records, editing, decisions, derived, intake, normal, metatexts, streams)
+MODULES = (catalogue, records, editing, decisions, derived, files, intake, normal, metatexts, streams)
 
 
 def queries() -> dict[str, Callable]:
