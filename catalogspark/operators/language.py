@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogspark.operators.schema import category_fields
+
 # Lists of terms, as (list, term, pattern); patterns ignore case and \b is the edge of an ASCII word.
 TERMS = (
     ("claim", "cura", r"\bcur(?:a|ar|an|as)\b"),
@@ -46,6 +48,24 @@ COSMETIC_TERMS = (
     ("medical", "antibiótico o antimicótico", r"\bantibi[oó]tic[oa]s?\b|\bantimic[oó]tic[oa]s?\b"),
     ("medical", "enfermedad de la piel", r"\b(?:dermatitis|psoriasis|rosacea|rosácea|eczema|eccema)\b"),
 )
+DEVICE_TERMS = (
+    ("review", "clínicamente validado", r"\bcl[ií]nicamente (?:validad|probad|comprobad)\w*"),
+    ("review", "precisión clínica", r"\bprecisi[oó]n cl[ií]nica\b"),
+    ("review", "100% exacto", r"\b100\s?%\s*(?:exact|precis)\w*"),
+    ("review", "diagnóstico", r"\bdiagn[oó]stic\w*"),
+    ("review", "grado médico", r"\b(?:grado|nivel) m[eé]dic[oa]\b"),
+)
+ACCESSORY_TERMS = (
+    ("medical", "enfermedad", r"\bv[aá]rices\b|\bflebitis\b|\btrombosis\b|\bartritis\b|\bartrosis\b|\bhernia\b|\blumbalgia\b"),
+    ("review", "alivia", r"\baliv(?:ia|io|ian|iar|ios)\b"),
+    ("review", "corrige", r"\bcorrig\w+"),
+    ("review", "terapéutico", r"\bterap[eé]utic\w*"),
+    ("review", "ortopédico profesional", r"\bortop[eé]dic[oa]s? profesional"),
+)
+#: Terms that only products of a category must not use.
+CATEGORY_TERMS = {"cos": COSMETIC_TERMS, "dis": DEVICE_TERMS, "acc": ACCESSORY_TERMS}
+# Words of commerce, which texts of medicines must not use.
+COMMERCIAL = r"\b(compra|comprar|compre|oferta|ofertas|descuento|descuentos|promoci[oó]n|env[ií]o gratis|mejor precio|barato|econ[oó]mic[oa])\b"
 # Steps of a routine in the order in which they are tried.
 ROUTINE = (
     ("Protección solar", r"\bprotector(?:es)? solar|\bbloqueador|\bfps\b|\bspf\b"),
@@ -64,11 +84,25 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike("(?iu)" + pattern.replace(r"\b", EDGE).replace(r"\w", WORD))
 
 
-def lint(rows: DataFrame, key: str, text: str, terms=TERMS) -> DataFrame:
-    """(key, list, term) of every term that a text holds."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    hits = [F.when(matches(c, p), F.struct(F.lit(kind).alias("list"), F.lit(term).alias("term"))) for kind, term, p in terms]
-    return rows.select(key, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(key, "hit.*")
+def terms_found(text: Column, cat: Column | None = None) -> Column:
+    """(list, term) of every term that a text of a category holds; without a category only the terms for all."""
+    hit = lambda kind, term, p, where=None: F.when(matches(text, p) if where is None else where & matches(text, p), F.struct(F.lit(kind).alias("list"), F.lit(term).alias("term")))
+    own = [hit(*t, cat == c) for c, terms in CATEGORY_TERMS.items() for t in terms] if cat is not None else []
+    return F.array_compact(F.array(*[hit(*t) for t in TERMS], *own))
+
+
+def lint(rows: DataFrame, key: str, text: str, cat: str | None = None) -> DataFrame:
+    """(key, list, term) of every term that a text holds; cat names the column of its category, whose own terms count too."""
+    found = terms_found(F.coalesce(F.col(text), F.lit("")), F.col(cat) if cat else None)
+    return rows.select(key, F.explode(found).alias("hit")).select(key, "hit.*")
+
+
+def lint_fields(products: DataFrame) -> DataFrame:
+    """(product_id, field, list, term) over the captured fields of products (product_id, cat, v) that are free texts: no closed lists, nothing that is kept as it stands, no sentences."""
+    fields = category_fields(products.sparkSession).filter(~F.arrays_overlap("kinds", F.array(*map(F.lit, ("select", "raw", "sentence")))))
+    values = products.select("product_id", "cat", F.explode("v").alias("field", "value")).filter("value <> ''")
+    free = values.join(F.broadcast(fields.select("cat", F.col("key").alias("field"))), ["cat", "field"])
+    return free.select("product_id", "field", F.explode(terms_found(F.col("value"), F.col("cat"))).alias("hit")).select("product_id", "field", "hit.*")
 
 
 def routine_step(text: Column) -> Column:

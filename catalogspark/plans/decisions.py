@@ -17,7 +17,7 @@ COPY = "concat(producto, CASE product_id % 6 WHEN 0 THEN ' ideal para limpieza'
 
 
 def lint_language(spark, d):
-    return language.lint(products(spark, d).withColumn("copy", F.expr(COPY)), "product_id", "copy", language.TERMS + language.COSMETIC_TERMS)
+    return language.lint(products(spark, d).withColumn("copy", F.expr(COPY)), "product_id", "copy", "cat")
 
 
 def classify_routine_step(spark, d):
@@ -190,7 +190,7 @@ c AS (SELECT p_partkey, line, i, raw AS v, regexp_extract(raw, '^([<≤~]?\\s*)(
 d AS (SELECT p_partkey, line, i, CASE WHEN coalesce({_UNITS.replace('lower(u)', 'lower(m.u)')}, '') <> '' THEN m.a || m.n || ' ' || {_UNITS.replace('lower(u)', 'lower(m.u)')} ELSE v END AS v FROM c),
 j AS (SELECT p_partkey, line, string_agg(v, ' | ' ORDER BY i) AS cells FROM d GROUP BY ALL)"""
 ORACLE_SQL = {
-    "lint_language": COPIES + f", t(list, term, pattern) AS (VALUES {_TERMS(language.TERMS + language.COSMETIC_TERMS)}) SELECT product_id, list, term FROM q JOIN t ON regexp_matches(copy, '(?i)' || pattern)",
+    "lint_language": COPIES + f", t(list, term, pattern) AS (VALUES {_TERMS(language.TERMS)}), o(list, term, pattern) AS (VALUES {_TERMS(language.COSMETIC_TERMS)}) SELECT product_id, list, term FROM q JOIN t ON regexp_matches(copy, '(?i)' || pattern) UNION ALL SELECT q.product_id, list, term FROM q JOIN p USING (product_id) JOIN o ON p.cat = 'cos' AND regexp_matches(copy, '(?i)' || pattern)",
     "classify_routine_step": COPIES + f" SELECT product_id, {STEP} AS step FROM q",
     "sunscreen_level": P + ", q AS (SELECT product_id, regexp_extract(fps, '\\d+') AS n, product_id % 4 = 0 AS plus FROM p) SELECT product_id, CASE WHEN n = '' OR n::INT < 6 THEN '' WHEN n::INT < 15 THEN 'Baja' WHEN n::INT < 30 THEN 'Media' WHEN n::INT < 50 OR (n::INT = 50 AND NOT plus) THEN 'Alta' ELSE 'Muy alta' END AS level FROM q",
     "explode_nutrition": NUTRITION + " SELECT p_partkey, line, kind, CASE kind WHEN 'head' THEN '' WHEN 'note' THEN plain WHEN 'title' THEN plain ELSE name END AS name, sub, CASE WHEN head THEN list_aggregate(parts, 'string_agg', ' | ') ELSE coalesce(cells, '') END AS cells FROM y LEFT JOIN j USING (p_partkey, line)",

@@ -70,9 +70,11 @@ def test_relation_verdicts(spark):
 
 
 def test_language_and_levels(spark):
-    rows = [(1, "Cura y ELIMINA; el mejor"), (2, "curado, secular"), (3, None), (4, "desinflamante todo el dia"), (5, "Increíbles")]
-    got = sorted(map(tuple, language.lint(spark.createDataFrame(rows, "k int, t string"), "k", "t", language.TERMS + language.COSMETIC_TERMS).collect()))
-    assert got == [(1, "claim", "cura"), (1, "claim", "el mejor"), (1, "claim", "elimina"), (4, "claim", "todo el día"), (4, "medical", "antiinflamatorio"), (5, "subjective", "increíble")]
+    rows = [(1, "Cura y ELIMINA; el mejor", "med"), (2, "curado, secular", "cos"), (3, None, "cos"), (4, "desinflamante todo el dia", "cos"), (5, "Increíbles", None), (6, "desinflamante todo el dia", "med"), (7, "diagnóstico; alivia várices", "dis"), (8, "diagnóstico; alivia várices", "acc")]
+    got = sorted(map(tuple, language.lint(spark.createDataFrame(rows, "k int, t string, c string"), "k", "t", "c").collect()))
+    assert got == [(1, "claim", "cura"), (1, "claim", "el mejor"), (1, "claim", "elimina"), (4, "claim", "todo el día"), (4, "medical", "antiinflamatorio"), (5, "subjective", "increíble"), (7, "review", "diagnóstico"), (8, "medical", "enfermedad"), (8, "review", "alivia")]
+    free = spark.createDataFrame([(1, "cos", {"tipo": "ideal", "inci": "ideal", "modo": "ideal", "nivel": "ideal", "otro": "ideal", "marca": "antibiótico"})], "product_id int, cat string, v map<string,string>")
+    assert sorted(map(tuple, language.lint_fields(free).collect())) == [(1, "marca", "medical", "antibiótico o antimicótico"), (1, "tipo", "subjective", "ideal")]
     levels = {"5": "", "6": "Baja", "FPS 15": "Media", "30": "Alta", "50": "Alta", "50+": "Muy alta", "60": "Muy alta", "x": "", "": ""}
     assert {r.f: r.l for r in spark.createDataFrame([(x,) for x in levels], "f string").select("f", language.sunscreen_level(F.col("f")).alias("l")).collect()} == levels
     steps = {"protector solar con crema": "Protección solar", "Crema facial": "Hidratación", "jabón facial": "Limpieza", "nada": ""}
