@@ -3,11 +3,14 @@
 from pyspark.sql import functions as F
 
 from catalogspark.functions import text as T
-from catalogspark.operators import anomalies, quality, relations, scores
+from catalogspark.operators import anomalies, export, quality, readiness, relations, scores
 from catalogspark.operators.schema import FIELDS as CATEGORY, NUMERIC, OPTIONS
 from catalogspark.operators.sync import last_wins
+from catalogspark.plans import contents, exports
 from catalogspark.plans.views import LONG_DUCK, PRODUCTS_DUCK, clean_duck, compact_duck, products, table
 
+#: Long texts, some with a tag that stays open.
+READY_HTML = f"concat({contents.HTML}, CASE WHEN product_id % 15 = 0 THEN '<b>x' ELSE '' END)"
 P = f"WITH p AS ({PRODUCTS_DUCK})"
 _SCHEMA = ", ".join(
     f"('{c}', '{k}', {str(req).lower()}, {'[' + ', '.join(repr(o) for o in OPTIONS[k]) + ']' if k in OPTIONS else 'NULL'}, {str(k in NUMERIC).lower()})"
@@ -109,13 +112,15 @@ def health_summary(spark, d):
 
 
 def _checks(spark, d):
-    p = products(spark, d)
-    level = lambda name, bad: F.struct(F.lit(name).alias("check"), F.when(bad[1], bad[0]).otherwise("ok").alias("level"))
-    every = F.array(
-        level("sku", ("block", F.col("sku") == "")), level("brand", ("block", F.col("marca") == "")), level("title", ("warning", F.length("title") > 38)),
-        level("maker", ("warning", F.col("fabricante") == "")), level("price", ("warning", F.col("price") > 1000)),
-    )
-    return p.select("product_id", F.explode(every).alias("c")).select("product_id", "c.*")
+    """All checks of the store on products with the texts that other jobs would have made."""
+    inputs = [F.expr(sql).alias(k) for k, sql in exports.INPUTS.items() if k != "html"]
+    rows = products(spark, d).select("product_id", "seq", "cat", "v", F.expr(READY_HTML).alias("html"), *inputs, (F.col("product_id") % 23 == 0).alias("image_over"), (F.col("product_id") % 29 == 0).alias("near_sku"))
+    batch = export.batch(rows)
+    return readiness.readiness_checks(rows, export.violations(batch))
+
+
+def readiness_checks(spark, d):
+    return _checks(spark, d).groupBy("check", "level").agg(F.count("*").alias("products"))
 
 
 def readiness_state(spark, d):
@@ -127,11 +132,11 @@ def readiness_summary(spark, d):
 
 
 def _axes(spark, d):
-    """Health and readiness of each product; search and content have no scores yet, so the combined score is partial."""
+    """Health, content and readiness of each product; search has no score yet, so the combined score is partial."""
     health = health_score(spark, d).select("product_id", F.col("score").alias("health"))
     ready = readiness_state(spark, d).select("product_id", F.col("score").alias("magento"), "state")
-    none = F.lit(None).cast("long")
-    return health.join(ready, "product_id").select("product_id", "health", none.alias("seo"), none.alias("content"), "magento", "state")
+    told = contents.content_score(spark, d).select("product_id", F.col("score").cast("long").alias("content"))
+    return health.join(ready, "product_id").join(told, "product_id").select("product_id", "health", F.lit(None).cast("long").alias("seo"), "content", "magento", "state")
 
 
 def score_360(spark, d):
@@ -191,7 +196,7 @@ def merchant_feed(spark, d):
     return rows.select(F.col("sku").alias("id"), one_line(F.col("title")).alias("title"), one_line(F.concat_ws(". ", "producto", "contenido")).alias("description"), (F.length("title") > 150).alias("long_title"))
 
 
-QUERIES = {f.__name__: f for f in (field_problems, issue_counts, issue_rollup, quality_summary, quarantine, normalize_text, match_keys, text_hygiene, duplicate_skus, duplicate_titles, duplicate_meta, near_duplicates, near_duplicate_urls, anomaly_summary, health_score, health_summary, readiness_state, readiness_summary, score_360, score_360_summary, infer_by_consensus, alternatives, related_products, export_exclusions, work_bucket, complement_eligible, last_wins_export, merchant_feed)}
+QUERIES = {f.__name__: f for f in (field_problems, issue_counts, issue_rollup, quality_summary, quarantine, normalize_text, match_keys, text_hygiene, duplicate_skus, duplicate_titles, duplicate_meta, near_duplicates, near_duplicate_urls, anomaly_summary, health_score, health_summary, readiness_checks, readiness_state, readiness_summary, score_360, score_360_summary, infer_by_consensus, alternatives, related_products, export_exclusions, work_bucket, complement_eligible, last_wins_export, merchant_feed)}
 
 SKU, TITLE = compact_duck("sku"), clean_duck("title")
 BAND = "CASE WHEN {0} IS NULL THEN 'sin_evaluar' WHEN {0} >= 90 THEN 'excelente' WHEN {0} >= 75 THEN 'buena' WHEN {0} >= 50 THEN 'revisar' ELSE 'critica' END"
@@ -206,11 +211,31 @@ w AS (SELECT product_id, sum(c) FILTER (code IN ('required-missing', 'unassigned
   FROM (SELECT *, CASE severity WHEN 'error' THEN 20 WHEN 'warning' THEN 6 ELSE 1 END AS c FROM f) GROUP BY product_id),
 h AS (SELECT i.product_id, greatest(0, 100 - 20 * errors - 6 * warnings - infos - anomaly)::BIGINT AS score, greatest(0, 100 - coalesce(a, 0))::BIGINT AS completeness, greatest(0, 100 - coalesce(b, 0))::BIGINT AS validity, 100::BIGINT AS language,
   greatest(0, greatest(0, 100 - coalesce(e, 0)) - anomaly)::BIGINT AS consistency FROM i JOIN o USING (product_id) LEFT JOIN w USING (product_id))"""
-READY = P + """, r AS (SELECT product_id, ((sku = '')::INT + (marca = '')::INT)::BIGINT AS blocks, ((length(title) > 38)::INT + (fabricante = '')::INT + (price > 1000)::INT)::BIGINT AS warnings FROM p),
-s AS (SELECT *, CASE WHEN blocks > 0 THEN 'BLOCKED' WHEN warnings > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS state, greatest(0, 100 - 25 * blocks - 8 * warnings)::BIGINT AS score FROM r)"""
-AXES = HEALTH + """, rr AS (SELECT product_id, ((sku = '')::INT + (marca = '')::INT)::BIGINT AS blocks, ((length(title) > 38)::INT + (fabricante = '')::INT + (price > 1000)::INT)::BIGINT AS warnings FROM p),
-a AS (SELECT product_id, h.score AS health, NULL::BIGINT AS seo, NULL::BIGINT AS content, greatest(0, 100 - 25 * blocks - 8 * warnings)::BIGINT AS magento, CASE WHEN blocks > 0 THEN 'BLOCKED' WHEN warnings > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS state FROM h JOIN rr USING (product_id)),
-w2 AS (SELECT *, 30 * (health IS NOT NULL)::INT + 25 * (seo IS NOT NULL)::INT + 25 * (content IS NOT NULL)::INT + 20 * (magento IS NOT NULL)::INT AS w, coalesce(30 * health, 0) + coalesce(25 * seo, 0) + coalesce(25 * content, 0) + coalesce(20 * magento, 0) AS pts FROM a),
+_SQL = lambda e: e.replace("AS STRING", "AS VARCHAR")
+#: The checks and their levels on these products, worked out by hand.
+CHECKS = {
+    "MR-001": "CASE WHEN key = '' THEN 'block' ELSE 'ok' END",
+    "MR-002": "CASE WHEN i_blocked THEN 'block' ELSE 'ok' END",
+    "MR-003": "CASE WHEN i_incomplete THEN 'block' ELSE 'ok' END",
+    "MR-004": "CASE WHEN i_unconfirmed THEN 'block' ELSE 'ok' END",
+    "MR-005": "CASE WHEN i_worded THEN 'warning' ELSE 'ok' END",
+    "MR-006": "'ok'",
+    "MR-007": "CASE WHEN key = '' OR i_blocked OR i_incomplete OR i_unconfirmed THEN 'not applicable' ELSE 'ok' END",
+    "MR-008": "CASE WHEN key = '' OR i_blocked OR i_incomplete OR i_unconfirmed THEN 'not applicable' ELSE 'ok' END",
+    "MR-009": "CASE WHEN i_blocked THEN 'not applicable' WHEN product_id % 6 = 1 AND product_id % 15 <> 0 THEN 'block' WHEN product_id % 15 = 0 THEN 'warning' ELSE 'ok' END",
+    "MR-010": "CASE WHEN i_confirmed THEN 'ok' ELSE 'warning' END",
+    "MR-011": "CASE WHEN trim(i_image_text) = '' OR product_id % 23 = 0 THEN 'warning' ELSE 'ok' END",
+    "MR-012": "CASE WHEN trim(i_img) = '' THEN 'warning' ELSE 'ok' END",
+    "MR-013": "CASE WHEN key = '' THEN 'not applicable' WHEN twins = 1 THEN 'ok' WHEN is_last THEN 'warning' ELSE 'block' END",
+    "MR-014": "CASE WHEN product_id % 29 = 0 THEN 'warning' ELSE 'ok' END",
+}
+_READY = f""", ri AS (SELECT product_id, seq, {", ".join(f"{_SQL(sql)} AS i_{k}" for k, sql in exports.INPUTS.items() if k != "html")} FROM p), rk AS (SELECT *, lower(trim(i_sku)) AS key FROM ri),
+rl AS (SELECT *, count(*) OVER (PARTITION BY key) AS twins, seq = max(seq) OVER (PARTITION BY key) AS is_last FROM rk), rc AS (SELECT product_id, unnest({list(CHECKS)}) AS "check", unnest([{", ".join(CHECKS.values())}]) AS level FROM rl),
+rr AS (SELECT product_id, count(*) FILTER (level = 'block') AS blocks, count(*) FILTER (level = 'warning') AS warnings FROM rc GROUP BY product_id)"""
+READY = P + _READY + """, s AS (SELECT *, CASE WHEN blocks > 0 THEN 'BLOCKED' WHEN warnings > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS state, greatest(0, 100 - 25 * blocks - 8 * warnings)::BIGINT AS score FROM rr)"""
+AXES = HEALTH + _READY + f""", cr AS ({contents.UNION}), cs AS (SELECT product_id, floor(100 * (sum(possible) - sum(lost)) / sum(possible) + 0.5::DOUBLE)::BIGINT AS content FROM cr GROUP BY product_id),
+a AS (SELECT product_id, h.score AS health, NULL::BIGINT AS seo, content, greatest(0, 100 - 25 * blocks - 8 * warnings)::BIGINT AS magento, CASE WHEN blocks > 0 THEN 'BLOCKED' WHEN warnings > 0 THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS state FROM h JOIN rr USING (product_id) JOIN cs USING (product_id)),
+""" + """w2 AS (SELECT *, 30 * (health IS NOT NULL)::INT + 25 * (seo IS NOT NULL)::INT + 25 * (content IS NOT NULL)::INT + 20 * (magento IS NOT NULL)::INT AS w, coalesce(30 * health, 0) + coalesce(25 * seo, 0) + coalesce(25 * content, 0) + coalesce(20 * magento, 0) AS pts FROM a),
 s2 AS (SELECT *, floor(pts / w + 0.5)::BIGINT AS score FROM w2),
 z AS (SELECT product_id, health, seo, content, magento, state, score, CASE WHEN state = 'BLOCKED' AND score IS NOT NULL THEN 'bloqueado' ELSE """ + BAND.format("score") + """ END AS band, w > 0 AND w < 100 AS partial,
   coalesce(floor(10.0::DOUBLE * health * 30 / w + 0.5) / 10, 0) AS health_points, coalesce(floor(10.0::DOUBLE * seo * 25 / w + 0.5) / 10, 0) AS seo_points, coalesce(floor(10.0::DOUBLE * content * 25 / w + 0.5) / 10, 0) AS content_points, coalesce(floor(10.0::DOUBLE * magento * 20 / w + 0.5) / 10, 0) AS magento_points FROM s2)"""
@@ -241,6 +266,7 @@ SELECT defect, count(*) AS n FROM d WHERE hit GROUP BY defect""",
     "anomaly_summary": f"SELECT severity, type, count(*) AS n FROM (({DUP.format(kind='duplicate-sku', sev='error', key=SKU)}) UNION ALL ({DUP.format(kind='duplicate-title', sev='warning', key=TITLE)})) GROUP BY ALL",
     "health_score": HEALTH + f" SELECT *, {BAND.format('score')} AS band FROM h",
     "health_summary": HEALTH + f" SELECT count(*) AS total, floor(avg(score) + 0.5)::BIGINT AS average, min(score) AS min, max(score) AS max, {bands('b', FIVE)} FROM (SELECT *, {BAND.format('score')} AS b FROM h)",
+    "readiness_checks": P + _READY + ' SELECT "check", level, count(*) AS products FROM rc GROUP BY ALL',
     "readiness_state": READY + " SELECT product_id, blocks, warnings, state, score FROM s",
     "readiness_summary": READY + " SELECT count(*) AS total, count(*) FILTER (state = 'READY') AS ready, count(*) FILTER (state = 'READY_WITH_WARNINGS') AS with_warnings, count(*) FILTER (state = 'BLOCKED') AS blocked, count(*) FILTER (state <> 'BLOCKED') AS exportable, floor(avg(score) + 0.5)::BIGINT AS average, min(score) AS min, max(score) AS max FROM s",
     "score_360": AXES + " SELECT * FROM z",

@@ -66,10 +66,11 @@ _BY_HAND = (
     ("CLM-002", "claims", 4, "warning", "contenido", "true", f"{K} % 10 <> 0 AND {K} % 8 <> 3 AND ({K} % 13 = 6 OR (cat = 'med' AND {K} % 13 = 8))"),
 )
 _LOSS = {"error": 1.0, "warning": 0.5, "info": 0.0}
-_RESULTS = f"WITH p AS ({PRODUCTS_DUCK}), r AS (" + " UNION ALL ".join(
+UNION = " UNION ALL ".join(
     f"SELECT {K}, '{i}' AS rule, '{dim}' AS dimension, '{kind}' AS kind, '{sev}' AS severity, CASE WHEN NOT ({applies}) THEN 'no_aplica' WHEN NOT ({fails}) THEN 'cumple' ELSE '{'error' if sev == 'error' else 'pendiente'}' END AS state, CASE WHEN {applies} THEN {float(w)}::DOUBLE ELSE 0 END AS possible, CASE WHEN ({applies}) AND ({fails}) THEN {w * _LOSS[sev]}::DOUBLE ELSE 0 END AS lost FROM p"
     for i, dim, w, sev, kind, applies, fails in _BY_HAND
-) + ")"
+)
+_RESULTS = f"WITH p AS ({PRODUCTS_DUCK}), r AS ({UNION})"
 _POINTS = "sum(possible) AS possible, sum(possible) - sum(lost) AS obtained, count(*) FILTER (state = 'error') AS errors, count(*) FILTER (state = 'pendiente' AND severity <> 'info') AS warnings"
 _SCORED = f"{_RESULTS}, s AS (SELECT {K}, {_POINTS}, count(*) FILTER (state = 'pendiente' AND severity = 'info') AS infos FROM r GROUP BY {K}), t AS (SELECT *, floor(100 * obtained / possible + 0.5::DOUBLE)::INT AS score, CASE WHEN errors > 0 THEN 'critico' WHEN warnings > 0 THEN 'revisar' ELSE 'listo' END AS status FROM s)"
 ORACLE_SQL = {
