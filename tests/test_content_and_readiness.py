@@ -47,7 +47,7 @@ def test_content_rules(spark):
     assert got[9] == {"DES-002", "FT-003", "SEG-002"}
     assert got[10] == set() and (total[10].score, total[10].status) == (100, "listo")
     assert got[11] == {"CMP-001", "CMP-002", "CMP-003", "DES-001"}
-    assert {"FT-001", "FT-002", "PRE-001", "CMP-001", "CMP-002", "CMP-003"} == got[12]
+    assert {"FT-001", "FT-002", "PRE-001", "CMP-001", "CMP-002", "CMP-003", "DES-002"} == got[12]
 
 
 def test_scores_and_summary(spark):
