@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from catalogspark.plans import catalogue, contents, decisions, derived, editing, exports, files, intake, metatexts, normal, records, streams
+from catalogspark.plans import catalogue, contents, decisions, derived, editing, exports, files, intake, metatexts, normal, origins, records, streams
 
-MODULES = (catalogue, records, editing, decisions, derived, files, intake, normal, metatexts, contents, exports, streams)
+MODULES = (catalogue, records, editing, decisions, derived, files, intake, normal, metatexts, contents, exports, origins, streams)
 
 
 def queries() -> dict[str, Callable]:
