@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import text as T
 from catalogspark.functions.session import sealed
-from catalogspark.operators.language import EDGE, WORD
+from catalogspark.operators.language import EDGE
 from catalogspark.operators.schema import CATEGORY_FIELDS, category_keys
 
 USED, OPEN, CLOSE = "\u0001", "\u0002", "\u0003"
@@ -275,7 +275,7 @@ def quoted_alias(alias: Column) -> Column:
 def dictionary_candidates(rows: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
     """(key, flat, aliases): the entries (kind, alias, canon, seq) of a dictionary that a flat text holds, in the order of their use.
 
-    An entry meets texts by that of its words which fewest entries have, so an alias may have any number of words and a
+    An entry meets texts by that of its words which fewest entries have (one without letters and digits meets none), so an alias may have any number of words and a
     word that many aliases share finds few of them. The dictionary is broadcast while it has at most FEW_ALIASES
     entries; beyond that, words are joined and adaptive execution splits the frequent ones.
     """
