@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from catalogspark.plans import catalogue, contents, copies, decisions, derived, editing, exports, files, intake, merging, metatexts, normal, origins, records, streams
+from catalogspark.plans import assessments, catalogue, contents, copies, decisions, derived, editing, exports, files, intake, merging, metatexts, normal, origins, records, streams
 
-MODULES = (catalogue, records, editing, decisions, derived, files, intake, normal, metatexts, contents, exports, origins, merging, copies, streams)
+MODULES = (catalogue, records, editing, decisions, derived, files, intake, normal, metatexts, contents, exports, origins, merging, copies, assessments, streams)
 
 
 def queries() -> dict[str, Callable]:
