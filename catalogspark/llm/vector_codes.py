@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from catalogspark.functions.session import ship_package, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Split points of a node, and entries up to which a node is not split.
-DEGREE, LEAF = 16, 16
+#: Split points of a node, and entries up to which a node is not split: comparing a batch with a few dozen entries at once costs less than deciding which to leave out.
+DEGREE, LEAF = 8, 64
 #: Queries that go down a tree together.
 BATCH = 4096
 #: Labels up to which their sums are broadcast.

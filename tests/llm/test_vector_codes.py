@@ -70,8 +70,11 @@ def test_few_vectors_other_lengths_and_none(spark, tmp_path):
     assert vc.op13_vector_codes(spark, str(tmp_path / "null")).count() == 0
 
 
+@pytest.mark.parametrize("degree, leaf", [(8, 64), (4, 4)])
 @pytest.mark.parametrize("size, dims, top", [(256, 16, 300), (256, 16, 2), (256, 3, 1 << 26), (40, 2, 5), (17, 1, 1), (1, 4, 9)])
-def test_tree_finds_what_a_full_search_finds(size, dims, top):
+def test_tree_finds_what_a_full_search_finds(size, dims, top, degree, leaf, monkeypatch):
+    monkeypatch.setattr(vc, "DEGREE", degree)
+    monkeypatch.setattr(vc, "LEAF", leaf)
     rng = np.random.default_rng(size * dims)
     entries = rng.integers(-top, top + 1, (size, dims))
     queries = np.concatenate([rng.integers(-top, top + 1, (3000, dims)), entries, entries[:5] + 1])
