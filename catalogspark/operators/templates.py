@@ -138,11 +138,13 @@ class Template:
             text = _let(text, lambda x: F.when((x != "") & ~x.rlike(r"[.!?]\z"), F.concat(x, F.lit("."))).otherwise(x))
         return F.trim(text)
 
-    def blocks(self, kept_groups: int) -> list[Column]:
-        out, n = [], 0
-        for line in self.lines:
-            out.append(self.line(line, n, kept_groups))
-            n += len(GROUP.findall(line))
+    def blocks(self, kept_groups: int) -> dict[tuple[int, int], Column]:
+        """Text of each line by its number and how many of its own groups are kept: levels that keep the same ones share it."""
+        out, n = {}, 0
+        for i, line in enumerate(self.lines):
+            own = len(GROUP.findall(line))
+            out[i, min(max(kept_groups - n, 0), own)] = self.line(line, n, kept_groups)
+            n += own
         return out
 
     def group_texts(self) -> list[Column]:
@@ -151,7 +153,17 @@ class Template:
     def render(self, shorten: bool = False) -> Column:
         """(text, length, over, dropped, shortened): dropped has the texts that went for the limit, in the order in which they went."""
         n = len(self.groups)
-        levels = F.array(*[F.struct(self.joined(self.blocks(n - d)).alias("text"), F.lit(d).alias("d")) for d in range(n + 1)])
+        levels = [self.blocks(n - d) for d in range(n + 1)]
+        unique = {k: c for level in levels for k, c in level.items()}
+        place = {k: i for i, k in enumerate(unique)}
+        # every line is rendered once a row; levels and shortened texts join what is there
+        of = lambda texts, level: [F.get(texts, F.lit(place[k])) for k in level]
+        return _let(F.array(*unique.values()), lambda texts: self.rendered([of(texts, level) for level in levels], shorten))
+
+    def rendered(self, lines: list[list[Column]], shorten: bool) -> Column:
+        """render() of the lines of every level, from all groups kept to none."""
+        n = len(self.groups)
+        levels = F.array(*[F.struct(self.joined(lines[d]).alias("text"), F.lit(d).alias("d")) for d in range(n + 1)])
         fits = lambda x: F.length(x["text"]) <= self.most if self.most else F.lit(True)
         groups = F.array(*self.group_texts()) if n else F.array().cast("array<string>")
 
@@ -160,16 +172,17 @@ class Template:
             base = F.struct(found["text"].alias("text"), gone.alias("dropped"), F.lit(False).alias("shortened"))
             if not (shorten and self.most and len(self.lines) > 1):
                 return base
-            return F.when(fits(found), base).otherwise(F.coalesce(self.shortened(found["d"], gone), base))
+            return F.when(fits(found), base).otherwise(F.coalesce(self.shortened(lines[n], gone), base))
+
+        def whole(out: Column) -> Column:
+            size = F.length(out["text"])
+            return F.struct(out["text"].alias("text"), size.alias("length"), (size > self.most if self.most else F.lit(False)).alias("over"), out["dropped"].alias("dropped"), out["shortened"].alias("shortened"))
 
-        chosen = F.coalesce(F.get(F.filter(levels, fits), F.lit(0)), F.get(levels, F.lit(n)))
-        out = _let(chosen, told)
-        size = F.length(out["text"])
-        return F.struct(out["text"].alias("text"), size.alias("length"), (size > self.most if self.most else F.lit(False)).alias("over"), out["dropped"].alias("dropped"), out["shortened"].alias("shortened"))
+        chosen = lambda found: F.coalesce(F.get(F.filter(found, fits), F.lit(0)), F.get(found, F.lit(n)))
+        return _let(_let(_let(levels, chosen), told), whole)
 
-    def shortened(self, d: Column, gone: Column) -> Column:
+    def shortened(self, blocks: list[Column], gone: Column) -> Column:
         """The text after as many whole lines went as it takes, null if that never fits. Only texts with all their brackets dropped come here."""
-        blocks = self.blocks(0)
         store = [i for i in range(1, len(blocks)) if re.search(r"\{tienda(?::\w+)?\}", GROUP.sub("", self.lines[i]))]
         order = store + [i for i in range(len(blocks) - 1, 0, -1) if i not in store]
         tries, out = [], []

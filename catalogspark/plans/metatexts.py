@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from catalogspark.functions.session import sealed
 from catalogspark.operators import templates
 from catalogspark.operators.schema import CATEGORIES
 from catalogspark.plans.views import PRODUCTS_DUCK, products, table
@@ -34,9 +35,13 @@ VALUES = {
 def _written(spark, d):
     p = products(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_size").cast("string").alias("n")), "product_id")
     p = p.select("product_id", *[F.expr(sql).alias(k) for k, sql in VALUES.items()])
-    made = {c: templates.meta_texts(c, templates.meta_tokens(c, {k: F.col(k) for k in VALUES}, F.lit(""), STORE, CATEGORIES[c]), True) for c in KINDS}
-    texts = reduce(lambda out, i: F.when(F.col("product_id") % 3 == i, made[KINDS[i]]).otherwise(out), (1, 2), made[KINDS[0]])
-    return p.select("product_id", texts.alias("m"))
+    tokens = {c: templates.meta_tokens(c, {k: F.col(k) for k in VALUES}, F.lit(""), STORE, CATEGORIES[c]) for c in KINDS}
+    of_kind = lambda c: F.col("product_id") % 3 == KINDS.index(c)
+    # tokens and texts are columns below a seal: each is computed once a row, not again wherever it stands in a template or is read
+    p = sealed(p.select("product_id", *[F.when(of_kind(c), t).alias(f"{c}_{k}") for c in KINDS for k, t in tokens[c].items()]))
+    made = {c: templates.meta_texts(c, {k: F.col(f"{c}_{k}") for k in tokens[c]}, True) for c in KINDS}
+    texts = reduce(lambda out, c: F.when(of_kind(c), made[c]).otherwise(out), KINDS[1:], made[KINDS[0]])
+    return sealed(p.select("product_id", texts.alias("m")))
 
 
 def render_meta(spark, d):
