@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Units and how they are written.
 UNITS = {
@@ -60,9 +61,9 @@ def lines(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
     out = body.select(key, "line", kind.alias("kind"), plain.alias("plain"), name.alias("name"), "sub", F.when(F.col("head"), parts).otherwise(F.transform(cells, cell)).alias("cells"))
     # a text before any row, title or note is the caption
-    first = F.min(F.struct("line", "kind")).alias("first")
-    start = out.filter(F.col("kind").isin("row", "note", "title")).groupBy(key).agg(first)
-    captioned = out.join(start, key, "left").withColumn("kind", F.when((F.col("kind") == "title") & (F.col("first.line") == F.col("line")), "caption").otherwise(F.col("kind")))
+    opens = F.when(F.col("kind").isin("row", "note", "title"), F.struct("line", "kind"))
+    out = out.withColumn("first", F.min(opens).over(Window.partitionBy(key)))  # a window, so that lines are read once
+    captioned = out.withColumn("kind", F.when(F.col(key).isNotNull() & (F.col("kind") == "title") & (F.col("first.line") == F.col("line")), "caption").otherwise(F.col("kind")))
     shown = F.when(F.col("kind") == "caption", capital(F.trim(F.regexp_replace("plain", CAPTION, "")))).when(F.col("kind") == "note", F.col("plain")).when(F.col("kind") == "title", name_of(F.col("plain"))).when(F.col("kind") == "head", "").otherwise(F.col("name"))
     return captioned.select(key, "line", "kind", shown.alias("name"), "sub", "cells")
 

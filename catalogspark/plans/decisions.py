@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from catalogspark.functions import text as T
+from catalogspark.functions.session import spread
 from catalogspark.operators import decisions, knowledge, language, links, nutrition
 from catalogspark.operators.relations import complement_eligible
 from catalogspark.plans import records
@@ -36,7 +37,7 @@ TABLE = """concat('# Nutriente | Por porción | % VD', chr(10), 'de los cuales',
 
 
 def _tables(spark, d):
-    return nutrition.lines(table(spark, d, "part").withColumn("block", F.expr(TABLE)), "p_partkey", "block")
+    return nutrition.lines(spread(table(spark, d, "part"), "p_partkey").withColumn("block", F.expr(TABLE)), "p_partkey", "block")
 
 
 def explode_nutrition(spark, d):
