@@ -152,4 +152,4 @@ def legacy_bytes(c: Column) -> Column:
     known = rf"[\x{{00}}-\x{{7F}}\x{{A0}}-\x{{FF}}{''.join(LEGACY)}]"
     plain = F.regexp_replace(text, known.replace("[", "[^", 1), "?")
     moved = F.translate(plain, "".join(LEGACY), "".join(LEGACY.values()))
-    return F.struct(F.encode(moved, "ISO-8859-1").alias("bytes"), F.length(F.regexp_replace(text, known, "")).alias("lost"))
+    return F.struct(F.encode(moved, "ISO-8859-1").alias("bytes"), F.length(F.regexp_replace(text, known + "+", "")).alias("lost"))
