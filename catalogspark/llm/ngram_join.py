@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalogspark.functions.session import row_named, ship_package, written
+from catalogspark.functions.session import give_back, row_named, ship_package, written
 from catalogspark.llm import byte_pairs, shingles
 from catalogspark.llm.components import components
 
 BLOCK = 1 << 20
-#: Signatures that a task gathers before it passes them on.
-HELD = 1_000_000
+#: Signatures that a task gathers before it passes them on, and about as many that it compares at a time.
+HELD = 250_000
 #: Ratio of the largest to the smallest size in a band.
 WIDTH = 1.4
 #: Kinds of signature, in the low bits of its name: a segment, the first segment, its one-deletion neighbourhood, an empty segment.
@@ -166,6 +166,65 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"rid {kinds['rid']}, key {kinds['key']}, class binary, size long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
 
 
+def met(name: np.ndarray, owner: np.ndarray, ids: np.ndarray, facts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Shared contents among all holders of some names."""
+    order = np.lexsort((owner, name))
+    name, owner = name[order], owner[order]
+    keep = np.concatenate([[True], (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])])[: len(name)]
+    name, owner = name[keep], owner[keep]
+    if not len(name):
+        return
+    bare = name & ~np.uint64(3)
+    first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
+    count = np.diff(np.append(first, len(bare)))
+    kind = (name & np.uint64(3)).astype(np.int32)
+    segment = np.add.reduceat((kind != SHORTER).astype(np.int64), first)
+    shared = np.repeat(count > 1, count)
+    cost, wide = (np.repeat(x, count)[shared] - 1 for x in (segment, count))
+    bare, kind, owner = bare[shared], kind[shared], owner[shared]
+    odd = ((bare >> np.uint64(2)) & np.uint64(1)).astype(np.int32)
+    columns = bare.view(np.int64), kind, odd, facts[owner, 0].astype(np.int64), facts[owner, 1 + odd].astype(np.int64), cost, wide
+    for a in range(0, len(bare), 50_000):
+        x = slice(a, a + 50_000)
+        classes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(owner[x]), [None, pa.py_buffer(np.ascontiguousarray(ids[owner[x]]))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in columns), classes], ["name", "kind", "odd", "size", "named", "cost", "wide", "class"])
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared contents of one part's (blob); beyond six bytes a name and four of its owner, memory is that of HELD names."""
+    names, ids, facts, owners, many = [], [], [], [], 0
+    for batch in batches:
+        for blob in batch.column("blob"):
+            raw = np.frombuffer(blob.as_buffer(), np.uint8)
+            k = int(raw[:4].view(np.uint32)[0])
+            a, b, c = 4 + 16 * k, 4 + 28 * k, 4 + 32 * k
+            ids.append(raw[4:a].reshape(-1, 16).copy())
+            facts.append(raw[a:b].copy().view(np.uint32).reshape(-1, 3))
+            owners.append(np.uint32(many) + np.repeat(np.arange(k, dtype=np.uint32), raw[b:c].copy().view(np.uint32)))
+            names.append(raw[c:].reshape(-1, 6).copy())  # six bytes each until their turn, and no batch is held
+            many += k
+    if not names:
+        return
+    ids, facts = np.concatenate(ids), np.concatenate(facts)
+    two = ids.view(np.uint64)
+    order = np.lexsort((two[:, 1], two[:, 0]))
+    new = np.concatenate([[True], (two[order][1:] != two[order][:-1]).any(1)])
+    same = np.empty(many, np.uint32)
+    same[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    turns = -(-sum(map(len, names)) // HELD)
+    for turn in range(turns):
+        mine, whose = [], []
+        for short, owner in zip(names, owners, strict=True):
+            wide = np.zeros((len(short), 8), np.uint8)
+            wide[:, :6] = short
+            full = wide.view(np.uint64).ravel()
+            at = np.flatnonzero((full >> np.uint64(3)) % np.uint64(turns) == np.uint64(turn))
+            mine.append(full[at])
+            whose.append(same[owner[at]])
+        yield from met(np.concatenate(mine), np.concatenate(whose), ids, facts)
+    give_back()
+
+
 def shared_contents(docs: DataFrame, n: int, bands: Bands, segments: Callable) -> DataFrame:
     """(name, kind, odd, class, size, named, cost, wide) of the contents that two or more classes of (text) share.
 
@@ -211,49 +270,8 @@ def shared_contents(docs: DataFrame, n: int, bands: Bands, segments: Callable) -
                         classes, names, held = {}, [], 0
         if held:
             yield passed_on()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids, facts, owners, many = [], [], [], [], 0
-        for batch in batches:
-            for blob in batch.column("blob"):
-                raw = np.frombuffer(blob.as_buffer(), np.uint8)
-                k = int(raw[:4].view(np.uint32)[0])
-                a, b, c = 4 + 16 * k, 4 + 28 * k, 4 + 32 * k
-                ids.append(raw[4:a].reshape(-1, 16))
-                facts.append(raw[a:b].copy().view(np.uint32).reshape(-1, 3))
-                owners.append(many + np.repeat(np.arange(k), raw[b:c].copy().view(np.uint32)))
-                wide = np.zeros((len(raw[c:]) // 6, 8), np.uint8)
-                wide[:, :6] = raw[c:].reshape(-1, 6)
-                names.append(wide.view(np.uint64).ravel())
-                many += k
-        if not names:
-            return
-        ids, facts = np.concatenate(ids), np.concatenate(facts)
-        two = np.ascontiguousarray(ids).view(np.uint64)
-        order = np.lexsort((two[:, 1], two[:, 0]))
-        new = np.concatenate([[True], (two[order][1:] != two[order][:-1]).any(1)])
-        same = np.empty(many, np.int64)
-        same[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        name, owner = np.concatenate(names), same[np.concatenate(owners)]
-        names.clear()
-        order = np.lexsort((owner, name))
-        name, owner = name[order], owner[order]
-        keep = np.concatenate([[True], (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])])
-        name, owner = name[keep], owner[keep]
-        bare = name & ~np.uint64(3)
-        first = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
-        count = np.diff(np.append(first, len(bare)))
-        kind = (name & np.uint64(3)).astype(np.int32)
-        segment = np.add.reduceat((kind != SHORTER).astype(np.int64), first)
-        shared = np.repeat(count > 1, count)
-        cost, wide = (np.repeat(x, count)[shared] - 1 for x in (segment, count))
-        bare, kind, owner = bare[shared], kind[shared], owner[shared]
-        odd = ((bare >> np.uint64(2)) & np.uint64(1)).astype(np.int32)
-        columns = bare.view(np.int64), kind, odd, facts[owner, 0].astype(np.int64), facts[owner, 1 + odd].astype(np.int64), cost, wide
-        for a in range(0, len(bare), 50_000):
-            x = slice(a, a + 50_000)
-            classes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(owner[x]), [None, pa.py_buffer(np.ascontiguousarray(ids[owner[x]]))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in columns), classes], ["name", "kind", "odd", "size", "named", "cost", "wide", "class"])
+        classes, names = {}, []
+        give_back()
 
     dealt = docs.select("text").mapInArrow(deal, "part int, blob binary").repartition(parts, "part")
     return dealt.mapInArrow(meet, "name long, kind int, odd int, size long, named long, cost long, wide long, class binary")

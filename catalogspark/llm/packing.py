@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.functions.session import ship_package
+from catalogspark.functions.session import give_back, ship_package
 from catalogspark.llm import byte_pairs
 from catalogspark.llm.token_counts import BLOCK, VOCABULARY
 
@@ -190,6 +190,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", prompt: str |
                     yield rows(found)
         if keys:
             yield rows(flush())
+        give_back()
 
     out = docs.select(*columns).mapInArrow(run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("key", key)

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from catalogspark.llm import ngram_join as nj
@@ -109,3 +112,22 @@ def test_complementary_thue_morse_words_are_not_linked(spark, size):
     rows = [(1, thue_morse("ab", size)), (2, thue_morse("ba", size)), (3, thue_morse("ab", size))]
     got = {r.key: r.component_id for r in nj.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_names_of_a_part_meet_in_bounded_memory():
+    """Two million names of 2000 classes, of which neighbours share one: the working memory is that of a few names."""
+    rng, each, classes = np.random.default_rng(2), 1000, 2000
+    name = rng.integers(0, 1 << 45, (classes, each), dtype=np.uint64) << np.uint64(3)
+    name[1::2, 7] = name[::2, 7]
+    ids = rng.integers(0, 256, (classes, 16), dtype=np.uint8)
+    facts = np.tile(np.array([each, each, 0], np.uint32), (classes, 1))
+    short = np.ascontiguousarray(name).view(np.uint8).reshape(classes, each, 8)[:, :, :6]
+    count = np.full(1, each, np.uint32)
+    blobs = [np.uint32(1).tobytes() + ids[i].tobytes() + facts[i].tobytes() + count.tobytes() + short[i].tobytes() for i in range(classes)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(blobs[a : a + 100], pa.binary())], ["blob"]) for a in range(0, classes, 100)]
+    tracemalloc.start()
+    got = [x for batch in nj.meet(iter(batches)) for x in zip(*(batch.column(c).to_pylist() for c in ("name", "class")), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got) == sorted((int(name[i, 7].view(np.int64)), ids[i].tobytes()) for i in range(classes))
+    assert peak < 25 * classes * each
