@@ -11,7 +11,7 @@ from catalogspark.functions import text as T
 from catalogspark.functions.session import sealed
 from catalogspark.operators import rules
 from catalogspark.operators.extraction import flat
-from catalogspark.operators.language import COMMERCIAL, EDGE, matches, terms_found
+from catalogspark.operators.language import ASCII_WORD, COMMERCIAL, edged, matches, terms_found
 from catalogspark.operators.rules import Rule
 from catalogspark.operators.schema import CATEGORY_FIELDS, FIELDS
 
@@ -120,7 +120,7 @@ def _family(c: Column, families) -> Column:
 
 def doses(c: Column) -> Column:
     """(n, unit) of the doses that a text states."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?iu)" + DOSE.replace(r"\b", EDGE)), 0)
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?iu)" + edged(DOSE)), 0)
     unit = lambda x: F.lower(F.regexp_extract(x, r"([^\d\s.,]+)\z", 1))
     same = lambda u: F.when(u.isin("ug", "µg"), "mcg").when(u == "iu", "ui").otherwise(u)
     return F.transform(found, lambda x: F.struct(F.replace(F.regexp_extract(x, r"^(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).cast("double").alias("n"), same(unit(x)).alias("unit")))
@@ -167,7 +167,7 @@ def measured(products: DataFrame) -> DataFrame:
         "other_dose": F.exists(others, lambda x: (F.size(same_unit(x)) > 0) & ~F.exists(same_unit(x), lambda d: d["n"] == x["n"])),
         "warns": F.contains(notice, F.lit("consulteasumedico")) & F.contains(notice, F.lit("automedic")), "shows_care": says(F.col("plain_letters"), f("precauciones")),
         "keeps": _has(F.col("plain"), r"condiciones de conservaci[oó]n"),
-        "shortened": F.filter(F.array(*map(F.lit, ("forma", "contenido", "presentacion", "paquete", "tipo"))), lambda k: value(k).rlike(SHORT.replace(r"\b", EDGE))),
+        "shortened": F.filter(F.array(*map(F.lit, ("forma", "contenido", "presentacion", "paquete", "tipo"))), lambda k: value(k).rlike(edged(SHORT, ASCII_WORD))),
         "shouted": F.filter(free, lambda k: loud(value(k))),
         "repeated": F.filter("entries", lambda e: (first(e) != e["k"]) & ~fair(first(e), e["k"])),
         "terms": F.concat(terms_found(F.col("mc"), F.col("cat")), terms_found(F.col("plain"), F.col("cat"))),

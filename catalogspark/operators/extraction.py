@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import text as T
 from catalogspark.functions.session import sealed
-from catalogspark.operators.language import EDGE
+from catalogspark.operators.language import ASCII_WORD, edge, edged
 from catalogspark.operators.schema import CATEGORY_FIELDS, category_keys
 
 USED, OPEN, CLOSE = "\u0001", "\u0002", "\u0003"
@@ -185,7 +185,7 @@ def one_line(c: Column) -> Column:
 
 def compiled(pattern: str) -> str:
     """A pattern whatever the case, where \\b goes by ASCII."""
-    return "(?i)" + pattern.replace(r"\b", EDGE)
+    return "(?i)" + edged(pattern, ASCII_WORD)
 
 
 def free_matches(text: Column, rest: Column, pattern) -> Column:
@@ -264,12 +264,12 @@ def category(text: Column) -> Column:
 
 def detect_category(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, cat, ambiguous) of every text; null without signs of a category."""
-    return rows.select(key, category(flat(one_line(F.col(text)))).alias("c")).select(key, "c.cat", "c.ambiguous")
+    return rows.select(key, flat(one_line(F.col(text))).alias("flat")).select(key, category(F.col("flat")).alias("c")).select(key, "c.cat", "c.ambiguous")
 
 
 def quoted_alias(alias: Column) -> Column:
     """Pattern of a flat alias as whole words, where blanks stand for any white space."""
-    return F.concat(F.lit(f"(?i){EDGE}\\Q"), F.replace(F.regexp_replace(alias, r"\s+", " "), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(rf"\E{EDGE}"))
+    return F.concat(F.lit(f"(?i){edge(ASCII_WORD)}\\Q"), F.replace(F.regexp_replace(alias, r"\s+", " "), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(rf"\E{edge(ASCII_WORD)}"))
 
 
 def dictionary_candidates(rows: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Language checks of free texts: claims, subjective words, statements that need proof, terms of medicine."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +77,26 @@ ROUTINE = (
     ("Tratamiento", r"\bs[eé]rum|\bampolleta|\bexfoliante|\bmascarilla|\bcontorno de ojos|\btratamiento|\bconcentrado|\bretinol|\bniacinamida"),
     ("Hidratación", r"\bcrema|\bloci[oó]n|\bhidratante|\bemulsi[oó]n|\bb[aá]lsamo|\bgel hidratante|\baceite"),
 )
-WORD = "[A-Za-z0-9_]"
-EDGE = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
+#: A character of a word: ASCII letters, digits and _; under (?iu) also the four others that fold into ASCII letters.
+ASCII_WORD, WORD = r"\w", r"[\w\x{130}\x{131}\x{17F}\x{212A}]"
+
+
+def edge(word: str) -> str:
+    """Pattern of the edge of a word."""
+    return f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
+
+
+def edged(pattern: str, word: str = WORD) -> str:
+    """A pattern where \\b and \\w go by `word`. Beside a character that is sure to be of a word, \\b asks for the other side alone, as it is tried at every place."""
+    pattern = pattern.replace(r"\w", word)
+    pattern = re.sub(r"\\b(?=(?:[A-Za-z0-9_]|\\d)(?![?*{]))", lambda _: f"(?<!{word})", pattern)
+    pattern = re.sub(r"(?<=[^\\][A-Za-z0-9_])\\b", lambda _: f"(?!{word})", pattern)
+    return pattern.replace(r"\b", edge(word))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Whether a text has a pattern, whatever its case, where \\b and \\w go by ASCII."""
-    return text.rlike("(?iu)" + pattern.replace(r"\b", EDGE).replace(r"\w", WORD))
+    return text.rlike("(?iu)" + edged(pattern))
 
 
 def terms_found(text: Column, cat: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import text as T
 from catalogspark.functions.session import sealed
-from catalogspark.operators.language import EDGE, WORD
+from catalogspark.operators.language import edged
 from catalogspark.operators.schema import FIELDS
 from catalogspark.operators.titles import capital, spaced_units
 
@@ -56,7 +56,7 @@ WITH_CONTAINER = ("cos", "hig", "beb", "acc")
 
 def _re(pattern: str) -> str:
     """Whatever the case; \\b and \\w go by ASCII and $ is the very end."""
-    return "(?iu)" + pattern.replace(r"\b", EDGE).replace(r"\w", WORD).replace("$", r"\z")
+    return "(?iu)" + edged(pattern).replace("$", r"\z")
 
 
 def one_line(c: Column) -> Column:
