@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalogspark.operators import findings, nutrition
+from catalogspark.operators import anomalies, findings, nutrition
 from catalogspark.plans import contents, decisions, metatexts, views
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,13 @@ def test_captions_of_lines_are_found_in_one_pass(spark):
     out = nutrition.lines(df, "k", "t")
     assert sorted((str(r.k), r.line, r.kind) for r in out.collect()) == [("1", 0, "caption"), ("1", 1, "row"), ("2", 0, "row"), ("2", 1, "title"), ("None", 0, "title"), ("None", 1, "row")]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_pairs_are_verified_where_they_meet_and_joined_to_rows_without_a_shuffle_of_pairs(spark):
+    df = spark.createDataFrame([(1, "Alfa Beta 10"), (2, "alfa beta 11"), (2, "alfa beta 11"), (3, "Alfa Bet a 10")], "seq long, t string")
+    out = anomalies.near_duplicates(df, F.col("t"), "seq", 0.9, 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not plan[0].startswith("Aggregate")
+    first = min(i for i, line in enumerate(plan) if "levenshtein" in line)
+    assert first > min(i for i, line in enumerate(plan) if "Aggregate" in line and "score" in line)
+    assert sorted((r.first_seq, r.second_seq) for r in out.collect()) == [(1, 2), (1, 3), (2, 3)]
