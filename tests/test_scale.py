@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalogspark.functions import session
 from catalogspark.operators import anomalies, findings, nutrition
 from catalogspark.plans import contents, decisions, metatexts, views
 
@@ -49,3 +50,11 @@ def test_near_pairs_are_verified_where_they_meet_and_joined_to_rows_without_a_sh
     first = min(i for i, line in enumerate(plan) if "levenshtein" in line)
     assert first > min(i for i, line in enumerate(plan) if "Aggregate" in line and "score" in line)
     assert sorted((r.first_seq, r.second_seq) for r in out.collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_superseded_evidence_is_joined_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    assert session.spread(spark.range(10), "id", rows=10_001).rdd.getNumPartitions() == 101
+    rows = views.table(spark, SF, "lineitem").count()
+    plan = decisions.supersede_evidence(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in plan
