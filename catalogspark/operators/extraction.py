@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import text as T
 from catalogspark.functions.session import sealed
-from catalogspark.operators.language import ASCII_WORD, edge, edged
+from catalogspark.operators.language import ASCII_WORD, edged
 from catalogspark.operators.schema import CATEGORY_FIELDS, category_keys
 
 USED, OPEN, CLOSE = "\u0001", "\u0002", "\u0003"
@@ -203,6 +203,19 @@ def free_matches(text: Column, rest: Column, pattern) -> Column:
     return F.when(F.regexp_like(text, pattern), F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
 
 
+def alias_spans(pieces: Column) -> Column:
+    """(at, size) of every second piece of a text in order; most texts hold an alias once, which needs no loop."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        size = F.length(piece)
+        found = F.when(acc["inside"], F.concat(acc["found"], F.array(F.struct(acc["at"].alias("at"), size.alias("size"))))).otherwise(acc["found"])
+        return F.struct((acc["at"] + size).alias("at"), (~acc["inside"]).alias("inside"), found.alias("found"))
+
+    start = F.struct(F.lit(1).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("found"))
+    once = F.array(F.struct((F.length(F.get(pieces, F.lit(0))) + 1).alias("at"), F.length(F.get(pieces, F.lit(1))).alias("size"))).cast(SPAN)
+    return F.when(F.size(pieces) == 3, once).otherwise(F.aggregate(pieces, start, step, lambda acc: acc["found"]))
+
+
 def marked(rest: Column, span: Column) -> Column:
     return F.when(span.isNull(), rest).otherwise(F.overlay(rest, F.repeat(F.lit(USED), span["size"]), span["at"], span["size"]))
 
@@ -268,37 +281,49 @@ def detect_category(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def quoted_alias(alias: Column) -> Column:
-    """Pattern of a flat alias as whole words, where blanks stand for any white space."""
-    return F.concat(F.lit(f"(?i){edge(ASCII_WORD)}\\Q"), F.replace(F.regexp_replace(alias, r"\s+", " "), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(rf"\E{edge(ASCII_WORD)}"))
+    """Pattern of a flat alias as whole words, where blanks stand for any white space. Its own ends say on which side of an edge a word must lie."""
+    start = F.when(F.regexp_like(alias, F.lit(rf"^{ASCII_WORD}")), rf"(?<!{ASCII_WORD})").otherwise(rf"(?<={ASCII_WORD})")
+    end = F.when(F.regexp_like(alias, F.lit(rf"{ASCII_WORD}\z")), rf"(?!{ASCII_WORD})").otherwise(rf"(?={ASCII_WORD})")
+    return F.concat(F.lit("(?i)"), start, F.lit(r"\Q"), F.replace(F.regexp_replace(alias, r"\s+", " "), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"), end)
+
+
+def uncased(c: Column) -> Column:
+    """A text whatever its case, each character by itself: lower case writes a sigma by what follows it."""
+    return F.replace(F.lower(c), F.lit("ς"), F.lit("σ"))
 
 
 def dictionary_candidates(rows: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
-    """(key, flat, aliases): the entries (kind, alias, canon, seq) of a dictionary that a flat text holds, in the order of their use.
+    """(key, flat, aliases): the entries (kind, alias, canon, seq) of a dictionary that a flat text in one line holds, in the order of their use, with the spans of all their matches.
 
     An entry meets texts by that of its words which fewest entries have (one without letters and digits meets none), so an alias may have any number of words and a
     word that many aliases share finds few of them. The dictionary is broadcast while it has at most FEW_ALIASES
-    entries; beyond that, words are joined and adaptive execution splits the frequent ones.
+    entries; beyond that, words are joined and adaptive execution splits the frequent ones. Where they meet, a text that does not have the
+    alias's characters at all is refused at once; in the others its pattern, made once an entry, is tried once.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     known = dictionary.select("kind", flat(F.trim("alias")).alias("alias"), "canon", "seq").filter("alias <> ''")
     spread = known.select("*", F.explode(F.array_distinct(words(F.col("alias")))).alias("word"))
     shared = spread.groupBy("word").agg(F.count("*").alias("n"))
-    picked = spread.join(shared, "word").groupBy("kind", "alias", "canon", "seq").agg(F.min(F.struct("n", "word")).alias("w")).select("kind", "alias", "canon", "seq", "w.word")
+    picked = spread.join(shared, "word").groupBy("kind", "alias", "canon", "seq").agg(F.min(F.struct("n", "word")).alias("w"))
+    alias = F.col("alias")
+    picked = picked.select("kind", "alias", "canon", "seq", "w.word", uncased(F.regexp_replace(alias, r"\s+", " ")).alias("plain"), quoted_alias(alias).alias("pattern"))
     few = dictionary.limit(FEW_ALIASES + 1).count() <= FEW_ALIASES
     met = rows.select(key, "flat", F.explode(F.array_distinct(words(F.col("flat")))).alias("word")).join(F.broadcast(picked) if few else picked, "word")
-    held = met.filter(F.regexp_like("flat", quoted_alias(F.col("alias"))))
+    held = met.filter(F.contains(uncased(F.col("flat")), F.col("plain")))
+    pieces = F.split(F.regexp_replace("flat", F.col("pattern"), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]")  # every second piece is a match
+    held = held.withColumn("pieces", pieces).withColumn("spans", alias_spans(F.col("pieces")))
     place = F.create_map(*[x for i, (kind, _) in enumerate(DICTIONARY_KINDS) for x in (F.lit(kind), F.lit(i))])[F.col("kind")]
-    one = F.struct(place.alias("place"), (-F.length("alias")).alias("minus"), "seq", "alias", "canon", "kind")
-    return held.groupBy(key, "flat").agg(F.array_sort(F.collect_list(one)).alias("aliases"))  # as many as one text holds
+    one = F.struct(place.alias("place"), (-F.length("alias")).alias("minus"), "seq", "alias", "canon", "kind", "spans")
+    return held.groupBy(key, "flat").agg(F.array_sort(F.collect_list(F.when(F.size("spans") > 0, one))).alias("aliases"))  # as many as one text holds
 
 
-def use_aliases(rest: Column, text: Column, aliases: Column, kinds=DICTIONARY_KINDS) -> Column:
+def use_aliases(rest: Column, aliases: Column, kinds=DICTIONARY_KINDS) -> Column:
     """(rest, hits): text used up by aliases in order, and each hit (kind, alias, canon, at, size)."""
     whole = {kind for kind, every in kinds if every}
     hit = "array<struct<kind:string,alias:string,canon:string,at:int,size:int>>"
 
     def step(acc: Column, a: Column) -> Column:
-        spans = free_matches(text, acc["rest"], quoted_alias(a["alias"]))
+        spans = F.filter(a["spans"], lambda s: ~F.contains(cut(acc["rest"], s), F.lit(USED)))
         done = ~a["kind"].isin(*whole) & F.exists(acc["hits"], lambda h: h["kind"] == a["kind"])
         taken = F.when(done, F.array().cast(SPAN)).when(a["kind"].isin(*whole), spans).otherwise(F.slice(spans, 1, 1))
         more = F.transform(taken, lambda s: F.struct(a["kind"].alias("kind"), a["alias"].alias("alias"), a["canon"].alias("canon"), s["at"].alias("at"), s["size"].alias("size")))
@@ -349,9 +374,9 @@ def extract(rows: DataFrame, key: str, text: str, dictionary: DataFrame | None =
         start = start.withColumn("aliases", F.lit(None))
     med, cat_is = F.col("cat") == "med", lambda *c: F.col("cat").isin(*c)
     r = Reader(start)
-    none = F.array().cast("array<struct<place:int,minus:int,seq:bigint,alias:string,canon:string,kind:string>>")
+    none = F.array().cast("array<struct<place:int,minus:int,seq:bigint,alias:string,canon:string,kind:string,spans:array<struct<at:int,size:int>>>>")
     usable = F.coalesce(F.col("aliases"), none)
-    r.put(used=use_aliases(F.col("raw"), F.col("flat"), F.filter(usable, lambda a: med | (a["kind"] != "ingredient")) if dictionary is not None else none))
+    r.put(used=use_aliases(F.col("raw"), F.filter(usable, lambda a: med | (a["kind"] != "ingredient")) if dictionary is not None else none))
     r.put(rest=F.col("used.rest"), hits=F.col("used.hits"))
     r.first("without", WITHOUT_PRESCRIPTION)
     r.first("with", WITH_PRESCRIPTION, F.col("without").isNull())

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from catalogspark.functions.session import written
 from catalogspark.operators import extraction
 
 
@@ -76,10 +77,10 @@ def contained(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> Da
     an alias stand for any white space, other signs for themselves; an alias may have any number of words. at and size are
     characters of the text in one line; an alias that stands twice has its first place.
     """
-    entries = dictionary.select("alias", "canon").distinct().select(F.lit("ingredient").alias("kind"), "alias", "canon", F.lit(0).cast("long").alias("seq"))
+    entries = written(dictionary.select("alias", "canon").distinct(), "aliases").select(F.lit("ingredient").alias("kind"), "alias", "canon", F.lit(0).cast("long").alias("seq"))
     texts = rows.select(key, extraction.flat(extraction.one_line(F.col(text))).alias("flat"))
     found = extraction.dictionary_candidates(texts, key, entries)
-    hits = found.select(key, extraction.use_aliases(F.col("flat"), F.col("flat"), F.col("aliases")).alias("u")).select(key, F.posexplode("u.hits").alias("n", "h"))
+    hits = found.select(key, extraction.use_aliases(F.col("flat"), F.col("aliases")).alias("u")).select(key, F.posexplode("u.hits").alias("n", "h"))
     first = hits.groupBy(key, "h.alias", "h.canon").agg(F.min(F.struct("n", "h.at", "h.size")).alias("f"))
     own = entries.select(extraction.flat(F.trim("alias")).alias("alias"), "canon", F.col("alias").alias("spelled"))
     named = first.join(own, ["alias", "canon"])  # as the dictionary spells it

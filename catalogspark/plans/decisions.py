@@ -88,7 +88,7 @@ def parent_candidates(spark, d):
 
 def dictionary_contains(spark, d):
     p = table(spark, d, "part")
-    aliases = p.select(F.col("p_brand").alias("alias")).unionByName(p.select(F.col("p_name").alias("alias"))).unionByName(p.select(F.substring_index("p_name", " ", -1).alias("alias"))).distinct()
+    aliases = p.select(F.explode(F.array("p_brand", "p_name", F.substring_index("p_name", " ", -1))).alias("alias")).distinct()
     return links.contained(products(spark, d), "product_id", "title", aliases.withColumn("canon", F.upper("alias"))).select("product_id", "alias", "canon", F.col("rank").cast("long").alias("rank"), F.col("at").cast("long").alias("first_char"), F.col("size").cast("long").alias("n_chars"))
 
 
